@@ -13,8 +13,10 @@ LARGE_FILE_BYTES = 5 * 1024 * 1024
 IDENTIFIER = r"[\p{L}_][\p{L}\p{N}_]*"
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-# What Rust's trim() removes: the Unicode White_Space set.
-_SPACE = r"[\x09-\x0D\x20\x85\xA0  -     　]"
+# The Unicode White_Space set.
+_BLANKS = r"\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+_SPACE = rf"[\x09-\x0D{_BLANKS}]"
+_IN_LINE = rf"[\x09\x0B-\x0D{_BLANKS}]"
 
 
 def trim_space(text: Column) -> Column:
@@ -80,26 +82,25 @@ def display(text: Column) -> Column:
 
 def sanitize_map(raw: Column) -> Column:
     """Trim, drop one fence around the whole text, keep the first of each run of blank lines."""
-    text = trim_space(raw)
-    # (?s) with \z anchors: the fence must be the first and the last line.
-    fenced = text.rlike(r"(?s)^```[^\n]*\n(?:.*\n)?[ \t]*```\z")
-    inner = F.regexp_replace(F.regexp_replace(text, r"^```[^\n]*\n", ""), r"(?:^|\n)[ \t]*```\z", "")
+    text = F.replace(trim_space(raw), F.lit("\r\n"), F.lit("\n"))
+    last_fence = rf"\n{_IN_LINE}*```\z"
+    fenced = text.rlike(r"^```[^\n]*\n") & text.rlike(last_fence)
+    inner = F.regexp_replace(
+        F.regexp_replace(text, r"^```[^\n]*\n", ""), rf"(?:^|\n){_IN_LINE}*```\z", ""
+    )
     body = F.when(fenced, inner).otherwise(text)
-    # A blank line together with all blank lines after it becomes one empty line.
-    blank = r"[\x09\x0B-\x0D\x20\x85\xA0  -     　]*"
-    once = F.regexp_replace(body, rf"\n{blank}(?:\n{blank})*+(?=\n)", "\n")
-    return trim_space(F.regexp_replace(once, r"\r(?=\n)", ""))
+    return trim_space(F.regexp_replace(body, rf"\n{_SPACE}*\n", "\n\n"))
 
 
 def cap_bytes(text: Column, limit: int = MAP_BYTES, marker: str | None = None) -> Column:
     """Cut to at most ``limit`` bytes, marker included, without splitting a character."""
     marker = f"\n\n... [orientation map truncated at {limit} bytes]" if marker is None else marker
     room = max(limit - len(marker.encode()), 0)
-    head = F.make_valid_utf8(F.substring(text.cast("binary"), 1, room).cast("string"))
-    # A split character shows up as U+FFFD at the very end; one the text itself
-    # has there is complete, so compare with the text before dropping it.
-    whole = F.startswith(text, head)
-    kept = F.when(whole, head).otherwise(F.regexp_replace(head, "�+\\z", ""))
+    # A character has at most four bytes, so one of these four cuts is whole.
+    cuts = [
+        F.substring(text.cast("binary"), 1, max(room - back, 0)).cast("string") for back in range(4)
+    ]
+    kept = F.coalesce(*(F.when(F.is_valid_utf8(cut), cut) for cut in cuts))
     return F.when(F.octet_length(text) <= limit, text).otherwise(
         F.concat(trim_space_end(kept), F.lit(marker))
     )
