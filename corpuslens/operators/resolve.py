@@ -183,12 +183,14 @@ def first_existing(asks: DataFrame, keys: list[str], candidates: str, lookup: Da
     return joined.groupBy(*keys).agg(F.min(hit)["path"].alias("path"))
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame, resolve_crate_root: bool = False) -> DataFrame:
+def resolve_imports(
+    imports: DataFrame, files: DataFrame, modules: DataFrame | None = None, resolve_crate_root: bool = False
+) -> DataFrame:
     """Dependency relation: every import with the file it means, null when there is none.
 
-    ``imports`` needs ``language``; ``files`` holds all files of the roots, go.mod and
-    Cargo.toml included (``content`` is read for go.mod only). Equal questions, the
-    same target from the same directory, are answered once.
+    ``imports`` needs ``language``; ``files`` names all files of the roots, Cargo.toml and
+    go.mod included. ``modules`` is :func:`go_modules`; without it ``files`` needs ``content``
+    for go.mod. Equal questions, the same target from the same directory, are answered once.
     """
     target = trim_space(F.col("target"))
     ask = imports.select(
@@ -198,7 +200,8 @@ def resolve_imports(imports: DataFrame, files: DataFrame, resolve_crate_root: bo
     by_dir = ["root_path", "dir"]
     # Facts per root and per directory: few columns, one row per key.
     ask = salted_join(ask, crate_sources(names), ["root_path"], "left", ["dir", "target"])
-    ask = salted_join(ask, go_modules(files), ["root_path"], "left", ["dir", "target"])
+    modules = go_modules(files) if modules is None else modules
+    ask = salted_join(ask, modules, ["root_path"], "left", ["dir", "target"])
     roots = package_roots(names, imports.where(F.col("language") == "python"))
     ask = salted_join(ask, roots, by_dir, "left", ["target"])
     d, t = F.col("dir"), F.col("target")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Run-time SQL settings only: safe to apply to a session that somebody else made.
@@ -42,17 +42,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> tuple[DataFrame, int]:
-    """Write ``df`` as a table in the scratch folder; return it read back, and its row count.
+def cut(df: DataFrame, name: str = "cut", count: Column | None = None) -> tuple[DataFrame, int]:
+    """Write ``df`` as a table in the scratch folder; return it read back, and a count.
 
     Unlike ``checkpoint`` this computes the rows once, keeps column pruning and
     filter pushdown, and gives the next join the table's true size, so Spark
     itself decides whether a side is small enough to broadcast. A lost executor
-    costs nothing: the files are in shared storage. The count rides along with
-    the write, so loop-end tests need no job of their own.
+    costs nothing: the files are in shared storage. The count (of rows, or any other
+    aggregate given) rides along with the write, so loop-end tests need no job of their own.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), int(seen.get["rows"])
+    counted = F.count(F.lit(1)) if count is None else count
+    df.observe(seen, counted.alias("n")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), int(seen.get["n"] or 0)
