@@ -149,6 +149,9 @@ def _per_line(line_rows: DataFrame) -> DataFrame:
         .withColumn("in_group", F.coalesce(F.last("group", True).over(before), F.lit("")))
         .withColumn("last_indent", F.last("indent", True).over(before))
         .withColumn("last_code", F.last(F.when(F.col("indent").isNotNull(), F.col("line")), True).over(before))
+        .withColumn(
+            "end_code", F.max(F.when(F.col("indent").isNotNull(), F.col("line"))).over(W.partitionBy(*FILE))
+        )
     )
 
 
@@ -162,88 +165,79 @@ def blocks(line_rows: DataFrame) -> DataFrame:
     python = F.col("language") == "python"
     base = F.col("depth") - F.col("lead")
     after = F.col("depth") + F.col("opens") - F.col("closes")
-    event = lambda level, at, end: F.struct(
-        level.cast("int").alias("level"), F.lit(at).alias("at"), end.cast("int").alias("end")
-    )
-    span = lambda low, high, at, end: F.when(
-        low <= high, F.transform(F.sequence(low, high), lambda n: event(n, at, end))
-    )
+    no_hit = F.lit(None).cast("struct<name:string,kind:string,visibility:string,receiver:string>")
+
+    def event(level: Column, at: int, end: Column | None, hit: Column) -> Column:
+        return F.struct(
+            level.cast("int").alias("level"), F.lit(at).alias("at"),
+            (F.lit(None) if end is None else end).cast("int").alias("end"), hit.alias("hit"),
+        )
+
+    def span(low: Column, high: Column, at: int, end: Column) -> Column:
+        levels = F.transform(F.sequence(low, high), lambda n: event(n, at, end, no_hit))
+        return F.when(low <= high, levels).otherwise(F.array())
+
+    # Closers at the start of a line end blocks before anything else on it begins.
     closing = F.concat(
-        # Closers at the start of a line end blocks before anything else on it begins.
-        F.coalesce(span(base + 1, F.col("depth"), 0, F.col("line")), F.array()),
-        F.coalesce(span(after + 1, base + F.col("opens"), 2, F.col("line")), F.array()),
-        F.when(F.col("ends"), F.array(event(after + 1, 2, F.col("line")))).otherwise(F.array()),
+        span(base + 1, F.col("depth"), 0, F.col("line")),
+        span(after + 1, base + F.col("opens"), 2, F.col("line")),
+        F.when(F.col("ends"), F.array(event(after + 1, 2, F.col("line"), no_hit))).otherwise(F.array()),
     )
     dedent = F.when(
         F.col("indent").isNotNull() & F.col("last_indent").isNotNull(),
         span(F.col("indent"), F.col("last_indent"), 0, F.col("last_code")),
-    )
-    events = per_line.select(
-        *FILE, "line", F.explode(F.when(python, dedent).otherwise(closing)).alias("_e")
-    ).select(*FILE, "line", "_e.level", "_e.at", "_e.end")
-
-    starts = per_line.select(
-        *FILE, "language", "line", "signature", "in_group",
-        F.when(python, F.col("indent")).otherwise(base + 1).cast("int").alias("level"),
-        (after <= base).alias("flat"),
-        F.inline("hits"),
-    )
-    marked = events.withColumn("at", F.col("at").cast("int")).unionByName(
-        starts.withColumn("at", F.lit(1)), allowMissingColumns=True
+    ).otherwise(F.array())
+    level = F.when(python, F.col("indent")).otherwise(base + 1)
+    starts = F.transform("hits", lambda h: event(level, 1, None, h))
+    # One pass makes both kinds of rows, so the lines are read and windowed once.
+    marked = per_line.select(
+        *FILE, "language", "line", "signature", "in_group", "end_code", (after <= base).alias("flat"),
+        F.inline(F.concat(F.when(python, dedent).otherwise(closing), starts)),
     )
     follow = W.partitionBy(*FILE, "level").orderBy("line", "at").rowsBetween(1, W.unboundedFollowing)
-    flat_kind = F.col("language").isin(*R.JS, "go") & F.col("kind").isin("const", "var", "type", "grouped") & F.col("flat")
-    ended = (
-        marked.withColumn("_end", F.first("end", True).over(follow))
-        .where(F.col("name").isNotNull())
-        .withColumn(
-            "end_line",
-            F.when(flat_kind, F.col("line"))
-            # The last block of a Python file ends with its last line of code.
-            .otherwise(F.coalesce("_end", F.when(~python, F.col("line")))),
-        )
-        .drop("_end", "at", "end", "flat")
+    one_line = F.col("language").isin(*R.JS, "go") & F.col("hit.kind").isin("const", "var", "type", "grouped") & F.col("flat")
+    # The last block of a Python file ends with its last line of code.
+    end_line = F.when(one_line, F.col("line")).otherwise(F.coalesce("_end", F.when(python, F.col("end_code")), "line"))
+    ended = marked.withColumn("_end", F.first("end", True).over(follow)).where(F.col("hit").isNotNull()).select(
+        *FILE, "language", "line", "signature", "in_group", "level", "hit.*", end_line.alias("end_line")
     )
-    last = per_line.where(F.col("indent").isNotNull()).groupBy(*FILE).agg(F.max("line").alias("_last"))
-    ended = ended.join(last, FILE, "left").withColumn("end_line", F.coalesce("end_line", "_last", "line")).drop("_last")
+    return _with_parent(ended)
+
+
+def _with_parent(found: DataFrame) -> DataFrame:
+    """Adds ``parent`` (name of the class-like block directly around) and ``inside`` (any around).
 
-    # Direct parent: the latest block one level up that has not ended. Blocks are
-    # put on the level of their members, so this too is a window of one level.
-    opens_block = reduce(
+    Starts and ends of class-like blocks are swept in line order per file. The blocks a
+    row is in form a chain; the innermost is the latest opened of the same chain length.
+    """
+    opens = reduce(
         lambda a, b: a | b,
         [(F.col("language") == lang) & F.col("kind").isin(*kinds) for lang, kinds in R.CONTAINERS.items()],
     )
-    return _with_parent(ended.withColumn("_opens", opens_block))
+    row, box = F.struct(*found.columns), F.struct("name", "kind", "level")
+    no_row, no_box = F.when(F.lit(False), row), F.when(F.lit(False), box)
 
+    def point(line: Column, at: int, step: int, row: Column, box: Column) -> Column:
+        return F.struct(
+            line.alias("line"), F.lit(at).alias("at"), F.lit(step).alias("step"), row.alias("row"), box.alias("box")
+        )
 
-def _with_parent(found: DataFrame) -> DataFrame:
-    """Adds ``parent`` (name of the class-like block directly around) and ``inside`` (any around)."""
-    # Starts and ends of class-like blocks, swept in line order per file. The
-    # containers a row is in form a chain; the innermost is the latest opened with
-    # as many open ones around it as the row has, less one.
-    own = found.select(*FILE, "line", F.lit(1).alias("at"), F.lit(0).alias("step"), F.struct(*found.columns).alias("row"))
-    box = found.where("_opens")
-    opened = box.select(
-        *FILE, "line", F.lit(2).alias("at"), F.lit(1).alias("step"),
-        F.struct("name", "kind", "level").alias("box"),
+    points = F.concat(
+        F.array(point(F.col("line"), 1, 0, row, no_box)),
+        F.when(opens, F.array(
+            point(F.col("line"), 2, 1, no_row, box), point(F.col("end_line") + 1, 0, -1, no_row, no_box)
+        )).otherwise(F.array()),
     )
-    closed = box.select(*FILE, (F.col("end_line") + 1).alias("line"), F.lit(0).alias("at"), F.lit(-1).alias("step"))
     sweep = W.partitionBy(*FILE).orderBy("line", "at").rowsBetween(W.unboundedPreceding, 0)
-    rows = (
-        own.unionByName(opened, allowMissingColumns=True)
-        .unionByName(closed, allowMissingColumns=True)
-        .withColumn("chain", F.sum("step").over(sweep))
-    )
     inner = W.partitionBy(*FILE, "chain").orderBy("line", "at").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("_box", F.when(F.col("chain") > 0, F.last("box", True).over(inner)))
-    out = rows.where(F.col("row").isNotNull()).select("row.*", "_box")
+    rows = found.select(*FILE, F.inline(points)).withColumn("chain", F.sum("step").over(sweep)).withColumn(
+        "_box", F.when(F.col("chain") > 0, F.last("box", True).over(inner))
+    )
     direct = F.col("_box.kind").isin(*R.PARENTS) & (
         (F.col("language") == "python") | (F.col("_box.level") + 1 == F.col("level"))
     )
-    return out.select(
-        *[c for c in found.columns if c != "_opens"],
-        F.col("_box").isNotNull().alias("inside"),
-        F.when(direct, F.col("_box.name")).alias("parent"),
+    return rows.where(F.col("row").isNotNull()).select("row.*", "_box").select(
+        *found.columns, F.col("_box").isNotNull().alias("inside"), F.when(direct, F.col("_box.name")).alias("parent")
     )
 
 
@@ -383,15 +377,17 @@ def callsites(line_rows: DataFrame, block_rows: DataFrame, symbol_rows: DataFram
     callable_row = block_rows.where(
         F.col("kind").isin("function", "method") | ((F.col("kind") == "member") & F.col("parent").isNotNull())
     ).select(*FILE, "line", "end_line", F.col("name").alias("fn"))
-    opened = callable_row.select(*FILE, "line", F.lit(1).alias("at"), F.lit(1).alias("step"), "fn")
-    closed = callable_row.select(*FILE, (F.col("end_line") + 1).alias("line"), F.lit(0).alias("at"), F.lit(-1).alias("step"))
+    ends = F.array(
+        F.struct(F.col("line"), F.lit(1).alias("at"), F.lit(1).alias("step"), F.col("fn")),
+        F.struct((F.col("end_line") + 1).alias("line"), F.lit(0).alias("at"), F.lit(-1).alias("step"), F.lit(None).cast("string").alias("fn")),
+    )
+    bounds = callable_row.select(*FILE, F.inline(ends))
     points = sites.select(
         *FILE, "line", F.lit(2).alias("at"), F.lit(0).alias("step"), F.struct("callee_name", "callee_kind").alias("site")
     )
     sweep = W.partitionBy(*FILE).orderBy("line", "at").rowsBetween(W.unboundedPreceding, 0)
     chained = (
-        points.unionByName(opened, allowMissingColumns=True)
-        .unionByName(closed, allowMissingColumns=True)
+        points.unionByName(bounds, allowMissingColumns=True)
         .withColumn("chain", F.sum("step").over(sweep))
     )
     inner = W.partitionBy(*FILE, "chain").orderBy("line", "at").rowsBetween(W.unboundedPreceding, 0)

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.functions.paths import index_language
+from corpuslens.session import deal_out
 from corpuslens.skew import salted_join
 
 # File endings dealt out to documents in turn.
@@ -25,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = deal_out(table(spark, sf_dir, "documents"))
     ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.pmod("doc_id", F.lit(len(ENDINGS))) + 1).cast("int"))
     path = F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), ending)
     return d.select(
@@ -40,7 +41,7 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = F.regexp_replace("url", r"^[a-z]+://", "")
     clean = F.regexp_replace(rest, r"[?#].*$", "")
     path = F.regexp_replace(F.regexp_replace(clean, r"^[^/]*/", ""), r"/+$", "")
-    return table(spark, sf_dir, "pages").select(
+    return deal_out(table(spark, sf_dir, "pages")).select(
         F.regexp_extract(clean, "^[^/]*", 0).alias("root_path"), path.alias("file_path"), "page_id",
         F.octet_length("html").cast("long").alias("size_bytes"), F.col("html").alias("content"),
     )
@@ -127,7 +128,7 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.when(status == "F", rust).when(status == "O", python).otherwise(go)
     ending = F.when(status == "F", "rs").when(status == "O", "py").otherwise("go")
     path = F.concat(F.lit("src/order_"), k, F.lit("."), ending)
-    return table(spark, sf_dir, "orders").select(
+    return deal_out(table(spark, sf_dir, "orders")).select(
         F.substring("o_orderpriority", 3, 20).alias("root_path"), path.alias("file_path"),
         index_language(path).alias("language"), content.alias("content"),
         F.octet_length(content).cast("long").alias("size_bytes"),

@@ -100,10 +100,10 @@ def dirs(source: str, path: str = "file_path") -> str:
       (SELECT *, unnest(range(1, len(p))) AS i FROM (SELECT *, string_split({path}, '/') AS p FROM {source})))"""
 
 
-ORACLES["tree_listing"] = f"""WITH {PAGES}, {lines_of('pl', 'page_files')},
-  n AS (SELECT root_path, file_path, count(*) AS lines FROM pl GROUP BY ALL),
+ORACLES["tree_listing"] = f"""WITH {PAGES}, {lines_of('pl', 'page_files', 'page_id')},
+  n AS (SELECT page_id, count(*) AS lines FROM pl GROUP BY ALL),
   e AS (SELECT root_path, file_path AS path, {lookup(EXT, TREE_LANGUAGE)} AS language, coalesce(lines, 0) AS lines, size_bytes, false AS is_dir
-        FROM page_files LEFT JOIN n USING (root_path, file_path)
+        FROM page_files LEFT JOIN n USING (page_id)
         UNION ALL SELECT DISTINCT root_path, dir, NULL, NULL, NULL, true FROM {dirs('page_files')})
 SELECT root_path, path, language, lines, size_bytes, CAST(len(string_split(path, '/')) AS BIGINT) AS depth, is_dir FROM e WHERE len(string_split(path, '/')) <= 3"""
 ORACLES["tree_rollup"] = f"""WITH {LINES}, n AS (SELECT root_path, file_path, count(*) AS c FROM lines GROUP BY ALL),
@@ -303,7 +303,7 @@ UNION ALL SELECT identifier, 'prepare-scope', 'missing value' FROM s WHERE NOT a
 ORACLES["clone_reuse"] = f"""WITH {PKG} SELECT source_url, id, path FROM (SELECT *, row_number() OVER (PARTITION BY source_url ORDER BY created_at, id) AS r FROM pkg
   WHERE source_url IS NOT NULL) WHERE r = 1"""
 ORACLES["packages_per_path"] = f"WITH {PKG} SELECT path, count(*) AS n FROM pkg GROUP BY path"
-ORACLES["removable_paths"] = f"""WITH {PKG}, g AS (SELECT *, NOT auto_pull OR harness IS NOT NULL OR length(path) > 22 AS gone FROM pkg)
+ORACLES["removable_paths"] = f"""WITH {PKG}, g AS (SELECT *, NOT auto_pull OR length(path) > 26 AS gone FROM pkg)
 SELECT DISTINCT path FROM g WHERE gone AND starts_with(path, '{CLONES}/') AND path NOT IN (SELECT path FROM g WHERE NOT gone)"""
 ORACLES["run_outcome"] = f"""WITH o AS (SELECT *, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 7 END AS code, starts_with(o_orderpriority, '1') AS blank,
     CASE WHEN o_totalprice > 100000 THEN 'main' END AS pre, CASE WHEN o_custkey > 100 THEN CASE WHEN o_totalprice > 200000 THEN 'main' ELSE 'dev' END END AS post FROM orders)

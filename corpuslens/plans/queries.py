@@ -18,6 +18,7 @@ from corpuslens.operators import resolve as RS
 from corpuslens.operators import search as S
 from corpuslens.operators import snapshot as SN
 from corpuslens.plans import bindings as B
+from corpuslens.plans.index import extract_relations
 from corpuslens.session import tune
 from corpuslens.skew import byte_budget as budgeted
 from corpuslens.sources import records as RC
@@ -234,9 +235,7 @@ def code_imports(spark, d):
 
 @query
 def code_callsites(spark, d):
-    lines = X.code_lines(B.code_files(spark, d))
-    blocks = X.blocks(lines)
-    out = X.callsites(lines, blocks, X.symbols(blocks))
+    out = extract_relations(B.code_files(spark, d))["callsites"]
     return out.select("root_path", "caller_file", *big("caller_line"), "caller_symbol", "callee_name", "callee_kind")
 
 
@@ -540,9 +539,9 @@ def packages_per_path(spark, d):
 
 @query
 def removable_paths(spark, d):
-    """Clones free to go when every package without auto-pull or with a harness is removed."""
+    """Clones free to go when packages without auto-pull or with a long path are removed."""
     pk = B.packages(spark, d)
-    return R.removable_paths(pk, pk.where("not auto_pull or harness is not null or length(path) > 22").select("id"), B.CLONES)
+    return R.removable_paths(pk, pk.where("not auto_pull or length(path) > 26").select("id"), B.CLONES)
 
 
 @query

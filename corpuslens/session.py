@@ -57,3 +57,16 @@ def cut(df: DataFrame, name: str = "cut", count: Column | None = None) -> tuple[
     counted = F.count(F.lit(1)) if count is None else count
     df.observe(seen, counted.alias("n")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), int(seen.get["n"] or 0)
+
+
+def deal_out(df: DataFrame, small: int = 256 * 1024 * 1024) -> DataFrame:
+    """Spread a small input over all cores; leave a large one as it is read.
+
+    A table below ``small`` bytes often comes as one or two splits, which would put all
+    text work into one task. Its size is Spark's own estimate from the files, so
+    nothing is run, and a large table never pays for the shuffle.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= small:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
