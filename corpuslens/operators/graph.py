@@ -19,6 +19,7 @@ from corpuslens.skew import salted_join
 
 DEPS_DEFAULT, DEPS_MAX = 1, 10
 IMPACT_DEFAULT, IMPACT_MAX = 1, 5
+TRIMS = 2
 
 
 def clamp(hops: int | None, default: int, most: int) -> int:
@@ -177,35 +178,37 @@ def _labels(live: DataFrame) -> DataFrame:
     ).distinct()
     state = ends.select("root_path", "node", F.col("node").alias("lo"), F.col("node").alias("hi"))
     state, changed = cut(state, "labels")
+    spark = live.sparkSession
     while changed:
-        short = state.where("lo <> node").select("root_path", F.col("lo").alias("src"), F.col("node").alias("dst")).unionByName(
-            state.where("hi <> node").select("root_path", F.col("node").alias("src"), F.col("hi").alias("dst"))
-        )
-        along = (
-            live.unionByName(short)
-            .join(state.select("root_path", F.col("node").alias("src"), "lo"), ["root_path", "src"])
-            .join(state.select("root_path", F.col("node").alias("dst"), "hi"), ["root_path", "dst"])
-        )
-        none = F.lit(None).cast("string")
-        sent = along.select(
-            "root_path",
-            F.inline(F.array(
-                F.struct(F.col("dst").alias("node"), F.col("lo"), none.alias("hi"), none.alias("was_lo"), none.alias("was_hi")),
-                F.struct(F.col("src").alias("node"), none.alias("lo"), F.col("hi"), none.alias("was_lo"), none.alias("was_hi")),
-            )),
-        ).unionByName(state.withColumn("was_lo", F.col("lo")).withColumn("was_hi", F.col("hi")))
         # min keeps one row per task and node before the shuffle, hubs included.
-        merged = sent.groupBy("root_path", "node").agg(
-            *(F.min(c).alias(c) for c in ("lo", "hi", "was_lo", "was_hi"))
-        )
-        moved = (F.col("lo") != F.col("was_lo")) | (F.col("hi") != F.col("was_hi"))
-        state, changed = cut(
-            merged.select("root_path", "node", "lo", "hi", moved.alias("moved")), "labels", F.count_if(F.col("moved"))
-        )
+        step = spark.sql(_SPREAD, live=live, state=state)
+        state, changed = cut(step, "labels", F.count_if(F.col("moved")))
         state = state.drop("moved")
     return state
 
 
+# Labels move along edges and along what is known (lo -> node -> hi); one statement, so one analysis a round.
+_SPREAD = """
+    WITH along AS (
+      SELECT root_path, src, dst FROM {live}
+      UNION ALL SELECT root_path, lo, node FROM {state} WHERE lo <> node
+      UNION ALL SELECT root_path, node, hi FROM {state} WHERE hi <> node),
+    sent AS (
+      SELECT a.root_path, inline(array(
+          named_struct('node', a.dst, 'lo', s.lo, 'hi', CAST(NULL AS STRING)),
+          named_struct('node', a.src, 'lo', CAST(NULL AS STRING), 'hi', d.hi)))
+      FROM along a
+      JOIN {state} s ON a.root_path = s.root_path AND a.src = s.node
+      JOIN {state} d ON a.root_path = d.root_path AND a.dst = d.node),
+    merged AS (
+      SELECT root_path, node, min(lo) AS lo, min(hi) AS hi, min(was_lo) AS was_lo, min(was_hi) AS was_hi
+      FROM (SELECT *, CAST(NULL AS STRING) AS was_lo, CAST(NULL AS STRING) AS was_hi FROM sent
+            UNION ALL SELECT root_path, node, lo, hi, lo, hi FROM {state})
+      GROUP BY root_path, node)
+    SELECT root_path, node, lo, hi, lo <> was_lo OR hi <> was_hi AS moved FROM merged
+"""
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """Import cycles: (root_path, component, size, member), one row per file on a cycle.
 
@@ -217,7 +220,13 @@ def cycles(edges: DataFrame) -> DataFrame:
     """
     links, _ = cut(edges.select("root_path", "src", "dst").dropna().distinct(), "edges")
     loops = links.where("src = dst").select("root_path", F.col("src").alias("component"), F.col("src").alias("member"))
-    live, n = cut(_trim(_trim(links.where("src <> dst"))), "live")
+    live, n = cut(links.where("src <> dst"), "live")
+    # Peel what leads into and out of cycles; a few passes, the labels settle the rest.
+    for _ in range(TRIMS):
+        before = n
+        live, n = cut(_trim(_trim(live)), "live") if n else (live, n)
+        if n == before:
+            break
     found: list[DataFrame] = []
     while n:
         labels = _labels(live)

@@ -48,13 +48,20 @@ def _longest_first(base: Column, segments: Column, forms) -> Column:
     return F.flatten(F.transform(lengths, lambda k: forms(_below(base, segments, k))))
 
 
-def js_candidates(directory: Column, target: Column) -> Column:
-    quoted = F.regexp_extract(target, r"""^[^"'`]*(?:"([^"]*)"|'([^']*)'|`([^`]*)`)""", 0)
-    spec = F.regexp_extract(quoted, r"""["'`](.*)["'`]$""", 1)
-    base = normalize(join_path(directory, spec))
+def _js_parts(ask: DataFrame) -> DataFrame:
+    """Column for JavaScript and TypeScript asks: the path a relative specifier means."""
+    quoted = F.regexp_extract("target", r"""^[^"'`]*(?:"([^"]*)"|'([^']*)'|`([^`]*)`)""", 0)
+    spec = F.when(F.col("language").isin(*JS), F.regexp_extract(quoted, r"""["'`](.*)["'`]$""", 1))
+    return ask.withColumn("_spec", spec).withColumn(
+        "_js", F.when(F.col("_spec").rlike(r"^\.\.?/"), normalize(join_path(F.col("dir"), F.col("_spec"))))
+    )
+
+
+def js_candidates() -> Column:
+    base = F.col("_js")
     tries = [F.concat(base, F.lit(s)) for s in JS_SUFFIXES]
     tries += [join_path(base, F.lit(s)) for s in JS_INDEX] + [base]
-    return F.when(spec.rlike(r"^\.\.?/"), _paths(*tries))
+    return F.when(base.isNotNull(), _paths(*tries))
 
 
 def c_candidates(directory: Column, target: Column) -> Column:
@@ -62,47 +69,66 @@ def c_candidates(directory: Column, target: Column) -> Column:
     return F.when(target != "", _paths(*(normalize(join_path(home, target)) for home in homes)))
 
 
-def python_candidates(directory: Column, package_root: Column, target: Column) -> Column:
-    head = F.regexp_extract(target, r"^from \s*(\S+)", 1)
-    dots = F.length(F.regexp_extract(head, r"^\.*", 0))
-    plain = F.regexp_extract(target, r"^import ([^,\s]*)", 1)
-    module = F.when(F.startswith(target, F.lit("from ")), F.substr(head, dots + 1)).when(
-        F.startswith(target, F.lit("import ")), plain
+def _python_parts(ask: DataFrame) -> DataFrame:
+    """Columns for Python asks: base folder, module segments, and whether there is a module."""
+    t = F.col("target")
+    head = F.regexp_extract(t, r"^from \s*(\S+)", 1)
+    module = F.when(F.startswith(t, F.lit("from ")), F.regexp_replace(head, r"^\.+", "")).when(
+        F.startswith(t, F.lit("import ")), F.regexp_extract(t, r"^import ([^,\s]*)", 1)
     )
-    base = F.when(dots > 0, _up(directory, dots - 1)).otherwise(package_root)
-    segs = F.filter(F.split(module, r"\."), lambda s: s != "")
-    whole = F.when(F.size(segs) == 0, base).otherwise(_below(base, segs, F.size(segs)))
-    shorter = _below(base, segs, F.greatest(F.size(segs) - 1, F.lit(1)))
+    dots = F.length(F.regexp_extract(head, r"^\.*", 0))
+    ours = F.col("language") == "python"
+    return ask.withColumns({"_dots": F.when(ours, dots), "_module": F.when(ours, module)}).withColumns({
+        "_py_base": F.when(F.col("_dots") > 0, _up(F.col("dir"), F.col("_dots") - 1)).otherwise(
+            F.coalesce("package_root", F.lit(""))
+        ),
+        "_py_segs": F.filter(F.split("_module", r"\."), lambda s: s != ""),
+    })
+
+
+def python_candidates() -> Column:
+    base, segs, n = F.col("_py_base"), F.col("_py_segs"), F.size("_py_segs")
+    whole = F.when(n == 0, base).otherwise(_below(base, segs, n))
+    shorter = _below(base, segs, F.greatest(n - 1, F.lit(1)))
     pair = lambda p: [_with_ext(p, "py"), join_path(p, F.lit("__init__.py"))]
-    tries = F.when(F.size(segs) > 1, _paths(*pair(whole), *pair(shorter))).otherwise(_paths(*pair(whole)))
-    return F.when(module.isNotNull() & ((F.size(segs) > 0) | (dots > 0)), tries)
+    tries = F.when(n > 1, _paths(*pair(whole), *pair(shorter))).otherwise(_paths(*pair(whole)))
+    return F.when(F.col("_module").isNotNull() & ((n > 0) | (F.col("_dots") > 0)), tries)
 
 
-def rust_candidates(directory: Column, crate_src: Column, target: Column, crate_root: bool = False) -> Column:
-    body = F.regexp_replace(target, r"^(?:pub )*(?:pub\(crate\) )*(?:pub\(super\) )*(?:use )*", "")
+def _rust_parts(ask: DataFrame) -> DataFrame:
+    """Columns for Rust asks: path segments, base folder, and the segments below it."""
+    body = F.regexp_replace("target", r"^(?:pub )*(?:pub\(crate\) )*(?:pub\(super\) )*(?:use )*", "")
     body = trim_space(F.regexp_replace(body, r";+\z", ""))
-    body = F.when(F.contains(body, F.lit("{")), F.regexp_replace(body, r"(?s)(?:::)*\{.*\z", "")).otherwise(body)
-    body = F.substring_index(body, " as ", 1)
+    # Only the path before a group counts, and the name before an alias.
+    body = F.substring_index(F.regexp_replace(body, r"(?s)(?:::)*\{.*\z", ""), " as ", 1)
     parts = F.transform(F.split(body, "::"), trim_space)
-    segs = F.when(F.element_at(parts, -1) == "*", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
-    first = F.try_element_at(segs, F.lit(1))
+    segs, first = F.col("_segs"), F.col("_first")
+    crate_src = F.coalesce("crate_src", F.lit(""))
     # Leading ``super`` segments each go one directory up.
     ups = F.size(F.split(F.regexp_extract(F.array_join(segs, "/"), r"^(?:super(?:/|$))*", 0), "super")) - 1
-    base = (
-        F.when(first == "crate", crate_src).when(first == "self", directory)
-        .when(first == "super", _up(directory, ups)).otherwise(crate_src)
+    staged = ask.withColumn("_parts", F.when((F.col("language") == "rust") & (body != ""), parts)).withColumn(
+        "_segs",
+        F.when(F.element_at("_parts", -1) == "*", F.slice("_parts", 1, F.size("_parts") - 1)).otherwise(F.col("_parts")),
     )
-    taken = F.when(first.isin("crate", "self"), 1).when(first == "super", ups).otherwise(0)
-    rest = F.slice(segs, taken + 1, F.greatest(F.size(segs) - taken, F.lit(0)))
+    return staged.withColumns({"_first": F.try_element_at(segs, F.lit(1)), "_ups": ups}).withColumns({
+        "_base": F.when(first == "self", F.col("dir")).when(first == "super", _up(F.col("dir"), F.col("_ups"))).otherwise(crate_src),
+        "_taken": F.when(first.isin("crate", "self"), 1).when(first == "super", F.col("_ups")).otherwise(0),
+    }).withColumn("_rest", F.slice(segs, F.col("_taken") + 1, F.greatest(F.size(segs) - F.col("_taken"), F.lit(0))))
+
+
+def rust_candidates(crate_root: bool = False) -> Column:
+    base, rest, first = F.col("_base"), F.col("_rest"), F.col("_first")
+    crate_src = F.coalesce("crate_src", F.lit(""))
     forms = lambda p: _paths(_with_ext(p, "rs"), join_path(p, F.lit("mod.rs")))
     extra = F.when(
         (base == crate_src) & (F.size(rest) > 0),
         _paths(join_path(crate_src, F.lit("lib.rs")), join_path(crate_src, F.lit("main.rs"))),
     ).otherwise(_paths()) if crate_root else _paths()
     bare = ~first.isin("crate", "self", "super")
-    near = F.when(bare, _longest_first(directory, segs, forms)).otherwise(_paths())
-    tries = F.concat(_longest_first(base, rest, forms), forms(base), extra, near)
-    return F.when((body != "") & first.isNotNull() & base.isNotNull(), tries)
+    near = F.when(bare, _longest_first(F.col("dir"), F.col("_segs"), forms)).otherwise(_paths())
+    return F.when(
+        first.isNotNull() & base.isNotNull(), F.concat(_longest_first(base, rest, forms), forms(base), extra, near)
+    )
 
 
 def go_candidates(module: Column, target: Column) -> Column:
@@ -204,14 +230,15 @@ def resolve_imports(
     ask = salted_join(ask, modules, ["root_path"], "left", ["dir", "target"])
     roots = package_roots(names, imports.where(F.col("language") == "python"))
     ask = salted_join(ask, roots, by_dir, "left", ["target"])
-    d, t = F.col("dir"), F.col("target")
+    # One column per step and language: later steps name earlier ones instead of repeating them.
+    ask = _js_parts(_python_parts(_rust_parts(ask)))
     language = F.col("language")
     candidates = (
-        F.when(language == "rust", rust_candidates(d, F.coalesce("crate_src", F.lit("")), t, resolve_crate_root))
-        .when(language.isin(*JS), js_candidates(d, t))
-        .when(language == "python", python_candidates(d, F.coalesce("package_root", F.lit("")), t))
-        .when((language == "go") & F.col("go_module").isNotNull(), go_candidates(F.col("go_module"), t))
-        .when(language.isin(*C), c_candidates(d, t))
+        F.when(language == "rust", rust_candidates(resolve_crate_root))
+        .when(language.isin(*JS), js_candidates())
+        .when(language == "python", python_candidates())
+        .when((language == "go") & F.col("go_module").isNotNull(), go_candidates(F.col("go_module"), F.col("target")))
+        .when(language.isin(*C), c_candidates(F.col("dir"), F.col("target")))
     )
     found = first_existing(
         ask.select(*by_dir, "language", "target", candidates.alias("_c")),

@@ -19,7 +19,7 @@ from corpuslens.operators import search as S
 from corpuslens.operators import snapshot as SN
 from corpuslens.plans import bindings as B
 from corpuslens.plans.index import extract_relations
-from corpuslens.session import tune
+from corpuslens.session import deal_out, tune
 from corpuslens.skew import byte_budget as budgeted
 from corpuslens.sources import records as RC
 from corpuslens.streaming import streams as ST
@@ -588,13 +588,14 @@ def storage_names(spark, d):
 @query
 def sanitize_cap(spark, d):
     """Every document as a map: fenced, cleaned and capped."""
-    docs = B.table(spark, d, "documents")
+    docs = deal_out(B.table(spark, d, "documents"))
     fenced = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.concat(F.lit("  ```text\n"), F.col("text"), F.lit("\n \n\n``` \n"))).otherwise(F.col("text"))
-    clean = T.sanitize_map(fenced)
-    capped = T.cap_bytes(clean)
-    return docs.select(
-        "doc_id", F.sha2(clean, 256).alias("clean_hash"), F.sha2(capped, 256).alias("capped_hash"),
-        F.octet_length(capped).cast("long").alias("capped_bytes"),
+    # Each step is its own column, so that no step is worked out twice.
+    out = docs.select("doc_id", fenced.alias("raw"))
+    out = out.withColumn("clean", T.sanitize_map(F.col("raw"))).withColumn("capped", T.cap_bytes(F.col("clean")))
+    return out.select(
+        "doc_id", F.sha2("clean", 256).alias("clean_hash"), F.sha2("capped", 256).alias("capped_hash"),
+        F.octet_length("capped").cast("long").alias("capped_bytes"),
     )
 
 
