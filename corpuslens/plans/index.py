@@ -12,10 +12,12 @@ from corpuslens.operators import extract as X
 from corpuslens.operators.resolve import go_modules, resolve_imports
 from corpuslens.operators.snapshot import diff_snapshots, evicted, moved, stale
 from corpuslens.session import cut
+from corpuslens.skew import salted_join
 from corpuslens.sources.corpus import decoded, indexable, read_content
-from corpuslens.sources.index_store import read_relation, replace_files
+from corpuslens.sources.index_store import SCHEMAS, read_relation, replace_files
 
 FILE = ["root_path", "file_path"]
+EXTRACTED = ("symbols", "imports", "identifiers", "callsites")
 
 
 def extract_relations(files: DataFrame) -> dict[str, DataFrame]:
@@ -34,10 +36,6 @@ def extract_relations(files: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def _languages(files: DataFrame) -> DataFrame:
-    return files.select(*FILE, "language")
-
-
 def table_reader(files: DataFrame) -> Callable[[DataFrame], DataFrame]:
     """Reader for a corpus that is already a table with ``content``."""
     return lambda wanted: files.select(*FILE, "content").join(wanted, FILE)
@@ -68,68 +66,73 @@ def build_index(
         removals = False
     index = read_relation(spark, path, "files")
     # Text is read once and kept, without the files that are not UTF-8.
-    good, skipped = decoded(reader(moved(known, index)))
-    text, _ = cut(good, "text")
-    skipped, _ = cut(skipped.select(*FILE), "skipped")
+    unseen = moved(known, index)
+    text, _ = cut(decoded(reader(unseen))[0], "text")
+    skipped, _ = cut(unseen.join(text.select(*FILE), FILE, "left_anti").select(*FILE), "skipped")
     hashes = text.select(*FILE, "content_hash")
     diff = diff_snapshots(known.join(skipped, FILE, "left_anti"), index, hashes)
     if not removals:
         diff = diff.where("status <> 'removed'")
-    diff, _ = cut(diff, "diff")
+    moves = F.col("status").isin("missing", "changed", "removed")
+    diff, changes = cut(diff, "diff", F.count_if(moves))
     good = text.join(stale(diff), FILE, "left_semi")
-    fresh = extract_relations(good)
-    imports, _ = cut(fresh["imports"], "imports")
-    fresh["imports"] = imports
-
-    # What other files import may have appeared, changed place or gone.
-    languages = _languages(good).unionByName(_languages(index.join(evicted(diff), FILE, "left_anti")))
-    gone = evicted(diff)
-    old_deps = read_relation(spark, path, "deps")
-    removed = diff.where("status = 'removed'").select("root_path", F.col("file_path").alias("importee_file"))
-    kept_deps = old_deps.join(
-        gone.select("root_path", F.col("file_path").alias("importer_file")), ["root_path", "importer_file"], "left_anti"
-    )
-    broken = kept_deps.where("importee_file is null").unionByName(
-        kept_deps.join(removed, ["root_path", "importee_file"], "left_semi").select(*kept_deps.columns)
-    )
-    again = broken.select(
-        "root_path", F.col("importer_file").alias("file_path"), F.col("raw_target").alias("target"), "line"
-    )
-    touched = again.select(*FILE).distinct()
-    # A retried file gets all its edges written again, so take its resolved ones along.
-    steady = kept_deps.join(
-        touched.select("root_path", F.col("file_path").alias("importer_file")), ["root_path", "importer_file"], "left_semi"
-    ).join(broken, ["root_path", "importer_file", "raw_target", "line"], "left_anti")
-    asks = imports.unionByName(again).join(languages, FILE)
-    modules = reader(listing.where(F.col("file_path") == "go.mod")).select(
-        *FILE, F.col("content").cast("string").alias("content")
-    )
-    deps = resolve_imports(asks, listing, go_modules(modules))
-    fresh["deps"], _ = cut(deps.unionByName(steady.select(*deps.columns)), "deps")
-
+    none = lambda name: spark.createDataFrame([], SCHEMAS[name])
+    fresh = extract_relations(good) if changes else {n: none(n) for n in EXTRACTED}
+    fresh = {name: cut(df, name)[0] for name, df in fresh.items()}
     records = good.select(
         *FILE, "language", "mtime_ns", "size_bytes", "content_hash", F.lit("").alias("package_id"), now.alias("indexed_at")
     )
     if packages is not None:
         ids = packages.groupBy(F.col("path").alias("root_path")).agg(F.min("identifier").alias("_id"))
-        records = records.join(ids, "root_path", "left").withColumn("package_id", F.coalesce("_id", F.lit(""))).drop("_id")
-    fresh["files"], _ = cut(records, "files")
-    fresh["identifiers"], _ = cut(fresh["identifiers"], "identifiers")
-    fresh["callsites"], _ = cut(fresh["callsites"], "callsites")
-
-    replaced = gone.unionByName(stale(diff)).distinct()
+        records = salted_join(records, ids, ["root_path"], "left", ["file_path"]).withColumn(
+            "package_id", F.coalesce("_id", F.lit(""))
+        ).drop("_id")
+    fresh["files"] = cut(records, "files")[0] if changes else none("files")
     stats, _ = cut(index_stats(fresh, skipped, diff), "stats")
-    _write(spark, path, fresh, replaced, touched)
+
+    gone, _ = cut(evicted(diff).unionByName(stale(diff)).distinct(), "gone")
+    edges, retried = _edges(spark, listing, path, index, fresh, diff, good, reader)
+    replace_files(spark, path, {"deps": edges}, retried)
+    if changes:
+        replace_files(spark, path, {n: fresh[n] for n in (*EXTRACTED, "files")}, gone)
     return stats
 
 
-def _write(spark: SparkSession, path: str, fresh: dict[str, DataFrame], replaced: DataFrame, touched: DataFrame) -> None:
-    """Edges are replaced for retried importers too; the other relations only for stale files."""
-    replaced, _ = cut(replaced, "replaced")
-    retried, _ = cut(replaced.unionByName(touched).distinct(), "retried")
-    replace_files(spark, path, {"deps": fresh["deps"]}, retried)
-    rest = {n: fresh[n] for n in ("symbols", "imports", "identifiers", "callsites", "files")}
-    replace_files(spark, path, rest, replaced)
+def _edges(spark, listing, path, index, fresh, diff, good, reader) -> tuple[DataFrame, DataFrame]:
+    """New dependency rows, and the files whose rows they replace.
+
+    Besides the stale files these are the importers whose target was not found
+    before or has gone: what they import may have appeared or changed place.
+    """
+    gone = evicted(diff)
+    importer = ["root_path", "importer_file"]
+    as_importer = lambda df: df.select("root_path", F.col("file_path").alias("importer_file"))
+    kept = read_relation(spark, path, "deps").join(as_importer(gone), importer, "left_anti")
+    removed = diff.where("status = 'removed'").select("root_path", F.col("file_path").alias("importee_file"))
+    broken = kept.where("importee_file is null").unionByName(
+        kept.join(removed, ["root_path", "importee_file"], "left_semi").select(*kept.columns)
+    )
+    broken, _ = cut(broken, "broken")
+    again = broken.select("root_path", F.col("importer_file").alias("file_path"), F.col("raw_target").alias("target"), "line")
+    touched = again.select(*FILE).distinct()
+    asks, n = cut(fresh["imports"].unionByName(again), "asks")
+    if not n:
+        # Nothing to resolve; only the rows of changed and removed files go.
+        return read_relation(spark, path, "deps").where(F.lit(False)), gone.unionByName(stale(diff)).distinct()
+    languages = good.select(*FILE, "language").unionByName(
+        index.join(gone, FILE, "left_anti").select(*FILE, "language")
+    )
+    # Of all files only the names matter here, and the text of each go.mod.
+    modules = reader(listing.where(F.col("file_path") == "go.mod")).select(
+        *FILE, F.col("content").cast("string").alias("content")
+    )
+    deps = resolve_imports(asks.join(languages, FILE), listing, go_modules(modules))
+    # A retried file gets all its edges written again, so take its other ones along.
+    steady = kept.join(as_importer(touched), importer, "left_semi").join(
+        broken, [*importer, "raw_target", "line"], "left_anti"
+    )
+    edges, _ = cut(deps.unionByName(steady.select(*deps.columns)), "deps")
+    return edges, gone.unionByName(stale(diff)).unionByName(touched).distinct()
 
 
 def index_stats(fresh: dict[str, DataFrame], skipped: DataFrame, diff: DataFrame) -> DataFrame:

@@ -57,22 +57,18 @@ def write_relation(df: DataFrame, path: str, name: str, buckets: int = BUCKETS)
 def replace_files(
     spark: SparkSession, path: str, new: dict[str, DataFrame], gone: DataFrame, buckets: int = BUCKETS
 ) -> None:
-    """Replace all rows of ``gone(root_path, file_path)`` files by ``new`` rows, in every relation.
+    """Replace all rows of ``gone(root_path, file_path)`` files by ``new`` rows, all of such files.
 
     Only partitions that hold such files are read and rewritten. The new state of each is
     written to the scratch folder before the old one is touched. ``files`` comes last: a
     run that fails before it leaves the old stamps, so the next run does the work again.
     """
+    slots, n = cut(gone.select("root_path", bucket_of("file_path", buckets).alias("bucket")).distinct(), "slots")
+    if not n:
+        return
     for name in sorted(new, key=lambda n: n == "files"):
         owner = OWNER[name]
         rows = new[name].select(*SCHEMAS[name].names)
-        slots = (
-            gone.select("root_path", bucket_of("file_path", buckets).alias("bucket"))
-            .unionByName(rows.select("root_path", bucket_of(owner, buckets).alias("bucket"))).distinct()
-        )
-        slots, n = cut(slots, "slots")
-        if not n:
-            continue
         old = read_relation(spark, path, name)
         keys = gone.select("root_path", F.col("file_path").alias(owner))
         kept = (

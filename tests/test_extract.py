@@ -1,5 +1,8 @@
+import pytest
+
 from corpuslens.operators import extract as X
 from corpuslens.operators import lookup as L
+from corpuslens.plans.index import extract_relations
 from tests.conftest import rows
 
 RUST = '''use std::path::Path;
@@ -148,21 +151,23 @@ enum class Color { Red };
 '''
 
 
-def parsed(tree, name, text):
-    files = tree({name: text})
-    lines = X.code_lines(files)
-    blocks = X.blocks(lines)
-    symbols = X.symbols(blocks)
-    return files, lines, blocks, symbols
+SAMPLES = {"a.rs": RUST, "a.py": PY, "a.ts": TS, "a.go": GO, "a.c": C, "a.cpp": CPP}
+
 
+@pytest.fixture(scope="module")
+def parsed(tree):
+    """All samples through one pass: name -> (symbol rows, callsite rows)."""
+    out = extract_relations(tree(SAMPLES))
+    symbols, calls = out["symbols"].collect(), out["callsites"].collect()
+    return {n: ([s for s in symbols if s.file_path == n], [c for c in calls if c.caller_file == n]) for n in SAMPLES}
 
-def found(symbols):
-    return set(rows(symbols, "name", "kind", "line", "end_line", "parent"))
 
+def found(parsed, name):
+    return {(s.name, s.kind, s.line, s.end_line, s.parent) for s in parsed[name][0]}
 
-def test_rust_symbols(tree):
-    *_, symbols = parsed(tree, "a.rs", RUST)
-    assert found(symbols) == {
+
+def test_rust_symbols(parsed):
+    assert found(parsed, "a.rs") == {
         ("LIMIT", "const", 7, 7, None),
         ("Foo", "struct", 10, 12, None),
         ("Shape", "trait", 14, 17, None),
@@ -171,13 +176,12 @@ def test_rust_symbols(tree):
         ("two", "method", 25, 25, "Foo"),
         ("helper", "function", 28, 32, None),
     }
-    vis = {r.name: r.visibility for r in symbols.collect()}
+    vis = {s.name: s.visibility for s in parsed["a.rs"][0]}
     assert vis["Foo"] == "pub" and vis["two"] == "pub(crate)" and vis["helper"] is None
 
 
-def test_python_symbols(tree):
-    *_, symbols = parsed(tree, "a.py", PY)
-    assert found(symbols) == {
+def test_python_symbols(parsed):
+    assert found(parsed, "a.py") == {
         ("MAX_SIZE", "const", 7, 7, None),
         ("top", "function", 12, 14, None),
         ("Thing", "class", 17, 25, None),
@@ -187,9 +191,8 @@ def test_python_symbols(tree):
     }
 
 
-def test_typescript_symbols(tree):
-    *_, symbols = parsed(tree, "a.ts", TS)
-    assert found(symbols) == {
+def test_typescript_symbols(parsed):
+    assert found(parsed, "a.ts") == {
         ("run", "function", 7, 10, None),
         ("y", "const", 8, 8, None),
         ("Panel", "class", 12, 19, None),
@@ -199,9 +202,8 @@ def test_typescript_symbols(tree):
     }
 
 
-def test_go_symbols(tree):
-    *_, symbols = parsed(tree, "a.go", GO)
-    assert found(symbols) == {
+def test_go_symbols(parsed):
+    assert found(parsed, "a.go") == {
         ("Single", "const", 8, 8, None),
         ("First", "const", 11, 11, None),
         ("Second", "const", 12, 12, None),
@@ -211,20 +213,35 @@ def test_go_symbols(tree):
     }
 
 
-def test_c_symbols(tree):
-    *_, symbols = parsed(tree, "a.c", C)
-    assert found(symbols) == {
+def test_c_symbols(parsed):
+    assert found(parsed, "a.c") == {
         ("point", "struct", 4, 6, None),
         ("add", "function", 8, 11, None),
         ("main", "function", 13, 17, None),
         ("point", "struct", 14, 14, None),
     }
-    *_, symbols = parsed(tree, "a.cpp", CPP)
-    assert {(r.name, r.kind) for r in symbols.collect()} == {
+    assert {t[:2] for t in found(parsed, "a.cpp")} == {
         ("geo", "module"), ("Shape", "class"), ("area", "function"), ("Color", "enum"),
     }
 
 
+def test_callsites(parsed):
+    def calls(name):
+        return {(c.caller_line, c.caller_symbol, c.callee_name, c.callee_kind) for c in parsed[name][1]}
+
+    rust = calls("a.rs")
+    assert {(22, "one", "helper", "call"), (29, "helper", "println", "macro"), (30, "helper", "Foo", "type_ref"), (30, "helper", "make", "call")} <= rust
+    assert not any(c[2] in ("fake", "Ghost") for c in rust)
+    assert not any(c[0] == 10 for c in rust)  # the definition of Foo is no reference
+    assert {(14, "top", "helper", "call"), (19, "first", "join", "call"), (25, "second", "inner", "call")} <= calls("a.py")
+    ts = calls("a.ts")
+    assert {(8, "run", "Widget", "call"), (9, "run", "render", "call"), (16, "draw", "paint", "call")} <= ts
+    assert not any(c[2] in ("if", "draw", "run") for c in ts)
+    assert {(20, "Run", "Println", "call"), (25, "main", "Server", "type_ref"), (26, "main", "Run", "call")} <= calls("a.go")
+    assert {(15, "main", "printf", "call"), (15, "main", "add", "call")} <= calls("a.c")
+    assert not any(c[0] == 8 and c[2] == "add" for c in calls("a.c"))
+
+
 def test_imports(tree):
     def of(name, text, **kw):
         return rows(X.imports(tree({name: text}), **kw), "line", "target")
@@ -252,35 +269,6 @@ def test_identifiers_skip_short_and_masked(tree):
     ]
 
 
-def test_callsites(tree):
-    _, lines, blocks, symbols = parsed(tree, "a.rs", RUST)
-    calls = set(rows(X.callsites(lines, blocks, symbols), "caller_line", "caller_symbol", "callee_name", "callee_kind"))
-    assert (22, "one", "helper", "call") in calls
-    assert (29, "helper", "println", "macro") in calls
-    assert (30, "helper", "Foo", "type_ref") in calls
-    assert (30, "helper", "make", "call") in calls
-    assert not any(c[2] in ("fake", "Ghost") for c in calls)
-    assert not any(c[0] == 10 for c in calls)  # the definition of Foo is no reference
-
-    _, lines, blocks, symbols = parsed(tree, "a.py", PY)
-    calls = set(rows(X.callsites(lines, blocks, symbols), "caller_line", "caller_symbol", "callee_name"))
-    assert (14, "top", "helper") in calls and (19, "first", "join") in calls and (25, "second", "inner") in calls
-
-    _, lines, blocks, symbols = parsed(tree, "a.ts", TS)
-    calls = set(rows(X.callsites(lines, blocks, symbols), "caller_line", "caller_symbol", "callee_name", "callee_kind"))
-    assert {(8, "run", "Widget", "call"), (9, "run", "render", "call"), (16, "draw", "paint", "call")} <= calls
-    assert not any(c[2] in ("if", "draw", "run") for c in calls)
-
-    _, lines, blocks, symbols = parsed(tree, "a.go", GO)
-    calls = set(rows(X.callsites(lines, blocks, symbols), "caller_line", "caller_symbol", "callee_name", "callee_kind"))
-    assert {(20, "Run", "Println", "call"), (25, "main", "Server", "type_ref"), (26, "main", "Run", "call")} <= calls
-
-    _, lines, blocks, symbols = parsed(tree, "a.c", C)
-    calls = set(rows(X.callsites(lines, blocks, symbols), "caller_line", "caller_symbol", "callee_name"))
-    assert {(15, "main", "printf"), (15, "main", "add")} <= calls
-    assert not any(c[0] == 8 and c[2] == "add" for c in calls)
-
-
 def test_fallback_outline(tree):
     text = "  def one(x)\nfunc two()\nclass Three:\nfn (x)\nother\ntype été_9 = 1\nstruct " + "x" * 300 + "\n"
     out = X.fallback_outline(L.lines(tree({"notes": text})))
