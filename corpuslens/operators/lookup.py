@@ -14,11 +14,43 @@ from corpuslens.functions.text import (
     line_tokens,
     split_lines,
 )
+from corpuslens.operators.extract import fallback_outline
 from corpuslens.skew import salted_join, top_n
 
 HOT_LIMIT = 20
 FILE = ["root_path", "file_path"]
 
+# Order of listings; every one is total, so a limit on it is repeatable.
+LISTING_ORDER = {
+    "symbols": [*FILE, "line", "name", "kind"],
+    "imports": [*FILE, "line", "target"],
+    "identifiers": [*FILE, "line", "token"],
+    "deps": ["root_path", "importer_file", "line", "raw_target"],
+    "callsites": ["root_path", "caller_file", "caller_line", "callee_name", "callee_kind", "caller_symbol"],
+    "packages": ["identifier"],
+    "tree": ["root_path", "path"],
+}
+
+
+def listing(rows: DataFrame, relation: str) -> DataFrame:
+    """Rows of a relation in the order they are listed."""
+    return rows.orderBy(*LISTING_ORDER[relation])
+
+
+def find(rows: DataFrame, column: str, value: str) -> DataFrame:
+    """Rows by id or identifier."""
+    return rows.where(F.col(column) == value)
+
+
+def forward_edges(deps: DataFrame, root: str, importer: str) -> DataFrame:
+    """Imports of one file with what they resolve to, by line."""
+    return deps.where((F.col("root_path") == root) & (F.col("importer_file") == importer)).orderBy("line", "raw_target")
+
+
+def callsites_of(callsites: DataFrame, root: str, name: str) -> DataFrame:
+    """Callsites of one name, by file and line."""
+    return listing(callsites.where((F.col("root_path") == root) & (F.col("callee_name") == name)), "callsites")
+
 
 def lines(files: DataFrame) -> DataFrame:
     """Every line of every file, 1-based."""
@@ -39,6 +71,14 @@ def word_hits(index: DataFrame, token: str, ignore_case: bool = False) -> DataFr
     return index.where(have == want).select(*FILE, "line", "token")
 
 
+def corpus_word_hits(files: DataFrame, token: str, ignore_case: bool = False) -> DataFrame:
+    """The same straight from file rows: texts and lines without the word are dropped before tokens are made."""
+    want = fold_ascii(F.lit(token)) if ignore_case else F.lit(token)
+    fold = fold_ascii if ignore_case else (lambda c: c)
+    near = lines(files.where(F.contains(fold(F.col("content")), want))).where(F.contains(fold(F.col("text")), want))
+    return word_hits(identifiers(near), token, ignore_case)
+
+
 def word_hits_many(index: DataFrame, words: DataFrame, ignore_case: bool = False) -> DataFrame:
     """The same for a table of requests ``words(word)``."""
     have = fold_ascii(F.col("token")) if ignore_case else F.col("token")
@@ -109,6 +149,19 @@ def outline(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFra
     return files.join(syms, FILE, "left").join(imps, FILE, "left")
 
 
+def outline_or_fallback(files: DataFrame, indexed: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """Outline rows of the asked ``files``: from the index, or the generic outline of their text.
+
+    ``indexed`` is the files relation. Only names go through the join that tells the two
+    apart; text is read for the files that are not indexed.
+    """
+    asked = files.select(*FILE)
+    known = outline_rows(symbols.join(asked, FILE, "left_semi"), imports.join(asked, FILE, "left_semi"))
+    rest = asked.join(indexed.select(*FILE), FILE, "left_anti")
+    generic = fallback_outline(lines(files)).join(rest, FILE, "left_semi")
+    return known.unionByName(outline_rows(generic, imports.where(F.lit(False))))
+
+
 def outline_rows(symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """The outline as rows tagged ``symbol`` or ``import``."""
     return symbols.select(

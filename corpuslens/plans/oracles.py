@@ -73,6 +73,15 @@ ORACLES["symbol_prefix"] = f"""WITH {SYMBOLS} SELECT root_path, file_path, name,
 WHERE regexp_matches(name, '^[Tt][Hh]') AND kind = 'of'"""
 ORACLES["symbols_by_kind"] = f"""WITH {SYMBOLS} SELECT root_path, file_path, kind, count(*) AS n, string_agg(name, ',' ORDER BY line, name) AS names
 FROM symbols GROUP BY root_path, file_path, kind"""
+ORACLES["outline_mixed"] = f"""WITH {TOKENS},
+  known AS (SELECT * FROM lines JOIN files USING (root_path, file_path) WHERE language IS NOT NULL)
+SELECT root_path, file_path, line, 'symbol' AS entry, kind, name AS text FROM {outline_of('(SELECT root_path, file_path, line, text FROM known)')} WHERE name IS NOT NULL
+UNION ALL SELECT t.root_path, t.file_path, t.line, 'import', NULL, t.token FROM tokens t JOIN files f USING (root_path, file_path)
+  WHERE f.language IS NOT NULL AND lower(token) = 'license'
+UNION ALL SELECT root_path, file_path, line, 'symbol', kind, name FROM (
+  SELECT l.*, CASE WHEN regexp_matches(text, '^\\s*(fn|func|def) [\\p{{L}}\\p{{N}}_]') THEN 'function' ELSE regexp_extract(text, '^\\s*(class|struct|type) [\\p{{L}}\\p{{N}}_]', 1) END AS kind,
+    regexp_extract(text, '^\\s*(?:fn|func|def|class|struct|type) ([\\p{{L}}\\p{{N}}_]+)', 1) AS name
+  FROM lines l JOIN files f USING (root_path, file_path) WHERE f.language IS NULL) WHERE name <> ''"""
 ORACLES["read_ranges"] = f"""WITH {LINES},
   r AS (SELECT root_path, file_path, mtime_ns // 1000 % 9 - 1 AS "start", mtime_ns // 1000 % 9 - 1 + size_bytes % 5 - 1 AS "end", sha256(content) AS content_hash FROM files),
   t AS (SELECT root_path, file_path, count(*) AS total_lines FROM lines GROUP BY ALL)

@@ -66,8 +66,7 @@ def word_hits(spark, d):
 
 @query
 def word_hits_ignore_case(spark, d):
-    index = L.identifiers(L.lines(B.files(spark, d)))
-    return L.word_hits(index, "LA", ignore_case=True).select("root_path", "file_path", *big("line"), "token")
+    return L.corpus_word_hits(B.files(spark, d), "LA", ignore_case=True).select("root_path", "file_path", *big("line"), "token")
 
 
 @query
@@ -149,6 +148,19 @@ def file_outline(spark, d):
     )
 
 
+@query
+def outline_mixed(spark, d):
+    """Outline of every document: from the index where its language is known, else the generic one."""
+    files = B.files(spark, d)
+    indexed = files.where("language is not null")
+    symbols = X.fallback_outline(L.lines(indexed), PROSE_RULES)
+    imports = L.word_hits(L.identifiers(L.lines(indexed)), "license", ignore_case=True).select(
+        "root_path", "file_path", F.col("token").alias("target"), "line"
+    )
+    out = L.outline_or_fallback(files, indexed, symbols, imports)
+    return out.select("root_path", "file_path", *big("line"), "entry", "kind", "text")
+
+
 @query
 def read_ranges(spark, d):
     """A line range of every document: in order, reversed, open, and beyond the end."""

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SALTS = 16
+DEFAULT_BUDGET = 16384  # bytes of one answer
 _SALT = "_salt"
 
 
@@ -72,7 +73,7 @@ def byte_budget(
     keys: Sequence[str],
     order: Sequence[Column],
     spread: Sequence[str],
-    budget: int,
+    budget: int = DEFAULT_BUDGET,
     size: Column | None = None,
     salts: int = SALTS,
 ) -> DataFrame:

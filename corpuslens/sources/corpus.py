@@ -44,21 +44,27 @@ def _list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=columns)
 
 
-def list_trees(roots: DataFrame, keep_hidden: bool = False) -> DataFrame:
+IGNORE_FILES = (".gitignore", ".ignore")
+
+
+def list_trees(roots: DataFrame, keep_hidden: bool = False, ignore_files: bool = False) -> DataFrame:
     """Every file below ``roots(root_path, location)``: stat columns, no content.
 
     Spark's own file sources skip empty files and names that start with an underscore,
     and source trees are full of both. So folders are listed by tasks, one tree level
     per round for all roots together; a wide folder level spreads over the cluster.
-    Hidden entries and what is below them are left out.
+    Hidden entries and what is below them are left out, but for the ignore files if
+    those are wanted (see :func:`list_visible`).
     """
+    name = F.substring_index("file_path", "/", -1)
+    wanted = name.isin(*IGNORE_FILES) if ignore_files else F.lit(False)
     found = []
     level, n = roots.select("root_path", "location", F.lit("").alias("folder")), 1
     while n:
         spread = level.repartition("root_path", "folder")
         entries = spread.mapInPandas(_list_level, _LISTING)
         if not keep_hidden:
-            entries = entries.where(~F.startswith(F.substring_index("file_path", "/", -1), F.lit(".")))
+            entries = entries.where(~F.startswith(name, F.lit(".")) | wanted)
         entries, n = cut(entries, "listing", F.count_if("is_dir"))
         found.append(entries.where(~F.col("is_dir")).drop("is_dir"))
         level = entries.where("is_dir").select("root_path", "location", F.col("file_path").alias("folder"))
@@ -90,6 +96,14 @@ def read_content(listing: DataFrame) -> DataFrame:
     return listing.repartition("root_path", "file_path").mapInPandas(_read_batch, schema)
 
 
+def list_visible(roots: DataFrame) -> DataFrame:
+    """Files of the roots that their own ignore files do not hide."""
+    every = list_trees(roots, ignore_files=True)
+    ignoring = F.substring_index("file_path", "/", -1).isin(*IGNORE_FILES)
+    texts, _ = decoded(read_content(every.where(ignoring)))
+    return apply_ignore(every.where(~ignoring), ignore_rules(texts))
+
+
 def scan_files(spark: SparkSession, path: str, root: str | None = None, keep_hidden: bool = False) -> DataFrame:
     """All files below one folder, with content."""
     roots = spark.createDataFrame([(path if root is None else root, path)], "root_path string, location string")

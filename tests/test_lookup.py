@@ -14,6 +14,8 @@ def test_words(tree, make):
     assert rows(L.word_hits(index, "foo"), "file_path", "line") == [("a", 1), ("a", 2), ("b", 2)]
     assert len(rows(L.word_hits(index, "FOO", ignore_case=True))) == 4
     assert ("foo", 3, 2) in rows(L.word_totals(index)) and rows(L.word_totals(index)) == rows(L.corpus_word_totals(files))
+    for word, fold in (("foo", False), ("FOO", True), ("bar", False)):
+        assert rows(L.corpus_word_hits(files, word, fold)) == rows(L.word_hits(index, word, fold))
     words = make("word string", [("bar",), ("none",), ("xfoo",)])
     assert rows(L.word_hits_many(index, words), "word", "file_path") == [("bar", "a"), ("xfoo", "b")]
 
@@ -30,6 +32,24 @@ def test_symbol_lookup(make):
     assert rows(counts, "file_path", "symbols") == [("a", 4), ("none", 0)]
 
 
+def test_outline_or_fallback(tree, make):
+    files = tree({"known.rs": "fn one() {}\n", "notes": "def two\n", "other.rs": "fn three() {}\n"})
+    symbols = make("root_path string, file_path string, name string, kind string, line int", [("/r", "known.rs", "one", "function", 1), ("/r", "gone.rs", "x", "function", 1)])
+    imports = make("root_path string, file_path string, target string, line int", [("/r", "known.rs", "a::b", 1)])
+    out = L.outline_or_fallback(files, files.where("file_path = 'known.rs'"), symbols, imports)
+    assert rows(out, "file_path", "entry", "text") == [
+        ("known.rs", "import", "a::b"), ("known.rs", "symbol", "one"), ("notes", "symbol", "two"), ("other.rs", "symbol", "three")]
+
+
+def test_listings(make):
+    d = make("root_path string, importer_file string, importee_file string, raw_target string, line int", [("r", "a", None, "z", 2), ("r", "a", "b", "b", 1), ("q", "a", "b", "b", 1)])
+    assert [r.line for r in L.forward_edges(d, "r", "a").collect()] == [1, 2]
+    assert [r.root_path for r in L.listing(d, "deps").collect()] == ["q", "r", "r"]
+    c = make("root_path string, caller_file string, caller_line int, caller_symbol string, callee_name string, callee_kind string", [("r", "b", 1, None, "f", "call"), ("r", "a", 9, "g", "f", "call"), ("r", "a", 1, "g", "h", "call")])
+    assert [r.caller_file for r in L.callsites_of(c, "r", "f").collect()] == ["a", "b"]
+    assert L.find(c, "callee_name", "h").count() == 1
+
+
 def test_read_ranges(tree, make):
     files = tree({"f": "1\n2\n3\n4\n", "empty": ""})
     ask = lambda *r: make("root_path string, file_path string, start int, end int", [("/r", *x) for x in r])
