@@ -7,6 +7,14 @@ lets row-group statistics prune exact-name reads.
 
 from __future__ import annotations
 
+import contextlib
+import os
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pandas as pd
+import pyarrow.fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,16 +40,20 @@ def bucket_of(owner: str, buckets: int = BUCKETS):
 
 def read_relation(spark: SparkSession, path: str, name: str, root: str | None = None) -> DataFrame:
     """One relation; an index that was never written reads as empty."""
-    schema = SCHEMAS[name]
-    location = f"{path}/{name}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(location)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], schema)
-    stored = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
-    df = spark.read.schema(stored).parquet(location).select(*schema.names)
+    try:
+        df = _stored(spark, path, name).select(*SCHEMAS[name].names)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], SCHEMAS[name])
     return df if root is None else df.where(F.col("root_path") == root)
 
 
+def _stored(spark: SparkSession, path: str, name: str) -> DataFrame:
+    fields = [*SCHEMAS[name].fields, T.StructField("bucket", T.IntegerType())]
+    return spark.read.schema(T.StructType(fields)).parquet(f"{path}/{name}")
+
+
 def write_relation(df: DataFrame, path: str, name: str, buckets: int = BUCKETS) -> None:
     """Write whole partitions; partitions that ``df`` has no rows for stay as they are."""
     owner = OWNER[name]
@@ -80,15 +92,33 @@ def replace_files(
         write_relation(state, path, name, buckets)
         # A slot that lost its last row has nothing to write; empty it.
         left = state.select("root_path", bucket_of(owner, buckets).alias("bucket")).distinct()
-        _drop_empty(spark, f"{path}/{name}", slots.join(left, ["root_path", "bucket"], "left_anti"))
-
-
-def _drop_empty(spark: SparkSession, location: str, slots: DataFrame) -> None:
-    """Delete partition folders by name; one entry per emptied folder, never per row."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    for row in slots.toLocalIterator():
-        folder = fs_path(f"{location}/root_path={escape(row.root_path)}/bucket={row.bucket}")
-        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(folder):
-            fs.delete(folder, True)
+        _drop_empty(spark, path, name, slots.join(left, ["root_path", "bucket"], "left_anti"))
+
+
+def _delete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for uri in batch.file:
+            # A task that runs again finds some of its files gone; that is fine.
+            with contextlib.suppress(FileNotFoundError):
+                if uri.startswith("file:"):
+                    os.remove("/" + unquote(uri.removeprefix("file:")).lstrip("/"))
+                else:
+                    fs, where = pyarrow.fs.FileSystem.from_uri(uri)
+                    fs.delete_file(where)
+        yield batch
+
+
+def _drop_empty(spark: SparkSession, path: str, name: str, slots: DataFrame) -> None:
+    """Delete the old files of ``slots`` in tasks."""
+    slots, n = cut(slots, "emptied")
+    if not n:
+        return
+    try:
+        old = _stored(spark, path, name).select("root_path", "bucket", F.col("_metadata.file_path").alias("file"))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return
+    files, n = cut(old.join(slots, ["root_path", "bucket"], "left_semi").select("file").distinct(), "dropped")
+    if n:
+        files.mapInPandas(_delete, "file string").write.format("noop").mode("overwrite").save()

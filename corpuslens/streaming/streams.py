@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuslens.session import scratch_path
 from corpuslens.sources.records import parse_logs
@@ -46,7 +47,8 @@ def drain(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFr
         .trigger(availableNow=True).foreachBatch(save).start()
     )
     run.awaitTermination()
-    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(out)
+    stored = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    rows = spark.read.schema(stored).parquet(out)
     if mode != "update":
         return rows.drop("batch")
     value = F.struct(*[c for c in rows.columns if c not in (*keys, "batch")])
