@@ -123,7 +123,7 @@ def _per_line(line_rows: DataFrame) -> DataFrame:
     braced = F.col("language") != "python"
     indent = F.length(F.regexp_extract(code, r"^[ \t]*", 0))
     short = line_rows.select(
-        *FILE, "language", "line", "text", "code", F.coalesce(_hits(), F.array()).alias("hits")
+        *FILE, "language", "line", "text", "code", F.coalesce(F.when(F.trim("code") != "", _hits()), F.array()).alias("hits")
     ).select(
         *FILE, "language", "line", "hits",
         F.when(braced, lead).otherwise(0).alias("lead"),
