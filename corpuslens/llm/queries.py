@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuslens.llm import minhash
+from corpuslens.llm import bpe, lines, minhash, mixing, quality
 from corpuslens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,5 +17,28 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_minhash_near_dedup,)}
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~held)
+    return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op6_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("deleted_lines").cast("long").alias("n_deleted"),
+                      F.sha2(F.array_join("deleted_lines", ","), 256).alias("deleted_sha256"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    return mixing.mix(docs, labelled, "lang").select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), "p", "rate", "copies")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op2_minhash_near_dedup, op4_quality_classifier, op6_bpe_encoding, op7_line_dedup, op8_source_mixing)}
 ORACLES: dict[str, str] = {}
