@@ -125,6 +125,27 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, np
         at = end
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of the neighbouring rows with equal ``keys`` (whole numbers), also over the borders of batches."""
+    rest: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        at = np.stack([t.column(k).to_numpy() for k in keys])
+        edges = np.concatenate([[0], np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1, [t.num_rows]])
+        if rest and any(rest[0].column(k)[0] != t.column(k)[0] for k in keys):
+            yield pa.concat_tables(rest)
+            rest = []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            rest.append(t.slice(lo, hi - lo))
+            if hi < t.num_rows:
+                yield pa.concat_tables(rest)
+                rest = []
+    if rest:
+        yield pa.concat_tables(rest)
+
+
 def longs(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

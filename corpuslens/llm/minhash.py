@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import components, lists, longs, mix, texts, words_of
+from corpuslens.llm.common import components, lists, longs, mix, runs, texts, words_of
 from corpuslens.session import cut
 
 WORDS = 5  # words of a shingle
@@ -151,19 +151,8 @@ def _within(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Recor
                 found.append((np.minimum(doc[o], doc[k]), np.maximum(doc[o], doc[k])))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 2, ["a", "b"])
 
-    rest = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        t = pa.concat_tables([rest, t]) if rest is not None else t
-        if not t.num_rows:
-            continue
-        at = np.stack([t.column(c).to_numpy() for c in ("key", "i", "j")])
-        edges = np.concatenate([[0], np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1])
-        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            yield pairs(t.slice(lo, hi - lo))
-        rest = t.slice(edges[-1])
-    if rest is not None:
-        yield pairs(rest)
+    for t in runs(batches, ["key", "i", "j"]):
+        yield pairs(t)
 
 
 def _labelled(rows: DataFrame, member: DataFrame) -> DataFrame:

@@ -7,16 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, lines, minhash, mixing, quality
+from corpuslens.llm import ann, bpe, chat, lines, minhash, mixing, multi_index, pii, quality
 from corpuslens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_posting_list_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 20 = 0"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~held)
@@ -39,6 +48,19 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, labelled, "lang").select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), "p", "rate", "copies")
 
 
+def op9_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = pii.spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return every.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.concat("base", "terms")).alias("spans"))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    return chat.digests(turns.union(spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], turns.schema)))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op2_minhash_near_dedup, op4_quality_classifier, op6_bpe_encoding, op7_line_dedup, op8_source_mixing)}
+    op1_posting_list_search, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_quality_classifier, op6_bpe_encoding,
+    op7_line_dedup, op8_source_mixing, op9_pii_sanitisation, op10_chat_formatting)}
 ORACLES: dict[str, str] = {}
