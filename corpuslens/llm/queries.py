@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import ann, bpe, chat, lines, minhash, mixing, multi_index, pii, quality
+from corpuslens.llm import ann, bpe, chat, lines, minhash, mixing, multi_index, pii, pitman_yor, quality
 from corpuslens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,12 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+def op5_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    scored = pitman_yor.scores(table(spark, sf_dir, "documents"), learn=~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -61,6 +67,6 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_posting_list_search, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_quality_classifier, op6_bpe_encoding,
-    op7_line_dedup, op8_source_mixing, op9_pii_sanitisation, op10_chat_formatting)}
+    op1_posting_list_search, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_quality_classifier, op5_pitman_yor_scores,
+    op6_bpe_encoding, op7_line_dedup, op8_source_mixing, op9_pii_sanitisation, op10_chat_formatting)}
 ORACLES: dict[str, str] = {}
