@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 SIGNATURE_CHARS = 200
 DISPLAY_CHARS = 80
 MAP_BYTES = 3000
-LARGE_FILE_BYTES = 5 * 1024 * 1024
 IDENTIFIER = r"[\p{L}_][\p{L}\p{N}_]*"
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -43,10 +42,9 @@ def split_lines(text: Column) -> Column:
     )
 
 
-def line_count(text: Column, size: Column | None = None) -> Column:
-    """Number of lines; null for large files."""
-    n = F.size(split_lines(text)).cast("long")
-    return n if size is None else F.when(size < LARGE_FILE_BYTES, n)
+def line_count(text: Column) -> Column:
+    """Number of lines."""
+    return F.size(split_lines(text)).cast("long")
 
 
 def fold_ascii(text: Column) -> Column:

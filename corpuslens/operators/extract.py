@@ -299,7 +299,7 @@ def imports(files: DataFrame, first_line_only: bool = False) -> DataFrame:
         r"""|^[ \t]*export\s+(?:type\s+)?(?:\*|\{[^}]*\})[^'"`;\n]*?(?:from\s*['"][^'"\n]*['"])?;?"""
         r"""|^[ \t]*export\s[^\n]*"""
     )
-    py = r"^[ \t]*from[ \t]+\S+[ \t]+import[ \t]*\([^)]*\)|^[ \t]*(?:from|import)[ \t](?:[^\n\\]|\\\n|\\.)*"
+    py = r"^[ \t]*from[ \t]+\S+[ \t]+import[ \t]*\([^)]*\)|^[ \t]*(?:from|import)[ \t][^\n\\]*+(?:\\(?s:.)[^\n\\]*+)*+"
     go = r"^import\s*\([^)]*\)|^import\s[^\n]*"
     inc = r'^[ \t]*#[ \t]*include[ \t]*[^\n]*'
     doc = r'"""(?s:.*?)"""|' + r"'''(?s:.*?)'''"

@@ -17,13 +17,17 @@ from corpuslens.functions.paths import in_scope
 from corpuslens.session import cut
 from corpuslens.skew import salted_join
 
-DEPS_DEFAULT, DEPS_MAX = 1, 10
-IMPACT_DEFAULT, IMPACT_MAX = 1, 5
+DEPS_DEFAULT = 1
+IMPACT_DEFAULT = 1
 TRIMS = 2
 
 
-def clamp(hops: int | None, default: int, most: int) -> int:
-    return min(max(default if hops is None else hops, 1), most)
+def hop_bound(hops: int | None, default: int) -> int:
+    """The bound of a walk as asked for; a walk is never cut shorter than that."""
+    hops = default if hops is None else hops
+    if hops < 1:
+        raise ValueError(f"a walk needs one hop at least, not {hops}")
+    return hops
 
 
 def resolved_edges(deps: DataFrame) -> DataFrame:
@@ -69,7 +73,7 @@ def deps(
     edges: DataFrame, starts: DataFrame, direction: str = "forward", hops: int | None = None
 ) -> DataFrame:
     """Dependency walk: (root_path, start, direction, hop, node); ``direction`` may be both."""
-    n = clamp(hops, DEPS_DEFAULT, DEPS_MAX)
+    n = hop_bound(hops, DEPS_DEFAULT)
     sides = {"forward": edges, "reverse": reversed_edges(edges)}
     chosen = list(sides) if direction == "both" else [direction]
     parts = [
@@ -100,7 +104,7 @@ def impact(callsites: DataFrame, starts: DataFrame, hops: int | None = None) ->
     A site is its (file, line, callee); of equal sites the one with the least
     (kind, caller, no caller last) stays and alone passes its caller on.
     """
-    n = clamp(hops, IMPACT_DEFAULT, IMPACT_MAX)
+    n = hop_bound(hops, IMPACT_DEFAULT)
     kept = F.min(F.struct("callee_kind", F.col("caller_symbol").isNull(), "caller_symbol"))
     sites, _ = cut(
         callsites.groupBy("root_path", "caller_file", "caller_line", "callee_name")

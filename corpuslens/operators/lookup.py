@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions.paths import in_scope, parent_dirs, tree_language
 from corpuslens.functions.text import (
-    LARGE_FILE_BYTES,
     fold_ascii,
     is_identifier,
     line_count,
@@ -152,13 +151,13 @@ def outline(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFra
 def outline_or_fallback(files: DataFrame, indexed: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
     """Outline rows of the asked ``files``: from the index, or the generic outline of their text.
 
-    ``indexed`` is the files relation. Only names go through the join that tells the two
-    apart; text is read for the files that are not indexed.
+    ``indexed`` is the files relation. Indexed files are left out before any line is made, so
+    only the others are outlined.
     """
     asked = files.select(*FILE)
     known = outline_rows(symbols.join(asked, FILE, "left_semi"), imports.join(asked, FILE, "left_semi"))
-    rest = asked.join(indexed.select(*FILE), FILE, "left_anti")
-    generic = fallback_outline(lines(files)).join(rest, FILE, "left_semi")
+    rest = files.join(indexed.select(*FILE), FILE, "left_anti")
+    generic = fallback_outline(lines(rest))
     return known.unionByName(outline_rows(generic, imports.where(F.lit(False))))
 
 
@@ -229,7 +228,7 @@ def tree(files: DataFrame, counts: DataFrame | None = None, max_depth: int | Non
     entries = files.select(
         *FILE,
         tree_language(F.col("file_path")).alias("language"),
-        line_count(F.col("content"), F.col("size_bytes")).alias("lines"),
+        line_count(F.col("content")).alias("lines"),
         F.col("size_bytes").cast("long").alias("size_bytes"),
     )
     if counts is None:
@@ -256,7 +255,7 @@ def directory_totals(files: DataFrame) -> DataFrame:
         files.select(
             "root_path", F.explode(every).alias("path"),
             F.col("size_bytes").cast("long").alias("_b"),
-            F.when(F.col("size_bytes") < LARGE_FILE_BYTES, F.size(split_lines(F.col("content")))).cast("long").alias("_l"),
+            line_count(F.col("content")).alias("_l"),
         )
         .groupBy("root_path", "path")
         .agg(

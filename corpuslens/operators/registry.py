@@ -129,11 +129,10 @@ def delete_packages(
 
 def accept_conversations(conversations: DataFrame, packages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of known packages, rows of unknown ones)."""
-    owner = packages.select(F.col("id").alias("package_id")).distinct()
-    split = lambda how: salted_join(conversations, owner, ["package_id"], how, ["id"]).select(
-        *conversations.columns
-    )
-    return split("left_semi"), split("left_anti")
+    owner = packages.select(F.col("id").alias("package_id")).distinct().withColumn("_known", F.lit(True))
+    told = salted_join(conversations, owner, ["package_id"], "left", ["id"])
+    pick = lambda known: told.where(F.col("_known").isNotNull() == known).select(*conversations.columns)
+    return pick(True), pick(False)
 
 
 def first_package_per_url(packages: DataFrame) -> DataFrame:

@@ -83,8 +83,8 @@ SYMBOLS = (
     SymbolRule(
         C, "function",
         _NOT_C_FN
-        + r"\s*(?:[\p{L}_][\p{L}\p{N}_:<>,]*[\s*&]+)+"
-        + r"((?:[\p{L}_~][\p{L}\p{N}_]*::)*[\p{L}_~][\p{L}\p{N}_]*)\s*\((?:[^;]*$|[^;{]*\)[^;{]*\{)",
+        + r"\s*+[\p{L}_][\p{L}\p{N}_:<>,\s*&]*[\s*&]"
+        + r"((?:[\p{L}_~][\p{L}\p{N}_]*+::)*+[\p{L}_~][\p{L}\p{N}_]*)\s*\((?:[^;]*$|[^;{]*\)[^;{]*\{)",
     ),
     SymbolRule(C, "struct", rf"\bstruct\s+({NAME})"),
     SymbolRule(C, "enum", rf"\benum\s+(?:class\s+|struct\s+)?({NAME})"),
@@ -127,7 +127,7 @@ CALLS = (
     ),
 )
 
-# Words before '(' that are not calls, and reserved words that are not identifiers.
+# Words before '(' that are not calls, and reserved words that are not identifiers.
 NOT_CALLS = (
     "if", "for", "while", "switch", "match", "catch", "return", "sizeof", "fn", "func", "function",
     "def", "class", "lambda", "and", "or", "not", "in", "is", "elif", "else", "await", "yield",

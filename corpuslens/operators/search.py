@@ -36,19 +36,18 @@ def search(
     """One row per matching line: its line, 1-based byte column, text, and context arrays.
 
     ``before`` and ``after`` hold the non-matching lines within ``context`` lines, in
-    line order. Each file is searched where it was read: a whole-text test
-    drops files without a match before any line is made, and context comes from
-    the file's own line array, so there is no join and no shuffle.
+    line order. Each line is searched by itself, where its file was read, and context comes
+    from the file's own line array, so there is no join and no shuffle.
     """
     regex = f"(?i){pattern}" if ignore_case else pattern
     hits = (
         _narrow(files, language, globs)
-        .where(F.col("content").rlike(f"(?m){regex}"))
         .select("root_path", "file_path", split_lines(F.col("content")).alias("_lines"))
         .select(
             "root_path", "file_path", "_lines",
             F.transform("_lines", lambda x: x.rlike(regex)).alias("_hit"),
         )
+        .where(F.exists("_hit", lambda hit: hit))
     )
     rows = hits.select(
         "root_path", "file_path", "_lines", "_hit", F.posexplode("_hit").alias("_pos", "_match")

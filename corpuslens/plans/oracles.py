@@ -6,7 +6,7 @@ from corpuslens.functions.outcome import EMPTY_RESPONSE, FRESH, SLIGHTLY_STALE,
 from corpuslens.functions.paths import INDEX_LANGUAGE, TREE_LANGUAGE
 from corpuslens.operators import registry as R
 from corpuslens.plans.bindings import CLONES, ENDINGS
-from corpuslens.plans.queries import PROSE_RULES, SIZE_CAP
+from corpuslens.plans.queries import PROSE_RULES, REMOVED
 
 ORACLES: dict[str, str] = {}
 
@@ -229,9 +229,9 @@ SELECT root_path, recorded, "current", behind, CASE WHEN behind = 0 THEN {q(FRES
 SNAP = FILES + f""",
   idx AS (SELECT root_path, file_path, mtime_ns, size_bytes, content, sha256(content) AS h FROM files
     WHERE doc_id IN (SELECT doc_id FROM labels) OR size_bytes < 500),
-  disk0 AS (SELECT root_path, file_path, mtime_ns, regexp_replace(content, '(?m)^.*License.*$', '', 'g') AS content FROM files),
+  disk0 AS (SELECT doc_id, root_path, file_path, mtime_ns, regexp_replace(content, '(?m)^.*License.*$', '', 'g') AS content FROM files),
   disk AS (SELECT root_path, file_path, mtime_ns + CASE WHEN strlen(content) % 2 = 0 THEN 1 ELSE 0 END AS mtime_ns, strlen(content) AS size_bytes, content, sha256(content) AS h
-    FROM disk0 WHERE strlen(content) < {SIZE_CAP}),
+    FROM disk0 WHERE doc_id % {REMOVED[0]} <> {REMOVED[1]}),
   diff AS (SELECT coalesce(d.root_path, i.root_path) AS root_path, coalesce(d.file_path, i.file_path) AS file_path,
     CASE WHEN i.h IS NULL THEN 'missing' WHEN d.h IS NULL THEN 'removed' WHEN d.mtime_ns = i.mtime_ns AND d.size_bytes = i.size_bytes THEN 'current'
       WHEN d.h = i.h THEN 'touched' ELSE 'changed' END AS status

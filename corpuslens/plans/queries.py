@@ -19,7 +19,7 @@ from corpuslens.operators import search as S
 from corpuslens.operators import snapshot as SN
 from corpuslens.plans import bindings as B
 from corpuslens.plans.index import extract_relations
-from corpuslens.session import deal_out, tune
+from corpuslens.session import tune
 from corpuslens.skew import byte_budget as budgeted
 from corpuslens.sources import records as RC
 from corpuslens.streaming import streams as ST
@@ -101,7 +101,7 @@ def file_stats(spark, d):
     counts = L.symbol_counts(files.where("language is not null"), symbols)
     notes = files.select(
         "root_path", "file_path", "language", P.tree_language(F.col("file_path")).alias("label"),
-        T.line_count(F.col("content"), F.col("size_bytes")).alias("lines"), "size_bytes",
+        T.line_count(F.col("content")).alias("lines"), "size_bytes",
         F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"),
     )
     return notes.join(counts, ["root_path", "file_path"], "left")
@@ -377,19 +377,19 @@ def map_freshness(spark, d):
 
 # -- snapshots ------------------------------------------------------------------
 
-SIZE_CAP = 6000
+REMOVED = (12, 5)  # documents with this remainder are gone from the disk
 
 
 def _index_and_disk(spark, d):
-    """Index: documents that are labelled or short. Disk: all below a size cap, their license lines gone."""
+    """Index: documents that are labelled or short. Disk: all but one remainder of their numbers, license lines gone."""
     hashed = lambda df: df.withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256))
     docs = B.files(spark, d).withColumn("doc_id", F.regexp_extract("file_path", r"/(\d+)", 1).cast("long"))
     labelled = B.table(spark, d, "labels").select("doc_id").distinct().withColumn("seen", F.lit(True))
-    index = docs.join(labelled, "doc_id", "left").where("seen or size_bytes < 500").drop("seen")
+    index = docs.join(labelled, "doc_id", "left").where("seen or size_bytes < 500").drop("seen", "doc_id")
     text = F.regexp_replace("content", r"(?m)^.*License.*$", "")
     disk = docs.withColumn("content", text).withColumn("size_bytes", F.octet_length("content").cast("long")).where(
-        F.col("size_bytes") < SIZE_CAP
-    ).withColumn("mtime_ns", F.col("mtime_ns") + F.when(F.col("size_bytes") % 2 == 0, 1).otherwise(0))
+        F.col("doc_id") % REMOVED[0] != REMOVED[1]
+    ).drop("doc_id").withColumn("mtime_ns", F.col("mtime_ns") + F.when(F.col("size_bytes") % 2 == 0, 1).otherwise(0))
     return hashed(index), hashed(disk)
 
 
@@ -600,7 +600,7 @@ def storage_names(spark, d):
 @query
 def sanitize_cap(spark, d):
     """Every document as a map: fenced, cleaned and capped."""
-    docs = deal_out(B.table(spark, d, "documents"))
+    docs = B.table(spark, d, "documents")
     fenced = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.concat(F.lit("  ```text\n"), F.col("text"), F.lit("\n \n\n``` \n"))).otherwise(F.col("text"))
     # Each step is its own column, so that no step is worked out twice.
     out = docs.select("doc_id", fenced.alias("raw"))
@@ -703,6 +703,7 @@ def stream_index(spark, d):
     """The outline relation kept current from a stream of documents, drained once."""
     docs = ST.parquet_stream(spark, d, "documents").select(
         F.col("source").alias("root_path"), F.concat("lang", F.lit("/"), F.col("doc_id").cast("string")).alias("file_path"), F.col("text").alias("content"),
+        F.col("doc_id").alias("mtime_ns"),
     )
     out = ST.index_stream(docs, lambda files: X.fallback_outline(L.lines(files), PROSE_RULES))
     return out.select("root_path", "file_path", "name", "kind", *big("line"))

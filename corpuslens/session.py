@@ -27,6 +27,11 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _local(spark: SparkSession) -> bool:
+    """Whether driver and executors are on one machine: ``local[..]`` and ``local-cluster[..]``."""
+    return spark.conf.get("spark.master", "").startswith("local")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table, under ``spark.checkpoint.dir``.
 
@@ -35,10 +40,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("corpuslens.scratch", None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        if not _local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-corpuslens-", dir="/tmp")
         spark.conf.set("corpuslens.scratch", base)
+    elif base.startswith("file:") and not _local(spark):
+        raise ValueError("spark.checkpoint.dir is a folder of one machine; set one that all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -57,16 +64,3 @@ def cut(df: DataFrame, name: str = "cut", count: Column | None = None) -> tuple[
     counted = F.count(F.lit(1)) if count is None else count
     df.observe(seen, counted.alias("n")).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), int(seen.get["n"] or 0)
-
-
-def deal_out(df: DataFrame, small: int = 256 * 1024 * 1024) -> DataFrame:
-    """Spread a small input over all cores; leave a large one as it is read.
-
-    A table below ``small`` bytes often comes as one or two splits, which would put all
-    text work into one task. Its size is Spark's own estimate from the files, so
-    nothing is run, and a large table never pays for the shuffle.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= small:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

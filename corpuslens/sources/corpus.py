@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions.paths import index_language, parent_dirs
-from corpuslens.functions.text import LARGE_FILE_BYTES
 from corpuslens.session import cut
 from corpuslens.skew import salted_join
 
@@ -110,11 +109,10 @@ def scan_files(spark: SparkSession, path: str, root: str | None = None, keep_hid
     return read_content(list_trees(roots, keep_hidden))
 
 
-def indexable(files: DataFrame, max_bytes: int = LARGE_FILE_BYTES) -> DataFrame:
-    """Files of a known language below the size cap, with ``language``."""
-    return files.where(F.col("size_bytes") < max_bytes).withColumn(
-        "language", index_language(F.col("file_path"))
-    ).where(F.col("language").isNotNull())
+def indexable(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Files of a known language, with ``language``; all sizes, or those below ``max_bytes``."""
+    known = files.withColumn("language", index_language(F.col("file_path"))).where(F.col("language").isNotNull())
+    return known if max_bytes is None else known.where(F.col("size_bytes") < max_bytes)
 
 
 def decoded(files: DataFrame) -> tuple[DataFrame, DataFrame]:

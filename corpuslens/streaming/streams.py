@@ -56,23 +56,23 @@ def drain(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFr
 
 
 def start_index(
-    files: DataFrame, extract: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
+    files: DataFrame, extract: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, trigger: dict | None = None
 ):
     """Keep an extracted relation current from a stream of file rows, per micro-batch.
 
     Batches are appended as they come with their number; of a file that arrives again
     only the rows of its last batch count (see :func:`current`). A batch that runs twice
     overwrites its own folder, so the result does not change. Of versions within one
-    batch the greatest hash wins: versions are extracted under a path that carries
-    the hash, and only their rows are compared, so text is not shuffled. A stream
-    cannot see deletions; the batch diff does.
+    batch the one with the greatest ``mtime_ns`` wins (of equal times the greatest hash): versions are
+    extracted under a path that carries the hash, and only their rows are compared, so text is not shuffled. A stream
+    cannot see deletions; the batch diff does. ``trigger`` is as for ``DataStreamWriter.trigger``; by default what there is now is taken in.
     """
     tag = "\u0001"
 
     def save(batch: DataFrame, batch_id: int) -> None:
         digest = F.sha2(F.col("content").cast("binary"), 256)
         keyed = batch.withColumn("_hash", digest)
-        newest = keyed.groupBy(*FILE).agg(F.max("_hash").alias("_hash"))
+        newest = keyed.groupBy(*FILE).agg(F.max(F.struct("mtime_ns", "_hash"))["_hash"].alias("_hash"))
         newest.select(*FILE).write.mode("overwrite").parquet(f"{path}/arrivals/batch={batch_id}")
         tagged = keyed.withColumn("file_path", F.concat_ws(tag, "file_path", "_hash")).drop("_hash")
         rows = extract(tagged)
@@ -84,7 +84,7 @@ def start_index(
         )
 
     return (
-        files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
+        files.writeStream.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(save).start()
     )
 
 

@@ -277,3 +277,14 @@ def test_fallback_outline(tree):
     ]
     long = out.where("line = 7").first().signature
     assert len(long) == 200 and long.endswith("...")
+
+
+@pytest.mark.parametrize("name, text", [
+    ("a.py", "from a import " + ", ".join(f"n{i}" for i in range(5000)) + "\n"),
+    ("b.c", "word " * 200_000 + "\nint f(int a) {\n}\n"), ("c.cpp", "a*" * 500_000 + "\n"),
+    ("d.rs", "x " * 500_000 + "\n"), ("e.js", "x, " * 330_000 + "\n"), ("f.go", "x " * 500_000 + "\n"), ("g.py", "x " * 500_000 + "\n"),
+])
+def test_long_lines_are_safe(tree, name, text):
+    files = tree({name: text})
+    made = extract_relations(files)
+    assert all(df.count() >= 0 for df in (made.values() if isinstance(made, dict) else made))

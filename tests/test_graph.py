@@ -23,10 +23,13 @@ def test_hops(edges, starts):
     assert rows(G.deps(e, starts("a"), "both"), "direction", "node") == [("forward", "b"), ("reverse", "main")]
 
 
-def test_hops_are_clamped_and_ignore_self_imports(edges, starts):
+def test_hops_are_kept_and_ignore_self_imports(edges, starts):
     chain = edges([(f"n{i}", f"n{i+1}") for i in range(14)] + [("n0", "n0"), ("n1", "n0")])
-    assert len(rows(G.deps(chain, starts("n0"), hops=99))) == 10
-    assert rows(G.deps(chain, starts("n0"), hops=0), "node") == [("n1",)]
+    assert len(rows(G.deps(chain, starts("n0"), hops=12))) == 12
+    assert len(rows(G.deps(chain, starts("n0"), hops=99))) == 14
+    assert rows(G.deps(chain, starts("n0")), "node") == [("n1",)]
+    with pytest.raises(ValueError):
+        G.deps(chain, starts("n0"), hops=0)
     assert len(rows(G.reach(chain, starts("n0")))) == 14
 
 

@@ -127,3 +127,14 @@ def test_salted_join_equals_join(spark):
     small = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("none", 4)], "k string, w int")
     for how in ("inner", "left", "left_semi", "left_anti"):
         assert rows(salted_join(df, small, ["k"], how, ["id"])) == rows(df.join(small, ["k"], how)), how
+
+
+def test_search_sees_each_line_alone(tree):
+    files = tree({"a": "foo\nbar\n", "b": "foobar\n"})
+    for pattern in (r"foo\z", r"foo(?!\s)", "^foo$"):
+        assert ("a", 1) in rows(S.search(files, pattern), "file_path", "line")
+
+
+def test_large_files_count(tree):
+    files = tree({"big.py": "x = 1\n" * (1 << 20), "a.py": "y = 2\n"})
+    assert rows(L.directory_totals(files).where("path = ''"), "files", "lines") == [(2, (1 << 20) + 1)]

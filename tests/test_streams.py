@@ -3,7 +3,7 @@ from corpuslens.operators import lookup as L
 from corpuslens.streaming import streams as ST
 from tests.conftest import rows
 
-SCHEMA = "root_path string, file_path string, content string"
+SCHEMA = "root_path string, file_path string, content string, mtime_ns long"
 
 
 def test_index_follows_arrivals(spark, make, tmp_path):
@@ -11,7 +11,7 @@ def test_index_follows_arrivals(spark, make, tmp_path):
     extract = lambda files: X.fallback_outline(L.lines(files))
 
     def arrive(*files):
-        make(SCHEMA, [("r", *f) for f in files]).coalesce(1).write.mode("append").parquet(source)
+        make(SCHEMA, [("r", *f, n) for n, f in enumerate(files)]).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(SCHEMA).parquet(source)
         ST.start_index(stream, extract, out, check).awaitTermination()
         return rows(ST.current(spark, out), "file_path", "name")
@@ -20,8 +20,9 @@ def test_index_follows_arrivals(spark, make, tmp_path):
     assert arrive(("a", "def three\ndef four\n")) == [("a", "four"), ("a", "three"), ("b", "two")]
     # A file that lost all its symbols has no rows left.
     assert arrive(("b", "nothing\n")) == [("a", "four"), ("a", "three")]
-    # Two versions in one batch: exactly one of them counts.
-    assert arrive(("b", "def x\n"), ("b", "def y\n")) in ([("a", "four"), ("a", "three"), ("b", "x")], [("a", "four"), ("a", "three"), ("b", "y")])
+    # Of two versions in one batch the newer counts, whichever has the greater hash.
+    assert arrive(("b", "def x\n"), ("b", "def y\n")) == [("a", "four"), ("a", "three"), ("b", "y")]
+    assert arrive(("b", "def y\n"), ("b", "def x\n")) == [("a", "four"), ("a", "three"), ("b", "x")]
 
 
 def test_last_activity_updates(spark, make, tmp_path):
