@@ -154,14 +154,17 @@ SELECT root_path, file_path, CASE s WHEN 'F' THEN 'rust' WHEN 'O' THEN 'python'
   CASE s WHEN 'F' THEN '1:crate::customer_' || c WHEN 'O' THEN '1:from .customer_' || c || ' import load' END AS imports FROM code"""
 
 ORACLES["import_resolution"] = f"""WITH {FILES},
-  i AS (SELECT *, doc_id + 20 AS other, CASE WHEN language = 'rust' THEN 'rust' WHEN language IN ('typescript', 'tsx', 'javascript') THEN 'js'
-    WHEN language = 'python' THEN 'python' ELSE 'other' END AS form FROM files WHERE language IS NOT NULL),
+  fam AS (SELECT *, CASE WHEN language = 'rust' THEN 'rust' WHEN language IN ('typescript', 'tsx', 'javascript') THEN 'js'
+    WHEN language = 'python' THEN 'python' ELSE 'other' END AS form, regexp_extract(file_path, '/[0-9]+\\.(.*)$', 1) AS ending,
+    CASE WHEN language IN ('typescript', 'tsx', 'javascript') THEN 'js' WHEN language IN ('c', 'cpp') THEN 'c' ELSE language END AS family FROM files WHERE language IS NOT NULL),
+  i AS (SELECT *, CASE WHEN doc_id % 3 = 0 OR following IS NULL THEN doc_id + 10000000000 ELSE following END AS other FROM (SELECT *, lead(doc_id) OVER w AS following, coalesce(lead(ending) OVER w, 'h') AS following_ending
+    FROM fam WINDOW w AS (PARTITION BY root_path, lang, family ORDER BY doc_id))),
   f AS (SELECT root_path, lang, doc_id AS other, file_path AS found, regexp_extract(file_path, '/[0-9]+\\.(.*)$', 1) AS ext FROM files)
 SELECT i.root_path, i.file_path AS importer_file, f.found AS importee_file,
   CASE form WHEN 'rust' THEN 'crate::' || i.lang || '::' || i.other || '::{{Item, Other}}' WHEN 'js' THEN 'import x from ''./' || i.other || ''''
-    WHEN 'python' THEN 'from .' || i.other || ' import x' ELSE '../' || i.lang || '/' || i.other || '.h' END AS raw_target
+    WHEN 'python' THEN 'from .' || i.other || ' import x' ELSE '../' || i.lang || '/' || i.other || '.' || i.following_ending END AS raw_target
 FROM i LEFT JOIN f ON i.root_path = f.root_path AND i.lang = f.lang AND i.other = f.other AND i.language <> 'go' AND
-  CASE form WHEN 'rust' THEN ext = 'rs' WHEN 'js' THEN ext IN ('ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs') WHEN 'python' THEN ext = 'py' ELSE ext = 'h' END"""
+  CASE form WHEN 'rust' THEN ext = 'rs' WHEN 'js' THEN ext IN ('ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs') WHEN 'python' THEN ext = 'py' ELSE ext = i.following_ending END"""
 ORACLES["link_resolution"] = f"""WITH {PAGES},
   asks AS (SELECT DISTINCT root_path, page_id, unnest(regexp_extract_all(content, 'href="([^"#?]*)"', 1)) AS href FROM page_files),
   a AS (SELECT *, regexp_replace(href, '^/+|/+$', '', 'g') AS clean FROM asks)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import outcome as O
@@ -60,8 +60,7 @@ def at(text: str) -> Column:
 @query
 def word_hits(spark, d):
     """Lines of all documents that hold the identifier ``The``."""
-    index = L.identifiers(L.lines(B.files(spark, d)))
-    return L.word_hits(index, "The").select("root_path", "file_path", *big("line"), "token")
+    return L.corpus_word_hits(B.files(spark, d), "The").select("root_path", "file_path", *big("line"), "token")
 
 
 @query
@@ -263,19 +262,25 @@ def code_identifiers(spark, d):
 
 @query
 def import_resolution(spark, d):
-    """Each document imports the one 20 numbers on, in the manner of its language."""
+    """Each document imports the next one of its language family and folder, in the manner of its language.
+
+    Every third asks for a number that no document has.
+    """
     files = B.files(spark, d)
-    number = F.regexp_extract("file_path", r"/(\d+)", 1).cast("long")
-    other = (number + 20).cast("string")
     lang = F.substring_index("file_path", "/", 1)
     js = F.col("language").isin("typescript", "tsx", "javascript")
+    family = F.when(js, "js").when(F.col("language").isin("c", "cpp"), "c").otherwise(F.col("language"))
+    numbered = files.drop("content").withColumn("number", F.regexp_extract("file_path", r"/(\d+)", 1).cast("long")).withColumn("ending", F.regexp_extract("file_path", r"/\d+\.(.*)$", 1))
+    row = Window.partitionBy("root_path", lang, family).orderBy("number")
+    asking = numbered.where("language is not null").withColumn("next", F.lead("number").over(row)).withColumn("next_ending", F.lead("ending").over(row))
+    other = F.when((F.col("number") % 3 == 0) | F.col("next").isNull(), F.col("number") + 10_000_000_000).otherwise(F.col("next")).cast("string")
     target = (
         F.when(F.col("language") == "rust", F.concat(F.lit("crate::"), lang, F.lit("::"), other, F.lit("::{Item, Other}")))
         .when(js, F.concat(F.lit("import x from './"), other, F.lit("'")))
         .when(F.col("language") == "python", F.concat(F.lit("from ."), other, F.lit(" import x")))
-        .otherwise(F.concat(F.lit("../"), lang, F.lit("/"), other, F.lit(".h")))
+        .otherwise(F.concat(F.lit("../"), lang, F.lit("/"), other, F.lit("."), F.coalesce("next_ending", F.lit("h"))))
     )
-    imports = files.where("language is not null").select("root_path", "file_path", "language", target.alias("target"), F.lit(1).alias("line"))
+    imports = asking.select("root_path", "file_path", "language", target.alias("target"), F.lit(1).alias("line"))
     return RS.resolve_imports(imports, files).select("root_path", "importer_file", "importee_file", "raw_target")
 
 
