@@ -164,23 +164,19 @@ def impact_notes(
 
 def _trim(live: DataFrame) -> DataFrame:
     """Drop edges that cannot lie on a cycle: nothing leads to their source, or on from their target."""
-    heads = live.select("root_path", F.col("dst").alias("src")).distinct()
-    tails = live.select("root_path", F.col("src").alias("dst")).distinct()
-    return live.join(heads, ["root_path", "src"], "left_semi").join(tails, ["root_path", "dst"], "left_semi").select(
-        "root_path", "src", "dst"
-    )
+    heads = live.select(F.col("dst").alias("src")).distinct()
+    tails = live.select(F.col("src").alias("dst")).distinct()
+    return live.join(heads, "src", "left_semi").join(tails, "dst", "left_semi").select("src", "dst")
 
 
 def _labels(live: DataFrame) -> DataFrame:
-    """(root_path, node, lo, hi): the least node that reaches it, and the least it reaches.
+    """(node, lo, hi): the least node that reaches it, and the least it reaches.
 
     Known labels are used as extra edges (lo -> node -> hi), so labels travel
     twice as far each round and a path of n edges takes about log n rounds.
     """
-    ends = live.select("root_path", F.col("src").alias("node")).unionByName(
-        live.select("root_path", F.col("dst").alias("node"))
-    ).distinct()
-    state = ends.select("root_path", "node", F.col("node").alias("lo"), F.col("node").alias("hi"))
+    ends = live.select(F.col("src").alias("node")).union(live.select("dst")).distinct()
+    state = ends.select("node", F.col("node").alias("lo"), F.col("node").alias("hi"))
     state, changed = cut(state, "labels")
     spark = live.sparkSession
     while changed:
@@ -194,25 +190,36 @@ def _labels(live: DataFrame) -> DataFrame:
 # Labels move along edges and along what is known (lo -> node -> hi); one statement, so one analysis a round.
 _SPREAD = """
     WITH along AS (
-      SELECT root_path, src, dst FROM {live}
-      UNION ALL SELECT root_path, lo, node FROM {state} WHERE lo <> node
-      UNION ALL SELECT root_path, node, hi FROM {state} WHERE hi <> node),
+      SELECT src, dst FROM {live}
+      UNION ALL SELECT lo, node FROM {state} WHERE lo <> node
+      UNION ALL SELECT node, hi FROM {state} WHERE hi <> node),
     sent AS (
-      SELECT a.root_path, inline(array(
-          named_struct('node', a.dst, 'lo', s.lo, 'hi', CAST(NULL AS STRING)),
-          named_struct('node', a.src, 'lo', CAST(NULL AS STRING), 'hi', d.hi)))
-      FROM along a
-      JOIN {state} s ON a.root_path = s.root_path AND a.src = s.node
-      JOIN {state} d ON a.root_path = d.root_path AND a.dst = d.node),
+      SELECT inline(array(
+          named_struct('node', a.dst, 'lo', s.lo, 'hi', CAST(NULL AS BIGINT)),
+          named_struct('node', a.src, 'lo', CAST(NULL AS BIGINT), 'hi', d.hi)))
+      FROM along a JOIN {state} s ON a.src = s.node JOIN {state} d ON a.dst = d.node),
     merged AS (
-      SELECT root_path, node, min(lo) AS lo, min(hi) AS hi, min(was_lo) AS was_lo, min(was_hi) AS was_hi
-      FROM (SELECT *, CAST(NULL AS STRING) AS was_lo, CAST(NULL AS STRING) AS was_hi FROM sent
-            UNION ALL SELECT root_path, node, lo, hi, lo, hi FROM {state})
-      GROUP BY root_path, node)
-    SELECT root_path, node, lo, hi, lo <> was_lo OR hi <> was_hi AS moved FROM merged
+      SELECT node, min(lo) AS lo, min(hi) AS hi, min(was_lo) AS was_lo, min(was_hi) AS was_hi
+      FROM (SELECT *, CAST(NULL AS BIGINT) AS was_lo, CAST(NULL AS BIGINT) AS was_hi FROM sent
+            UNION ALL SELECT node, lo, hi, lo, hi FROM {state})
+      GROUP BY node)
+    SELECT node, lo, hi, lo <> was_lo OR hi <> was_hi AS moved FROM merged
 """
 
 
+def _numbered(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(names, edges): nodes numbered once in the order of their names, and edges of these numbers.
+
+    Rounds then move and compare single whole numbers, and the least number is the least name.
+    """
+    ends = links.select("root_path", F.col("src").alias("name")).union(links.select("root_path", "dst")).distinct()
+    names, _ = cut(ends.orderBy("root_path", "name").withColumn("node", F.monotonically_increasing_id()), "names")
+    out = links
+    for side in ("src", "dst"):
+        out = out.join(names.select("root_path", F.col("name").alias(side), F.col("node").alias(f"_{side}")), ["root_path", side])
+    return names, out.select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """Import cycles: (root_path, component, size, member), one row per file on a cycle.
 
@@ -224,7 +231,8 @@ def cycles(edges: DataFrame) -> DataFrame:
     """
     links, _ = cut(edges.select("root_path", "src", "dst").dropna().distinct(), "edges")
     loops = links.where("src = dst").select("root_path", F.col("src").alias("component"), F.col("src").alias("member"))
-    live, n = cut(links.where("src <> dst"), "live")
+    names, live = _numbered(links.where("src <> dst"))
+    live, n = cut(live, "live")
     # Peel what leads into and out of cycles; a few passes, the labels settle the rest.
     for _ in range(TRIMS):
         before = n
@@ -234,19 +242,22 @@ def cycles(edges: DataFrame) -> DataFrame:
     found: list[DataFrame] = []
     while n:
         labels = _labels(live)
-        found.append(labels.where("lo = hi").select("root_path", F.col("lo").alias("component"), F.col("node").alias("member")))
+        found.append(labels.where("lo = hi").select(F.col("lo").alias("component"), F.col("node").alias("member")))
         rest = labels.where("lo <> hi")
-        kept = live.join(rest.select("root_path", F.col("node").alias("src"), "lo", "hi"), ["root_path", "src"]).join(
-            rest.select("root_path", F.col("node").alias("dst"), "lo", "hi"), ["root_path", "dst", "lo", "hi"]
+        kept = live.join(rest.select(F.col("node").alias("src"), "lo", "hi"), "src").join(
+            rest.select(F.col("node").alias("dst"), "lo", "hi"), ["dst", "lo", "hi"]
         )
-        live, n = cut(_trim(kept.select("root_path", "src", "dst")), "live")
+        live, n = cut(_trim(kept.select("src", "dst")), "live")
     if not found:
         return loops.select("root_path", "component", F.lit(1).cast("long").alias("size"), "member")
     members = reduce(DataFrame.unionByName, found)
-    sizes = members.groupBy("root_path", "component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    big = salted_join(members, sizes, ["root_path", "component"], "inner", ["member"])
+    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    big = salted_join(members, sizes, ["component"], "inner", ["member"])
+    big = big.join(names.select(F.col("node").alias("member"), "root_path", F.col("name").alias("_member")), "member").join(
+        names.select(F.col("node").alias("component"), F.col("name").alias("_component")), "component"
+    ).select("root_path", F.col("_component").alias("component"), "size", F.col("_member").alias("member"))
     alone = loops.join(big.select("root_path", "member"), ["root_path", "member"], "left_anti")
-    return big.select("root_path", "component", "size", "member").unionByName(
+    return big.unionByName(
         alone.select("root_path", "component", F.lit(1).cast("long").alias("size"), "member")
     )
 
