@@ -9,7 +9,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.session import cut, tune
@@ -36,6 +37,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(ship(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+LISTED = 500_000  # short rows (ids, pairs, a few numbers) that are broadcast at most; more are joined by a shuffle
+
+
+def listed(df: DataFrame, name: str, count: Column | None = None) -> DataFrame:
+    """``df`` written and read back, marked for broadcast only where its counted rows (or the sum ``count``) are at most ``LISTED``.
+
+    Texts need not move then; beyond that size the join shuffles both sides."""
+    rows, n = cut(df, name, count)
+    return F.broadcast(rows) if n <= LISTED else rows
+
+
 # -- hashing ------------------------------------------------------------------
 
 _rng = np.random.default_rng(20240229)
@@ -165,19 +177,17 @@ def components(edges: DataFrame) -> DataFrame:
     few as they were and rounds grow with the logarithm of the longest path. Every
     round is a written table, so a lost executor repeats tasks only.
     """
-    links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    links, n = cut(links, "links")
-    before = None
-    mark = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)") % F.lit(1 << 40)).cast("long")
-    while n:
+    links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
+    before, mark = None, F.sum(F.shiftright(F.xxhash64("a", "b"), 20))
+    while True:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        tied = large.join(low, "a")
-        small = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        links, now = cut(small.where("a > b").distinct(), "links", mark)
-        if now == before:
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
+        low = large.withColumn("m", F.min("b").over(W.partitionBy("a")))
+        ties = F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
+        small = low.select(ties.alias("t")).select("t.a", "t.b").where("a > b").distinct()
+        links, now = cut(small, "links", mark)
+        if now == before or not now:
             break
         before = now
     tops = links.groupBy("a").agg(F.min("b").alias("component"))

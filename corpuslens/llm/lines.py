@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import SPACE, lists, longs, mix, span_hashes, texts
+from corpuslens.llm.common import SPACE, listed, lists, longs, mix, span_hashes, texts
 from corpuslens.session import cut
 
 LEAST_WORDS = 30  # of a common block that is deleted
@@ -176,7 +176,8 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     both = pairs.join(early, "early").join(late, "doc_id").select("doc_id", "early_lines", "early_words", "lines", "words")
     found = both.mapInArrow(partial(_align, least=least), "doc_id long, gone array<int>").where(F.size("gone") > 0)
     # At most one array per early document, which a document has no more of than lines.
-    gone, _ = cut(found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("deleted_lines")), "deletions")
+    gone = found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("deleted_lines"))
+    gone = listed(gone, "deletions", F.sum(1 + F.size("deleted_lines")))
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda _, i: ~F.array_contains("deleted_lines", i))
     out = docs.join(gone, "doc_id", "left").withColumn("deleted_lines", F.coalesce("deleted_lines", F.array().cast("array<int>")))
