@@ -98,6 +98,8 @@ class Model:
         return np.hstack([np.sqrt(2 / len(self.phase)) * np.cos(z @ self.waves + self.phase), np.ones((len(x), 1))])
 
     def scores(self, x: np.ndarray) -> np.ndarray:
+        if not len(self.weights):
+            return np.full(len(x), 0.5)
         raw = self.features(x) @ self.weights
         return np.clip(np.interp(raw, self.at, self.level) if len(self.at) else raw, 0, 1)
 
@@ -132,8 +134,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE, seed: int = 11) -> Model:
         rows = rows.where(F.pmod(hashed, F.lit(1 << 30)) < int((1 << 30) * (sample / count)))
     rows, count = cut(rows.select("x", "quality", (F.pmod(hashed, F.lit(2)) == 1).alias("half"), F.pmod(hashed, F.lit(PARTS)).alias("part")).repartition(PARTS, "part"), "labelled")
     if not count:
-        one = np.zeros(0)
-        return Model(np.zeros(1), np.ones(1), np.zeros((1, 1)), np.zeros(1), np.array([0.0, 0.5]), one, one)
+        return Model(*[np.zeros(0)] * 7)
     width = rows.select(F.size("x")).first()[0]
     sums = rows.select(*(f(F.get("x", F.lit(i))).alias(f"{f.__name__}{i}") for i in range(width) for f in (F.avg, F.stddev_pop))).first()
     rng = np.random.default_rng(seed)
