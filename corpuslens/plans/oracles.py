@@ -115,6 +115,13 @@ ORACLES["tree_listing"] = f"""WITH {PAGES}, {lines_of('pl', 'page_files', 'page_
         FROM page_files LEFT JOIN n USING (page_id)
         UNION ALL SELECT DISTINCT root_path, dir, NULL, NULL, NULL, true FROM {dirs('page_files')})
 SELECT root_path, path, language, lines, size_bytes, CAST(len(string_split(path, '/')) AS BIGINT) AS depth, is_dir FROM e WHERE len(string_split(path, '/')) <= 3"""
+ORACLES["tree_counts"] = f"""WITH {SYMBOLS}, n AS (SELECT root_path, file_path, count(*) AS lines FROM lines GROUP BY ALL),
+  c AS (SELECT root_path, file_path, count(*) AS symbols FROM symbols GROUP BY ALL),
+  e AS (SELECT root_path, file_path AS path, {lookup(EXT, TREE_LANGUAGE)} AS language, coalesce(lines, 0) AS lines, size_bytes, coalesce(symbols, 0) AS symbols, false AS is_dir
+        FROM files LEFT JOIN n USING (root_path, file_path) LEFT JOIN c USING (root_path, file_path)
+        UNION ALL SELECT DISTINCT root_path, dir, NULL, NULL, NULL, NULL, true FROM {dirs('files')})
+SELECT root_path, path, language, lines, size_bytes, CAST(len(string_split(path, '/')) AS BIGINT) AS depth, symbols, is_dir FROM e"""
+ORACLES["relative_paths"] = f"""WITH {FILES} SELECT root_path || '/' || file_path AS "full", file_path AS below, root_path || '/' || file_path AS other FROM files"""
 ORACLES["tree_rollup"] = f"""WITH {LINES}, n AS (SELECT root_path, file_path, count(*) AS c FROM lines GROUP BY ALL),
   f AS (SELECT root_path, file_path, size_bytes, coalesce(c, 0) AS c FROM files LEFT JOIN n USING (root_path, file_path)),
   u AS (SELECT root_path, dir AS path, size_bytes, c FROM {dirs('f')} UNION ALL SELECT root_path, '', size_bytes, c FROM f)
@@ -195,12 +202,16 @@ ORACLES["deps_both"] = f"""WITH {LINKS}, u AS (SELECT root_path, src AS start, '
 SELECT root_path, start, direction, CAST(1 AS BIGINT) AS hop, count(*) AS n FROM u GROUP BY root_path, start, direction"""
 ORACLES["deps_unresolved"] = f"WITH {LINKS} SELECT DISTINCT root_path, importer AS start, raw AS target FROM deps WHERE importee IS NULL"
 ORACLES["reverse_importers"] = f"WITH {LINKS} SELECT root_path, dst AS file, src AS importer FROM edges"
+FIRST = "one AS (SELECT root_path, importer FROM deps ORDER BY CAST(importer AS BIGINT), root_path LIMIT 1)"
+ORACLES["edges_of_part"] = f"""WITH {LINKS}, {FIRST} SELECT root_path, importer AS importer_file, raw AS raw_target, importee AS importee_file, ln AS line,
+  row_number() OVER (ORDER BY ln, raw, importee NULLS FIRST) AS place FROM deps JOIN one USING (root_path, importer)"""
 CALLS = LINKS + """,
   calls0 AS (SELECT ba AS root_path, 'o/' || ln || '/' || l_orderkey AS caller_file, ln AS caller_line, CASE WHEN ba = bb THEN CAST(b AS VARCHAR) END AS caller_symbol,
     CAST(a AS VARCHAR) AS callee_name, CASE flag WHEN 'A' THEN 'call' WHEN 'N' THEN 'macro' ELSE 'type_ref' END AS callee_kind FROM links),
   calls AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY root_path, caller_file, caller_line, callee_name
     ORDER BY callee_kind, caller_symbol NULLS LAST) AS r FROM calls0) WHERE r = 1),
   up AS (SELECT DISTINCT root_path, callee_name AS src, caller_symbol AS dst FROM calls WHERE caller_symbol IS NOT NULL)"""
+ORACLES["calls_of_part"] = f"""WITH {CALLS}, {FIRST} SELECT root_path, caller_file, caller_line, callee_kind, caller_symbol FROM calls0 JOIN one USING (root_path) WHERE callee_name = importer"""
 ORACLES["impact_sites"] = f"""WITH RECURSIVE {CALLS}, {walk('w', 'up', 2)},
   t AS (SELECT root_path, start, start AS callee_name, CAST(1 AS BIGINT) AS hop FROM starts UNION ALL SELECT root_path, start, node, hop + 1 FROM w)
 SELECT root_path, start, hop, caller_line, caller_file, caller_symbol, callee_name, callee_kind FROM t JOIN calls USING (root_path, callee_name)"""

@@ -207,6 +207,44 @@ def tree_listing(spark, d):
     )
 
 
+@query
+def tree_counts(spark, d):
+    """The whole tree of all documents, with the number of outline entries of each file."""
+    files = B.files(spark, d)
+    counts = L.symbol_counts(files, X.fallback_outline(L.lines(files), PROSE_RULES))
+    return L.tree(files, counts).select("root_path", "path", "language", *big("lines", "size_bytes", "depth", "symbols"), "is_dir")
+
+
+@query
+def relative_paths(spark, d):
+    """Paths below each document's root, and as they are where the next lower root is asked for."""
+    files = B.files(spark, d).select("root_path", F.concat_ws("/", "root_path", "file_path").alias("full"))
+    below = P.relative_to(F.concat("root_path", F.lit("/")), F.col("full"))
+    return files.select("full", below.alias("below"), P.relative_to(F.concat("root_path", F.lit("0")), F.col("full")).alias("other"))
+
+
+def _busiest(spark, d):
+    """(brand, part) with the least number of all parts that some order goes on from."""
+    row = B.part_deps(spark, d).agg(F.min(F.struct(F.col("importer_file").cast("long").alias("n"), "root_path"))["root_path"].alias("r"), F.min(F.col("importer_file").cast("long")).alias("n")).first()
+    return row["r"], str(row["n"])
+
+
+@query
+def edges_of_part(spark, d):
+    """Imports of one part in their order."""
+    root, part = _busiest(spark, d)
+    rows = L.forward_edges(B.part_deps(spark, d), root, part)
+    place = F.row_number().over(Window.partitionBy("root_path", "importer_file").orderBy("line", "raw_target", "importee_file"))
+    return rows.select("root_path", "importer_file", "raw_target", "importee_file", *big("line"), place.cast("long").alias("place"))
+
+
+@query
+def calls_of_part(spark, d):
+    """Callsites of one part."""
+    root, part = _busiest(spark, d)
+    return L.callsites_of(B.part_calls(spark, d), root, part).select("root_path", "caller_file", *big("caller_line"), "callee_kind", "caller_symbol")
+
+
 @query
 def tree_rollup(spark, d):
     return L.directory_totals(B.files(spark, d)).select("root_path", "path", *big("files", "size_bytes", "lines"))
