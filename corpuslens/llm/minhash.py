@@ -10,15 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import components, lists, longs, mix, runs, texts, words_of
+from corpuslens.llm.common import components, listed, lists, longs, mix, runs, texts, words_of
 from corpuslens.session import cut
 
 WORDS = 5  # words of a shingle
 SIMILAR = 75  # least 100 * intersection / union
 SIDE = 16  # sub-tables of each of the two collections
 DEPTH = 3  # minhashes of a sub-table's key
-TRIES = 2  # most alike classes of larger components that a class of a bucket is compared with in a round
-LEAST = DEPTH * SIDE  # minhashes, of twice as many, that agree: at the least similarity a link has fewer with a chance of 1e-8
+TRIES = 4  # most alike classes of larger components that a class of a bucket is compared with in a round
+LEAST = 56  # minhashes, of the 96, that agree: at the least similarity 72 do on average, and fewer than this with a chance of 0.0001
 BLOCK = 512  # classes of a bucket that a task compares at a time, with as many others
 
 _rng = np.random.default_rng(77)
@@ -113,14 +113,16 @@ def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= LEAST))
 
 
-def confirmed(docs: DataFrame, marks: DataFrame, pairs: DataFrame) -> tuple[DataFrame, int]:
-    """The pairs (a, b) whose full sets are similar enough, after a test on their ``marks`` (doc_id, mark).
-
-    Only texts of documents in a plausible pair move."""
+def plausible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ``marks`` (doc_id, mark) agree often enough."""
     x, y = (marks.select(F.col("doc_id").alias(c), F.col("mark").alias(f"{c}_mark")) for c in "ab")
-    near = pairs.join(x, "a").join(y, "b").select("a", "b", "a_mark", "b_mark").mapInArrow(_plausible, "a long, b long")
-    near, _ = cut(near, "plausible")
-    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "a_mark", "b_mark").mapInArrow(_plausible, "a long, b long")
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, int]:
+    """The pairs (a, b) whose full sets are similar enough, and their number. Only texts of documents in a pair move."""
+    near = listed(pairs, "plausible")
+    ids = listed(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets, _ = cut(sets.mapInArrow(_sets, "id long, items binary"), "sets")
     x, y = (sets.select(F.col("id").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
@@ -194,8 +196,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Equal sets are one class from the start. Keys that no other class has are dropped before
     pairs of keys are formed. Each class is first tied to one pivot of its buckets. Then, round by round, each class
-    tries in every bucket its most alike classes of larger components it is still apart from; when that links nothing,
-    the most alike class of each such component; the end is when that links nothing either. So a large
+    tries in every bucket its most alike classes of larger components it is still apart from; then
+    the most alike class of each such component, until that links nothing. So a large
     group of copies costs a few tries each and no bucket emits all its pairs.
     Buckets are compared in blocks of bounded size.
 
@@ -226,10 +228,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found, turn, every = 0, 0, False
     while not every or found:
         rows = _labelled(rows.select("key", "doc_id", "n"), member)
-        every = turn > 1 and not found
-        new, found = confirmed(docs, marks, _closest(rows, marks, every) if turn else _ties(rows))
+        every = turn > 1
+        new, found = confirmed(docs, _closest(rows, marks, every) if turn else plausible(_ties(rows), marks))
         linked, turn = linked.union(new), turn + 1
-        member = cut(components(linked), "member")[0] if found else member
+        member = listed(components(linked), "member") if found else member
     of = classes.join(member, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("top"))
     out = signed.drop("keys", "mark").join(of, same, "left")
     top = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("top")).otherwise(F.col("doc_id")))
