@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm import bpe, lines, minhash, mixing, quality
-from corpuslens.llm.common import ship, table
+from corpuslens.llm.common import listed, ship, table
 from corpuslens.session import cut, tune
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learned from the labelled ones among them, does not reject."""
     bad = quality.score(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(listed(bad, "rejected"), "doc_id", "left_anti").select(docs.columns)
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +29,14 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     ship(spark)
     more = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(more, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(listed(more, "copies"), "doc_id", "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix asks for, each once at least; domains are languages, learned from labelled documents."""
     labelled = docs.select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    copies = mixing.mix(docs, labelled, "lang").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    out = docs.join(copies, "doc_id", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("_copies", F.lit(1)))))
+    copies = mixing.mix(docs, labelled, "lang").groupBy("doc_id").agg(F.max("copies").alias("_copies")).where(F.col("_copies") != 1)
+    out = docs.join(listed(copies, "repeated"), "doc_id", "left").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("_copies", F.lit(1)))))
     return out.select(docs.columns)
 
 
