@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "word_bpe_49k.json"
-WORDS_KEPT = 500_000  # encoded words a task remembers before it starts anew
+WORDS_KEPT = 100_000  # encoded words a task remembers before it starts anew
 
 # White space as the tokenizer's patterns take it, and its pattern of pieces.
 _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"

@@ -22,8 +22,10 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Give the executors this package, by Spark's own file service, once per application."""
+    """Give the executors this package, by Spark's own file service, once per application; small Arrow batches."""
     context = spark.sparkContext
+    # Rows hold whole texts: few to a batch keep executors and their Python workers small.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if context.applicationId not in _shipped:
         top = Path(__file__).resolve().parents[1]
         # Only the driver reads this file; Spark serves it to executors for as long as the application lives.
