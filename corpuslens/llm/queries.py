@@ -34,7 +34,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
-    scored = pitman_yor.scores(table(spark, sf_dir, "documents"), learn=~held)
+    scored = pitman_yor.scores(table(spark, sf_dir, "documents"), learn=~held, settled=True)
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
