@@ -238,3 +238,16 @@ def test_mixing_reaches_its_targets(docs, make):
     assert min(r["rate"] for r in down) < 1 and abs(total[0] / sum(total) - 0.5) < 0.02
     assert {r["rate"] for r in mixing.mix(docs(rows), known.limit(0), "lang").collect()} == {1.0}
     assert mixing.mix(docs([]), known, "lang").count() == 0
+
+
+def test_language_model_has_a_context_for_every_word(docs):
+    rng = random.Random(18)
+    heads = [f"h{k}" for k in range(150)]
+    # Each rare head is always followed by its own word; alone both are far below a hundredth of the tokens.
+    pair = lambda k: f"{heads[k]} t{k}"
+    rows = [(i, " ".join(pair(rng.randrange(150)) for _ in range(40))) for i in range(300)]
+    rows += [(1000, " ".join(pair(k) for k in range(0, 150, 3))), (1001, " ".join(f"{heads[k]} t{(k + 7) % 150}" for k in range(0, 150, 3)))]
+    got = {r["doc_id"]: r for r in pitman_yor.scores(docs(rows), F.col("doc_id") < 1000).collect()}
+    assert math.isclose(got[1000]["base_score"], got[1001]["base_score"], rel_tol=0.01)
+    # 50 tails that their heads give away against 50 that they rule out.
+    assert got[1000]["score"] > got[1001]["score"] + 50 and got[1000]["score"] > 0.7 * got[1000]["base_score"]
