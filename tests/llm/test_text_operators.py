@@ -251,3 +251,19 @@ def test_language_model_has_a_context_for_every_word(docs):
     assert math.isclose(got[1000]["base_score"], got[1001]["base_score"], rel_tol=0.01)
     # 50 tails that their heads give away against 50 that they rule out.
     assert got[1000]["score"] > got[1001]["score"] + 50 and got[1000]["score"] > 0.7 * got[1000]["base_score"]
+
+
+@pytest.mark.parametrize(("n", "base", "discount"), [(2, 0.5, 0.5), (5, 0.3, 0.7), (60, 20.0, 0.8), (1000, 30.0, 0.6), (4000, 5.0, 0.8), (4000, 300.0, 0.5)])
+def test_seating_reaches_its_chance_for_any_number_of_customers(n, base, discount):
+    import numpy as np
+
+    t, log = np.arange(1, n + 1), np.full(n + 1, -np.inf)  # log of the weight of all seatings at t tables
+    log[1] = math.log(base)
+    for m in range(1, n):
+        with np.errstate(divide="ignore"):
+            log[1:] = np.logaddexp(log[1:] + np.log(np.maximum(m - discount * t, 0)), log[:-1] + math.log(base))
+    chance = np.exp(log[1:] - log.max())
+    mean = (chance * t).sum() / chance.sum()
+    spread = math.sqrt((chance * (t - mean) ** 2).sum() / chance.sum())
+    got = pitman_yor.tables_of(np.full(5000, n), np.full(5000, base), discount, np.random.default_rng(1))
+    assert abs(got.mean() - mean) < 0.01 * mean + 0.03 and abs(got.std() - spread) < 0.05 * spread + 0.02
