@@ -117,10 +117,29 @@ def aligned(x: Sequence[int], y: Sequence[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def shared_runs(early: Sequence[int], late: Sequence[int], words: Sequence[int], least: int) -> set[int]:
+    """Places in ``late`` of all runs of lines with ``least`` words or more that ``early`` has too, in whatever order; all lines are filled.
+
+    The shortest such runs from each line on, and up to each line, cover the longer ones.
+    """
+    count = dict(zip(late, words, strict=True))  # a run with a line that only ``early`` has is not shared
+    out: set[int] = set()
+    for way in (1, -1):
+        x, y = (np.array(v[::way], np.int64).view(np.uint64) for v in (early, late))
+        n = np.array(words[::way], np.int64)
+        ours = anchors(y, n, least)
+        sums = np.append(0, np.cumsum(n))
+        last = np.searchsorted(sums, sums[:-1] + least)
+        for i in np.flatnonzero(np.isin(ours, anchors(x, np.array([count.get(v, 1) for v in early[::way]], np.int64), least))).tolist():
+            out.update(range(i, int(last[i])) if way > 0 else range(len(late) - int(last[i]), len(late) - i))
+    return out
+
+
 def common_blocks(early: Sequence[int], late: Sequence[int], words: Sequence[int], least: int) -> set[int]:
     """Lines of ``late`` in blocks of aligned neighbours with ``least`` words or more; all lines are filled.
 
-    Aligned anew without the deleted lines, until nothing goes: moved and repeated blocks are found too.
+    Aligned anew without the deleted lines. When an alignment has no such block, what is left of ``shared_runs`` goes, and so on
+    until no common run is left: moved, crossed, overlapping and repeated blocks are found too.
     """
     gone: set[int] = set()
     left = list(range(len(late)))
@@ -134,6 +153,10 @@ def common_blocks(early: Sequence[int], late: Sequence[int], words: Sequence[int
             block.append(left[j])
             if sum(words[k] for k in block) >= least:
                 went.update(block)
+        if not went:
+            went = shared_runs(early, late, words, least) - gone
+        if not went and gone:
+            went = {left[j] for j in shared_runs(early, [late[i] for i in left], [words[i] for i in left], least)}
         if not went:
             return gone
         gone |= went
@@ -158,7 +181,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     Documents overlap when they share a run of lines of ``least`` words; each such run, and so every block that could
     be deleted, ties a document to the first (smallest doc_id) that has it. The two are aligned by
     patience diff over line hashes, and aligned blocks of ``least`` words or more leave the later one with their line
-    ends. Common lines alone make no pair, so boilerplate shorter than a block stays. Pairs grow with the number of lines, not with its
+    ends, as do common runs of so many words that the alignment crosses, until none is left. Common lines alone make no pair, so boilerplate shorter than a block stays. Pairs grow with the number of lines, not with its
     square; only hashes move until the deletions are applied.
 
     Null text stays null with 0 lines; empty text has one empty line. Rows with equal doc_id are one document and are

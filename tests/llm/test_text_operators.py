@@ -267,3 +267,32 @@ def test_seating_reaches_its_chance_for_any_number_of_customers(n, base, discoun
     spread = math.sqrt((chance * (t - mean) ** 2).sum() / chance.sum())
     got = pitman_yor.tables_of(np.full(5000, n), np.full(5000, base), discount, np.random.default_rng(1))
     assert abs(got.mean() - mean) < 0.01 * mean + 0.03 and abs(got.std() - spread) < 0.05 * spread + 0.02
+
+
+def brute_runs(early, late, words, least):
+    out = set()
+    for i in range(len(early)):
+        for j in range(len(late)):
+            n = 0
+            while i + n < len(early) and j + n < len(late) and early[i + n] == late[j + n]:
+                n += 1
+            if sum(words[j: j + n]) >= least:
+                out.update(range(j, j + n))
+    return out
+
+
+def test_line_dedup_finds_runs_that_shorter_lines_cross(docs):
+    passage, heads = [1], [2, 3]
+    assert lines.common_blocks(passage + heads, heads + passage, [3, 3, 60], 30) == {2}
+    for seed in range(300):
+        rng = random.Random(seed)
+        size = [rng.choice([3, 8, 14, 40]) for _ in range(10)]
+        x, y = ([rng.randrange(1, 10) for _ in range(rng.randrange(14))] for _ in range(2))
+        gone = lines.common_blocks(x, y, [size[v] for v in y], 30)
+        assert lines.shared_runs(x, y, [size[v] for v in y], 30) == brute_runs(x, y, [size[v] for v in y], 30) <= gone
+        left = [v for j, v in enumerate(y) if j not in gone]
+        assert not brute_runs(x, left, [size[v] for v in left], 30)
+    rng = random.Random(21)
+    p, h1, h2 = prose(rng, 60), prose(rng, 5), prose(rng, 6)
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs([(1, f"{p}\n{h1}\n{h2}"), (2, f"{h1}\n{h2}\n{p}")])).collect()}
+    assert got == {1: f"{p}\n{h1}\n{h2}", 2: f"{h1}\n{h2}"}
