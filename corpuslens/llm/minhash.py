@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import components, listed, lists, longs, mix, runs, texts, words_of
+from corpuslens.llm.common import LISTED, components, listed, lists, longs, mix, runs, texts, words_of
 from corpuslens.session import cut
 
 WORDS = 5  # words of a shingle
@@ -18,7 +18,8 @@ SIMILAR = 75  # least 100 * intersection / union
 SIDE = 16  # sub-tables of each of the two collections
 DEPTH = 3  # minhashes of a sub-table's key
 TRIES = 4  # most alike classes of larger components that a class of a bucket is compared with in a round
-LEAST = 56  # minhashes, of the 96, that agree: at the least similarity 72 do on average, and fewer than this with a chance of 0.0001
+MORE = 8  # by what the tries of the last rounds grow when a round links nothing
+LEAST = 48  # minhashes, of the 96, that agree: at the least similarity 72 do on average, with a deviation of about 4
 BLOCK = 512  # classes of a bucket that a task compares at a time, with as many others
 
 _rng = np.random.default_rng(77)
@@ -119,21 +120,22 @@ def plausible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "a_mark", "b_mark").mapInArrow(_plausible, "a long, b long")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, int]:
-    """The pairs (a, b) whose full sets are similar enough, and their number. Only texts of documents in a pair move."""
-    near = listed(pairs, "plausible")
+def confirmed(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, int, DataFrame, int]:
+    """The pairs (a, b) whose full sets are similar enough, and their number; all pairs, and theirs. Only texts of documents in a pair move."""
+    near, many = cut(pairs, "plausible")
+    near = F.broadcast(near) if many <= LISTED else near
     ids = listed(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets, _ = cut(sets.mapInArrow(_sets, "id long, items binary"), "sets")
     x, y = (sets.select(F.col("id").alias(c), F.col("items").alias(f"{c}_items")) for c in "ab")
     both = near.join(x, "a").join(y, "b").select("a", "b", "a_items", "b_items")
-    return cut(both.mapInArrow(_confirm, "a long, b long"), "linked")
+    return *cut(both.mapInArrow(_confirm, "a long, b long"), "linked"), near, many
 
 
-def _within(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
+def _within(batches: Iterator[pa.RecordBatch], tries: int, every: bool) -> Iterator[pa.RecordBatch]:
     """In each run of rows of one (key, i, j), that is two blocks of a bucket or one: the pairs to try, of different components.
 
-    Each class tries its most alike ones of larger components: the best ``TRIES``, or with ``every`` the best of each component."""
+    Each class tries its most alike ones of larger components: the best ``tries``, or with ``every`` as many of each component."""
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         block, doc, size, top = (t.column(c).to_numpy() for c in ("block", "doc_id", "n", "component"))
@@ -149,7 +151,8 @@ def _within(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Recor
                 agree = (mark[o] == mark[k]).sum(axis=1)
                 o, agree = o[agree >= LEAST], agree[agree >= LEAST]
                 o = o[np.lexsort((-agree, weight[o]) if every else (-agree,))]
-                o = o[np.unique(weight[o], return_index=True)[1]] if every else o[:TRIES]
+                # With ``every``, places in the run of a component.
+                o = o[np.arange(len(o)) - np.searchsorted(weight[o], weight[o]) < tries] if every else o[:tries]
                 found.append((np.minimum(doc[o], doc[k]), np.maximum(doc[o], doc[k])))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 2, ["a", "b"])
 
@@ -157,14 +160,14 @@ def _within(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.Recor
         yield pairs(t)
 
 
-def _labelled(rows: DataFrame, member: DataFrame) -> DataFrame:
-    """``rows`` of buckets that more than one component reaches, with the component of each; one bucket of those with the same members."""
+def _labelled(rows: DataFrame, member: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` of buckets that more than one component reaches, with the component of each, one bucket of those with the same members; and the most members."""
     rows = rows.join(member.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     whole = rows.groupBy("key").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"),
         F.sum(F.shiftright(F.xxhash64("doc_id"), 24)).alias("print")).where("lo < hi")
     once = whole.groupBy("members", "print").agg(F.min("key").alias("key"))
-    return cut(rows.join(once.select("key", "members"), "key").select("key", "doc_id", "n", "component", "members"), "mixed")[0]
+    return cut(rows.join(once.select("key", "members"), "key").select("key", "doc_id", "n", "component", "members"), "mixed", F.max("members"))
 
 
 def _ties(rows: DataFrame) -> DataFrame:
@@ -177,13 +180,13 @@ def _ties(rows: DataFrame) -> DataFrame:
     return ties.select(F.least("doc_id", "best.pivot").alias("a"), F.greatest("doc_id", "best.pivot").alias("b")).distinct()
 
 
-def _closest(rows: DataFrame, marks: DataFrame, every: bool) -> DataFrame:
+def _closest(rows: DataFrame, marks: DataFrame, tries: int, every: bool) -> DataFrame:
     """Within buckets, in blocks of bounded size: pairs of classes of different components to try next."""
     rows = rows.join(marks, "doc_id").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc_id", "n", "component", "mark")
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(partial(_within, every=every), "a long, b long").distinct()
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(partial(_within, tries=tries, every=every), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -197,8 +200,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Equal sets are one class from the start. Keys that no other class has are dropped before
     pairs of keys are formed. Each class is first tied to one pivot of its buckets. Then, round by round, each class
     tries in every bucket its most alike classes of larger components it is still apart from; then
-    the most alike class of each such component, until that links nothing. So a large
-    group of copies costs a few tries each and no bucket emits all its pairs.
+    the most alike class of each such component. Tried pairs are remembered. When that links nothing, ``MORE`` times as many
+    are tried of each component, until the buckets of classes still apart have no plausible pair left that was not tried. So a large
+    group of copies costs a few tries each; only pairs of classes that stay apart are all tried.
     Buckets are compared in blocks of bounded size.
 
     Null or empty text has no shingles, is linked with nothing and is its own component. Rows with
@@ -225,13 +229,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     linked = spark.createDataFrame([], "a long, b long")
     member = spark.createDataFrame([], "node long, component long")
-    found, turn, every = 0, 0, False
-    while not every or found:
-        rows = _labelled(rows.select("key", "doc_id", "n"), member)
+    tried, total = linked, 0
+    turn, tries = 0, TRIES
+    while True:
+        rows, most = _labelled(rows.select("key", "doc_id", "n"), member)
         every = turn > 1
-        new, found = confirmed(docs, _closest(rows, marks, every) if turn else plausible(_ties(rows), marks))
-        linked, turn = linked.union(new), turn + 1
+        pairs = _closest(rows, marks, tries, every) if turn else plausible(_ties(rows), marks)
+        pairs = pairs.join(F.broadcast(tried) if total <= LISTED else tried, ["a", "b"], "left_anti")
+        new, found, near, many = confirmed(docs, pairs)
+        linked, tried, total = linked.union(new), tried.union(near), total + many
         member = listed(components(linked), "member") if found else member
+        if every and not found:
+            if tries >= most:
+                break
+            tries *= MORE
+        turn += 1
+        tries = 1 if turn == 2 else tries
     of = classes.join(member, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("top"))
     out = signed.drop("keys", "mark").join(of, same, "left")
     top = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("top")).otherwise(F.col("doc_id")))

@@ -296,3 +296,16 @@ def test_line_dedup_finds_runs_that_shorter_lines_cross(docs):
     p, h1, h2 = prose(rng, 60), prose(rng, 5), prose(rng, 6)
     got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(docs([(1, f"{p}\n{h1}\n{h2}"), (2, f"{h1}\n{h2}\n{p}")])).collect()}
     assert got == {1: f"{p}\n{h1}\n{h2}", 2: f"{h1}\n{h2}"}
+
+
+def test_minhash_tries_on_until_a_class_links(docs):
+    rng, rows = random.Random(31), []
+    for g in range(40):
+        words = [f"g{g}w{rng.randrange(10**6)}" for _ in range(100)]
+        near = list(words)
+        near[30], near[60], near[97], near[98], near[99] = (f"n{rng.randrange(10**6)}" for _ in range(5))
+        # Only the first copy is at 75 or more with the words; the others are at 74.5 and as likely to agree in more minhashes.
+        copies = [near] + [[*near[:96], f"o{g}", *near[97:99], f"u{k}"] for k in range(12)]
+        rows += [(100 * g + k, " ".join(c)) for k, c in enumerate([words, *copies])]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(rows)).collect()}
+    assert got == {i: i - i % 100 for i, _ in rows}
