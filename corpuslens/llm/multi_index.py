@@ -19,7 +19,6 @@ SIMILAR = 0.93
 SAMPLE = 16_384  # vectors that codebooks are fitted on, at most
 ROWS = 32  # vectors per cell that the size of the codebooks aims at
 WORDS = 256  # words of a codebook, at most
-RECALL = 0.9998  # of links at the least similarity, by which the walk over cells ends
 
 Books = dict[int, tuple[np.ndarray, np.ndarray]]
 
@@ -55,15 +54,9 @@ def bounds(x: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return far.argmin(axis=1), low**2
 
 
-def radius(least: float, size: int, recall: float = RECALL) -> float:
-    """Squared distance of a cell from a vector up to which cells are visited.
-
-    Neighbours lie within the squared distance r = 2 - 2 * least. Of a step of that length in a random direction of ``size``
-    dimensions, the part across the borders of one region in each half has the variance r / size in each, so it exceeds a
-    square of s with a chance of exp(-s * size / (2 * r)). Never more than r, which no neighbour exceeds.
-    """
-    r = 2 - 2 * least
-    return r * min(1.0, 2 * float(np.log(1 / (1 - recall))) / size) + 1e-9
+def radius(least: float) -> float:
+    """Squared distance of a cell from a vector up to which cells are visited: that of two unit vectors at the least similarity, which no neighbour exceeds."""
+    return 2 - 2 * least + 1e-4  # what sums of single precision may be off
 
 
 def traverse(one: np.ndarray, two: np.ndarray, radius: float) -> list[tuple[int, int]]:
@@ -95,12 +88,12 @@ def _cells(batches: Iterator[pa.RecordBatch], books: Books, least: float) -> Ite
             x = matrix(vectors.take(pa.array(at)))
             x /= np.linalg.norm(x, axis=1)[:, None]
             one, two = books[int(n)]
-            reach = radius(least, int(n))
+            reach = radius(least)
             (i, low1), (j, low2) = bounds(x[:, : n // 2], one), bounds(x[:, n // 2:], two)
             for k, row in enumerate(at):
                 own[row] = int(i[k]) * len(two) + int(j[k])
                 cells = (a * len(two) + b for a, b in traverse(low1[k], low2[k], reach))
-                # The other way round finds the pair too, so one of the two is enough.
+                # The other way round finds the pair too, as the radius leaves no neighbour out, so one of the two is enough.
                 visits[row] = sorted({own[row], *(c for c in cells if c > own[row])})
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], [*batch.schema.names, "own", "visits"])
 
@@ -127,7 +120,7 @@ def near_duplicates(vectors: DataFrame, least: float = SIMILAR) -> DataFrame:
     Two vectors are linked when their labels are equal and their cosine is ``least`` or more. Equal vectors of a label
     are one class, counted but not compared. Each half of the unit vectors has its own codebook, fitted on a
     bounded sample; the grid of both is the index. From each class the cells are visited in order of the least
-    distance that a point in them can have, until ``RECALL`` of links are reached (``radius``); each pair met is then
+    distance that a point in them can have, as far as a linked vector can be (``radius``), so no link is missed; each pair met is then
     verified. Cells are compared in blocks, so a large one is many tasks.
 
     Vectors that are null, zero, or hold null or non-finite components, and those with a null label, are linked with nothing

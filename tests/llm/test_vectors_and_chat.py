@@ -121,3 +121,17 @@ def test_pipeline_stages(shipped):
     last = P.STAGES[-1][1](shipped, docs, sf)
     assert last.count() == before and P.run(shipped, sf).count() == before
     assert P.STAGES[2][1](shipped, docs.limit(0), sf).count() == 0 and P.STAGES[0][1](shipped, docs.limit(0).withColumn("text", F.lit("a")), sf).count() == 0
+
+
+def test_links_along_the_directions_that_cells_split(shipped):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(800, 64)) * 0.005
+    for at in (0, 32):  # an arc in each half, which its codebook is split along
+        turn = rng.random(800) * 2 * np.pi
+        x[:, at] += np.cos(turn)
+        x[:, at + 1] += np.sin(turn)
+    x = x.astype(np.float32).astype(float)
+    got = {r["vec_id"]: r["n_links"] for r in multi_index.near_duplicates(vectors(shipped, [(i, v.tolist(), 0) for i, v in enumerate(x)])).collect()}
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    least, most = (((x @ x.T) >= 0.93 + e).sum(axis=1) - 1 for e in (1e-5, -1e-5))
+    assert all(least[i] <= got[i] <= most[i] for i in got) and least.sum() > 1000
