@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import ann, bpe, chat, lines, minhash, mixing, multi_index, pii, pitman_yor, quality
+from corpuslens.llm import ann, bpe, centroids, chat, fim, licences, lines, minhash, mixing, multi_index, pii, pitman_yor, quality
 from corpuslens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,7 +66,26 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(turns.union(spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], turns.schema)))
 
 
+def op11_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.summary(licences.scan(table(spark, sf_dir, "documents")))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = fim.fill_in_middle(docs).withColumn("back", fim.restored(F.col("text"), F.col("form")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("text", 256).alias("output_sha256"), F.sha2("back", 256).alias("restored_sha256"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = centroids.cluster(table(spark, sf_dir, "embeddings"), 64)
+    mark = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", mark.alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_posting_list_search, op2_minhash_near_dedup, op3_embedding_near_dedup, op4_quality_classifier, op5_pitman_yor_scores,
-    op6_bpe_encoding, op7_line_dedup, op8_source_mixing, op9_pii_sanitisation, op10_chat_formatting)}
-ORACLES: dict[str, str] = {}
+    op6_bpe_encoding, op7_line_dedup, op8_source_mixing, op9_pii_sanitisation, op10_chat_formatting,
+    op11_licence_scan, op12_fill_in_middle, op13_centroid_clusters)}
+ORACLES: dict[str, str] = {
+    "op11_licence_scan": licences.sql(), "op12_fill_in_middle": fim.SQL, "op13_centroid_clusters": centroids.sql(64),
+}
