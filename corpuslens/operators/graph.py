@@ -1,4 +1,4 @@
-"""Walks over edge tables: reach by hop, impact of a symbol, cycles, commits ahead.
+"""Walks over edge tables: reach by hop, impact of a symbol, cycles.
 
 Each round is one job that writes its new rows as a table; the loop ends on the row
 count of that write. All roots and all starts go through the same rounds. A small
@@ -265,49 +265,3 @@ def cycles(edges: DataFrame) -> DataFrame:
 def cycles_ordered(cycle_rows: DataFrame) -> DataFrame:
     """By size, then names: parts are disjoint, so the least member decides between equals."""
     return cycle_rows.orderBy("root_path", "size", "component", "member")
-
-
-def ahead_count(commits: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Commits reachable from ``head`` but not from ``base``: (root_path, base, head, ahead).
-
-    ``commits(root_path, sha, parent)`` has one row per parent (null for none);
-    a pair with an unknown commit gets null.
-    """
-    known = commits.select("root_path", "sha").distinct()
-    ask = pairs.select("root_path", "base", "head").distinct()
-    ask = ask.join(known.withColumnRenamed("sha", "base").withColumn("_b", F.lit(True)), ["root_path", "base"], "left").join(
-        known.withColumnRenamed("sha", "head").withColumn("_h", F.lit(True)), ["root_path", "head"], "left"
-    )
-    ask, _ = cut(ask.select("root_path", "base", "head", (F.col("_b") & F.col("_h")).alias("known")), "pairs")
-    real = ask.where("known")
-    starts = real.select("root_path", F.explode(F.array("base", "head")).alias("start")).distinct()
-    links = commits.select("root_path", F.col("sha").alias("src"), F.col("parent").alias("dst"))
-    walked = reach(links, starts).select("root_path", "start", "node").unionByName(
-        starts.select("root_path", "start", F.col("start").alias("node"))
-    )
-    of = lambda end: real.select("root_path", "base", "head", F.col(end).alias("start")).join(
-        walked, ["root_path", "start"]
-    ).select("root_path", "base", "head", "node")
-    ahead = (
-        of("head").join(of("base"), ["root_path", "base", "head", "node"], "left_anti")
-        .groupBy("root_path", "base", "head").agg(F.count(F.lit(1)).alias("_n"))
-    )
-    return ask.join(ahead, ["root_path", "base", "head"], "left").select(
-        "root_path", "base", "head", F.when(F.col("known"), F.coalesce("_n", F.lit(0))).cast("long").alias("ahead")
-    )
-
-
-def commits_behind(commits: DataFrame, asks: DataFrame) -> DataFrame:
-    """Adds ``behind`` to ``asks(root_path, recorded, current, ..)``.
-
-    Equal commits are 0 without a walk, a missing one is null; only pairs that differ are walked.
-    """
-    differ = asks.where(F.col("recorded") != F.col("current")).select(
-        "root_path", F.col("recorded").alias("base"), F.col("current").alias("head")
-    ).distinct()
-    walked = ahead_count(commits, differ).select(
-        "root_path", F.col("base").alias("recorded"), F.col("head").alias("current"), F.col("ahead").alias("_n")
-    )
-    return asks.join(walked, ["root_path", "recorded", "current"], "left").withColumn(
-        "behind", F.when(F.col("recorded") == F.col("current"), F.lit(0).cast("long")).otherwise(F.col("_n"))
-    ).drop("_n")

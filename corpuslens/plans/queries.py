@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions import outcome as O
 from corpuslens.functions import paths as P
 from corpuslens.functions import text as T
+from corpuslens.operators import commits as C
 from corpuslens.operators import extract as X
 from corpuslens.operators import graph as G
 from corpuslens.operators import lookup as L
@@ -403,7 +404,7 @@ def ahead_count(spark, d):
     """Commits ahead of each parent, for every parent and child of the commit graph."""
     commits = B.part_commits(spark, d)
     pairs = commits.where("parent is not null").select("root_path", F.col("parent").alias("base"), F.col("sha").alias("head"))
-    return G.ahead_count(commits, pairs)
+    return C.ahead_count(commits, pairs)
 
 
 @query
@@ -414,7 +415,7 @@ def map_freshness(spark, d):
     asks = least.select("root_path", "recorded", F.col("sha").alias("current")).unionByName(
         least.select("root_path", F.col("sha").alias("recorded"), F.col("sha").alias("current"))
     )
-    out = G.commits_behind(commits, asks)
+    out = C.commits_behind(commits, asks)
     return out.select("root_path", "recorded", "current", "behind", O.freshness(F.col("behind")).alias("freshness"))
 
 

@@ -114,17 +114,3 @@ def test_impact(make, starts):
     note = G.impact_notes(symbols, starts("x"), out, "a/b").first()
     assert (note.definitions, note.kept, note.dropped) == (2, 2, 2)
     assert note.note.startswith("2 definitions") and note.note.endswith("; 2 references dropped by `--file` scope")
-
-
-def test_ahead_count(make):
-    # 1 - 2 - 3 - 5(merge of 3, 4), 2 - 4
-    commits = make("root_path string, sha string, parent string",
-                   [("r", "1", None), ("r", "2", "1"), ("r", "3", "2"), ("r", "4", "2"), ("r", "5", "3"), ("r", "5", "4")])
-    pairs = make("root_path string, base string, head string",
-                 [("r", "2", "5"), ("r", "3", "5"), ("r", "5", "2"), ("r", "1", "1"), ("r", "gone", "5")])
-    assert rows(G.ahead_count(commits, pairs), "base", "head", "ahead") == [
-        ("1", "1", 0), ("2", "5", 3), ("3", "5", 2), ("5", "2", 0), ("gone", "5", None),
-    ]
-    asks = make("root_path string, recorded string, current string",
-                [("r", "5", "5"), ("r", "2", "5"), ("r", None, "5"), ("r", "gone", "5")])
-    assert rows(G.commits_behind(commits, asks), "recorded", "behind") == [("2", 3), ("5", 0), ("gone", None), (None, None)]
