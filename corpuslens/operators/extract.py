@@ -1,16 +1,15 @@
 """Files to symbols, imports, identifiers and callsites, with rule tables as expressions.
 
 Everything that needs one file's text happens on the file row or on its lines, where
-they were read. Only short rows are shuffled: brace counts, rule hits and
-line numbers, keyed by (file) or (file, nesting level), never text.
+they were read, and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.functions.text import (
@@ -21,10 +20,10 @@ from corpuslens.functions.text import (
     trim_space,
     trim_space_start,
 )
+from corpuslens.operators import fold
 from corpuslens.operators import rules as R
 
 FILE = ["root_path", "file_path"]
-_NO_STRINGS = "array<string>"
 
 
 def _by_language(cases: list[tuple[tuple[str, ...], Column]], otherwise: Column | None = None) -> Column:
@@ -56,7 +55,7 @@ def code_lines(files: DataFrame) -> DataFrame:
     both = F.arrays_zip(
         split_lines(F.col("content")).alias("text"), split_lines(code_of(F.col("content"))).alias("code")
     )
-    return files.select(*FILE, "language", F.posexplode(both).alias("_pos", "_l")).select(
+    return files.select(*FILE, "language", F.posexplode_outer(both).alias("_pos", "_l")).where("_pos is not null").select(
         *FILE, "language", (F.col("_pos") + 1).alias("line"),
         F.col("_l.text").alias("text"), F.coalesce(F.col("_l.code"), F.lit("")).alias("code"),
     )
@@ -106,164 +105,111 @@ def _hits() -> Column:
             ),
         )
 
-    languages = sorted({lang for rule in R.SYMBOLS for lang in rule.languages})
-    cases = [
-        ((lang,), F.filter(F.array(*(one(r) for r in R.SYMBOLS if lang in r.languages)), lambda x: x.isNotNull()))
-        for lang in languages
-    ]
-    return _by_language(cases)
+    made = [(r.languages, one(r)) for r in R.SYMBOLS]
+    return _by_language([
+        (langs, F.filter(F.array(*(c for of, c in made if langs[0] in of)), lambda x: x.isNotNull()))
+        for langs in _alike(of for of, _ in made)
+    ])
 
 
-def _per_line(line_rows: DataFrame) -> DataFrame:
-    """Short rows per line: nesting changes, rule hits, and the state at the line's start."""
-    code = F.col("code")
-    lead = F.length(F.regexp_replace(F.regexp_extract(code, r"^[\s)\];,]*\}[\s}\)\];,]*", 0), r"[^}]", ""))
-    opens = F.length(code) - F.length(F.replace(code, F.lit("{")))
-    closes = F.length(code) - F.length(F.replace(code, F.lit("}")))
-    braced = F.col("language") != "python"
-    indent = F.length(F.regexp_extract(code, r"^[ \t]*", 0))
-    short = line_rows.select(
-        *FILE, "language", "line", "text", "code", F.coalesce(F.when(F.trim("code") != "", _hits()), F.array()).alias("hits")
-    ).select(
-        *FILE, "language", "line", "hits",
-        F.when(braced, lead).otherwise(0).alias("lead"),
-        F.when(braced, opens).otherwise(0).alias("opens"),
-        F.when(braced, closes).otherwise(0).alias("closes"),
-        (braced & code.rlike(r";[\s})]*$")).alias("ends"),
-        # In Python the nesting of a line that has code is its indent.
-        F.when(~braced & code.rlike(r"\S"), indent).alias("indent"),
-        F.when(
-            F.col("language") == "go",
-            F.when(code.rlike(r"^(?:const|var|type|import)\s*\("), F.regexp_extract(code, r"^([a-z]+)", 1)).when(
-                code.rlike(r"^\)"), ""
-            ),
-        ).alias("group"),
-        F.when(F.size("hits") > 0, signature(F.col("text"))).alias("signature"),
-    ).where(
-        (F.col("opens") + F.col("closes") > 0) | F.col("ends") | F.col("indent").isNotNull()
-        | F.col("group").isNotNull() | (F.size("hits") > 0)
-    )
-    before = W.partitionBy(*FILE).orderBy("line").rowsBetween(W.unboundedPreceding, -1)
-    return (
-        short.withColumn("depth", F.coalesce(F.sum(F.col("opens") - F.col("closes")).over(before), F.lit(0)))
-        .withColumn("in_group", F.coalesce(F.last("group", True).over(before), F.lit("")))
-        .withColumn("last_indent", F.last("indent", True).over(before))
-        .withColumn("last_code", F.last(F.when(F.col("indent").isNotNull(), F.col("line")), True).over(before))
-        .withColumn(
-            "end_code", F.max(F.when(F.col("indent").isNotNull(), F.col("line"))).over(W.partitionBy(*FILE))
-        )
-    )
+def _alike(sets: Iterable[tuple[str, ...]]) -> list[tuple[str, ...]]:
+    """Languages grouped by the rules that they have, so that each group's expression is made once."""
+    groups: dict[tuple[int, ...], list[str]] = {}
+    sets = list(sets)
+    for lang in sorted({lang for of in sets for lang in of}):
+        groups.setdefault(tuple(i for i, of in enumerate(sets) if lang in of), []).append(lang)
+    return [tuple(g) for g in groups.values()]
 
 
-def blocks(line_rows: DataFrame) -> DataFrame:
-    """All rule hits with their extent, their level, and the block they sit directly in.
+def _sites() -> Column:
+    """Calls, macros and type references on a line of code, as an array of structs."""
+    code = F.regexp_replace("code", R.DEFINITION, " ")
 
-    A block at depth d is closed by the first later event on level d + 1 of its file, so
-    extent and direct parent are windows over (file, level): no pair of lines is ever joined.
-    """
-    per_line = _per_line(line_rows)
-    python = F.col("language") == "python"
-    base = F.col("depth") - F.col("lead")
-    after = F.col("depth") + F.col("opens") - F.col("closes")
-    no_hit = F.lit(None).cast("struct<name:string,kind:string,visibility:string,receiver:string>")
-
-    def event(level: Column, at: int, end: Column | None, hit: Column) -> Column:
-        return F.struct(
-            level.cast("int").alias("level"), F.lit(at).alias("at"),
-            (F.lit(None) if end is None else end).cast("int").alias("end"), hit.alias("hit"),
-        )
+    def found(rule: R.CallRule) -> Column:
+        names = F.regexp_extract_all(code, F.lit(rule.pattern), F.lit(1))
+        names = F.array_distinct(names) if rule.kind == "type_ref" else names
+        return F.transform(names, lambda n: F.struct(n.alias("callee_name"), F.lit(rule.kind).alias("callee_kind")))
 
-    def span(low: Column, high: Column, at: int, end: Column) -> Column:
-        levels = F.transform(F.sequence(low, high), lambda n: event(n, at, end, no_hit))
-        return F.when(low <= high, levels).otherwise(F.array())
+    made = [(r.languages, found(r)) for r in R.CALLS]
+    cases = [(langs, F.concat(*(c for of, c in made if langs[0] in of))) for langs in _alike(of for of, _ in made)]
+    importing = F.col("code").rlike(r"^\s*(?:(?:pub(?:\([^)]*\))?\s+)?use|import|from|#\s*include|package|extern crate)\b")
+    every = F.when(F.col("code").rlike(r"[\p{L}_]") & ~importing, _by_language(cases))
+    return F.filter(every, lambda s: ~s["callee_name"].isin(*R.NOT_CALLS) & is_identifier(s["callee_name"]))
 
-    # Closers at the start of a line end blocks before anything else on it begins.
-    closing = F.concat(
-        span(base + 1, F.col("depth"), 0, F.col("line")),
-        span(after + 1, base + F.col("opens"), 2, F.col("line")),
-        F.when(F.col("ends"), F.array(event(after + 1, 2, F.col("line"), no_hit))).otherwise(F.array()),
-    )
-    dedent = F.when(
-        F.col("indent").isNotNull() & F.col("last_indent").isNotNull(),
-        span(F.col("indent"), F.col("last_indent"), 0, F.col("last_code")),
-    ).otherwise(F.array())
-    level = F.when(python, F.col("indent")).otherwise(base + 1)
-    starts = F.transform("hits", lambda h: event(level, 1, None, h))
-    # One pass makes both kinds of rows, so the lines are read and windowed once.
-    marked = per_line.select(
-        *FILE, "language", "line", "signature", "in_group", "end_code", (after <= base).alias("flat"),
-        F.inline(F.concat(F.when(python, dedent).otherwise(closing), starts)),
-    )
-    follow = W.partitionBy(*FILE, "level").orderBy("line", "at").rowsBetween(1, W.unboundedFollowing)
-    one_line = F.col("language").isin(*R.JS, "go") & F.col("hit.kind").isin("const", "var", "type", "grouped") & F.col("flat")
-    # The last block of a Python file ends with its last line of code.
-    end_line = F.when(one_line, F.col("line")).otherwise(F.coalesce("_end", F.when(python, F.col("end_code")), "line"))
-    ended = marked.withColumn("_end", F.first("end", True).over(follow)).where(F.col("hit").isNotNull()).select(
-        *FILE, "language", "line", "signature", "in_group", "level", "hit.*", end_line.alias("end_line")
-    )
-    return _with_parent(ended)
+
+PARTS = ("symbols", "callsites", "identifiers")
 
 
-def _with_parent(found: DataFrame) -> DataFrame:
-    """Adds ``parent`` (name of the class-like block directly around) and ``inside`` (any around).
+def scan(files: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """Symbols, callsites and identifiers of text files in one pass, as rows of ``fold.ROW``; only ``parts`` is worked out.
 
-    Starts and ends of class-like blocks are swept in line order per file. The blocks a
-    row is in form a chain; the innermost is the latest opened of the same chain length.
+    A file is masked, cut into lines and folded by the task that read it. Lines carry short columns only: brace counts,
+    indent and rule hits. Use :func:`symbols_of`, :func:`callsites_of` and :func:`identifiers_of` on the result.
     """
-    opens = reduce(
-        lambda a, b: a | b,
-        [(F.col("language") == lang) & F.col("kind").isin(*kinds) for lang, kinds in R.CONTAINERS.items()],
+    code = F.col("code")
+    both = F.arrays_zip(
+        split_lines(F.col("content")).alias("text"), split_lines(code_of(F.col("content"))).alias("code")
+    )
+    # The size is its own column before the explode, so that no line carries the whole array. An inner explode would
+    # have Spark test the array for being empty first, by working it out once more.
+    lines = files.select(*FILE, "language", both.alias("_both")).withColumn("_n", F.size("_both")).select(
+        *FILE, "language", "_n", F.posexplode_outer("_both").alias("_pos", "_l")
+    ).where("_pos is not null").select(
+        *FILE, "language", (F.col("_pos") + 1).alias("line"), (F.col("_pos") + 1 == F.col("_n")).alias("last"),
+        F.col("_l.text").alias("text"), F.coalesce(F.col("_l.code"), F.lit("")).alias("code"),
     )
-    row, box = F.struct(*found.columns), F.struct("name", "kind", "level")
-    no_row, no_box = F.when(F.lit(False), row), F.when(F.lit(False), box)
+    kept = [*FILE, "line"]
+    if "identifiers" in parts:
+        lines = lines.withColumn("tokens", line_tokens(code))
+        kept.append("tokens")
+    if "symbols" in parts or "callsites" in parts:
+        lead = F.length(F.regexp_replace(F.regexp_extract(code, r"^[\s)\];,]*\}[\s}\)\];,]*", 0), r"[^}]", ""))
+        count = lambda sign: F.length(code) - F.length(F.replace(code, F.lit(sign)))
+        braced = F.col("language") != "python"
+        indent = F.length(F.regexp_extract(code, r"^[ \t]*", 0))
+        no_site = F.array().cast("array<struct<callee_name:string,callee_kind:string>>")
+        lines = lines.withColumns({
+            "hits": F.coalesce(F.when(F.trim("code") != "", _hits()), F.array()),
+            "sites": F.coalesce(_sites(), no_site) if "callsites" in parts else no_site,
+            "opens": F.when(braced, count("{")).otherwise(0), "closes": F.when(braced, count("}")).otherwise(0),
+        }).withColumns({
+            "lead": F.when(F.col("closes") > 0, lead).otherwise(0),
+            "ends": braced & code.rlike(r";[\s})]*$"),
+            # In Python the nesting of a line that has code is its indent.
+            "indent": F.when(~braced & code.rlike(r"\S"), indent),
+            "mark": F.when(
+                F.col("language") == "go",
+                F.when(code.rlike(r"^(?:const|var|type|import)\s*\("), F.regexp_extract(code, r"^([a-z]+)", 1)).when(
+                    code.rlike(r"^\)"), ""
+                ),
+            ),
+            "signature": F.when(F.size("hits") > 0, signature(F.col("text"))),
+        })
+        kept += ["language", "last", "lead", "opens", "closes", "ends", "indent", "mark", "signature", "hits", "sites"]
+    # No filter on what lines hold: Spark would put it below the columns and work them out twice.
+    return lines.select(*kept).mapInArrow(fold.fold, fold.ROW)
 
-    def point(line: Column, at: int, step: int, row: Column, box: Column) -> Column:
-        return F.struct(
-            line.alias("line"), F.lit(at).alias("at"), F.lit(step).alias("step"), row.alias("row"), box.alias("box")
-        )
 
-    points = F.concat(
-        F.array(point(F.col("line"), 1, 0, row, no_box)),
-        F.when(opens, F.array(
-            point(F.col("line"), 2, 1, no_row, box), point(F.col("end_line") + 1, 0, -1, no_row, no_box)
-        )).otherwise(F.array()),
-    )
-    sweep = W.partitionBy(*FILE).orderBy("line", "at").rowsBetween(W.unboundedPreceding, 0)
-    inner = W.partitionBy(*FILE, "chain").orderBy("line", "at").rowsBetween(W.unboundedPreceding, 0)
-    rows = found.select(*FILE, F.inline(points)).withColumn("chain", F.sum("step").over(sweep)).withColumn(
-        "_box", F.when(F.col("chain") > 0, F.last("box", True).over(inner))
-    )
-    direct = F.col("_box.kind").isin(*R.PARENTS) & (
-        (F.col("language") == "python") | (F.col("_box.level") + 1 == F.col("level"))
-    )
-    return rows.where(F.col("row").isNotNull()).select("row.*", "_box").select(
-        *found.columns, F.col("_box").isNotNull().alias("inside"), F.when(direct, F.col("_box.name")).alias("parent")
+def symbols_of(scanned: DataFrame) -> DataFrame:
+    """Symbol relation: (file, name, kind, line, end_line, parent, visibility, signature)."""
+    return scanned.where(F.col("what") == fold.SYMBOL).select(
+        *FILE, "name", "kind", "line", "end_line", "parent", "visibility", "signature"
     )
 
 
-def symbols(block_rows: DataFrame) -> DataFrame:
-    """Symbol relation from :func:`blocks`: members become methods, helpers drop out."""
-    lang, kind = F.col("language"), F.col("kind")
-    rust_fn = (lang == "rust") & (kind == "function")
-    final = (
-        F.when(F.startswith(kind, F.lit("+")), None)
-        .when((kind == "member") | rust_fn, F.when(F.col("parent").isNotNull(), "method")
-              .otherwise(F.when(rust_fn & ~F.col("inside"), "function")))
-        .when(kind == "grouped", F.when((F.col("level") == 1) & F.col("in_group").isin("const", "var", "type"), F.col("in_group")))
-        .when((kind == "function") & lang.isin(*R.C), kind)
-        .otherwise(kind)
-    )
-    named_parent = F.when(final == "method", F.coalesce("receiver", "parent"))
-    return (
-        block_rows.withColumn("_kind", final)
-        .where(F.col("_kind").isNotNull())
-        .select(
-            *FILE, "name", F.col("_kind").alias("kind"), "line", "end_line",
-            named_parent.alias("parent"), "visibility", "signature",
-        )
+def callsites_of(scanned: DataFrame) -> DataFrame:
+    """Callsite relation: calls, macros and type references with the function around them."""
+    return scanned.where(F.col("what") == fold.CALL).select(
+        "root_path", F.col("file_path").alias("caller_file"), F.col("line").alias("caller_line"),
+        F.col("parent").alias("caller_symbol"), F.col("name").alias("callee_name"), F.col("kind").alias("callee_kind"),
     )
 
 
+def identifiers_of(scanned: DataFrame) -> DataFrame:
+    """Identifier relation of code: tokens outside comments and strings."""
+    return scanned.where(F.col("what") == fold.TOKEN).select(*FILE, F.col("name").alias("token"), "line")
+
+
 def imports(files: DataFrame, first_line_only: bool = False) -> DataFrame:
     """Import relation (file, target, line), from the file row without a shuffle.
 
@@ -309,7 +255,7 @@ def imports(files: DataFrame, first_line_only: bool = False) -> DataFrame:
     ]
     statement = {langs: s for langs, s, _ in cases}
     view = _by_language([(langs, pulled(mask, s)) for langs, s, mask in cases])
-    rows = files.select(*FILE, "language", F.posexplode(split_lines(view)).alias("_pos", "_t")).select(
+    rows = files.select(*FILE, "language", F.posexplode_outer(split_lines(view)).alias("_pos", "_t")).where("_pos is not null").select(
         *FILE, "language", (F.col("_pos") + 1).alias("line"), "_t"
     )
     hit = _by_language([(langs, F.col("_t").rlike(s)) for langs, s in statement.items()], F.lit(False))
@@ -351,52 +297,3 @@ def code_identifiers(line_rows: DataFrame) -> DataFrame:
     """Identifier relation of code: tokens outside comments and strings."""
     tokens = line_tokens(F.col("code"))
     return line_rows.select(*FILE, F.explode(tokens).alias("token"), "line")
-
-
-def callsites(line_rows: DataFrame, block_rows: DataFrame, symbol_rows: DataFrame) -> DataFrame:
-    """Callsite relation: calls, macros and type references with the function around them."""
-    code = F.regexp_replace("code", R.DEFINITION, " ")
-
-    def found(rule: R.CallRule) -> Column:
-        names = F.array_distinct(F.regexp_extract_all(code, F.lit(rule.pattern), F.lit(1))) if rule.kind == "type_ref" else F.regexp_extract_all(code, F.lit(rule.pattern), F.lit(1))
-        return F.when(
-            F.col("language").isin(*rule.languages),
-            F.transform(names, lambda n: F.struct(n.alias("callee_name"), F.lit(rule.kind).alias("callee_kind"))),
-        ).otherwise(F.array())
-
-    importing = F.col("code").rlike(r"^\s*(?:(?:pub(?:\([^)]*\))?\s+)?use|import|from|#\s*include|package|extern crate)\b")
-    sites = (
-        line_rows.where(~importing & F.col("code").rlike(r"[\p{L}_]"))
-        .select(*FILE, "line", F.inline(F.concat(*(found(r) for r in R.CALLS))))
-        .where(~F.col("callee_name").isin(*R.NOT_CALLS) & is_identifier(F.col("callee_name")))
-    )
-    # A definition is not a use: C functions and methods look like calls on their own line.
-    defined = symbol_rows.select(*FILE, "line", F.regexp_extract("name", r"[^:]+$", 0).alias("callee_name")).distinct()
-    sites = sites.join(defined, [*FILE, "line", "callee_name"], "left_anti")
-
-    callable_row = block_rows.where(
-        F.col("kind").isin("function", "method") | ((F.col("kind") == "member") & F.col("parent").isNotNull())
-    ).select(*FILE, "line", "end_line", F.col("name").alias("fn"))
-    ends = F.array(
-        F.struct(F.col("line"), F.lit(1).alias("at"), F.lit(1).alias("step"), F.col("fn")),
-        F.struct((F.col("end_line") + 1).alias("line"), F.lit(0).alias("at"), F.lit(-1).alias("step"), F.lit(None).cast("string").alias("fn")),
-    )
-    bounds = callable_row.select(*FILE, F.inline(ends))
-    points = sites.select(
-        *FILE, "line", F.lit(2).alias("at"), F.lit(0).alias("step"), F.struct("callee_name", "callee_kind").alias("site")
-    )
-    sweep = W.partitionBy(*FILE).orderBy("line", "at").rowsBetween(W.unboundedPreceding, 0)
-    chained = (
-        points.unionByName(bounds, allowMissingColumns=True)
-        .withColumn("chain", F.sum("step").over(sweep))
-    )
-    inner = W.partitionBy(*FILE, "chain").orderBy("line", "at").rowsBetween(W.unboundedPreceding, 0)
-    return (
-        chained.withColumn("caller_symbol", F.when(F.col("chain") > 0, F.last("fn", True).over(inner)))
-        .where(F.col("site").isNotNull())
-        .select(
-            "root_path", F.col("file_path").alias("caller_file"), F.col("line").alias("caller_line"),
-            "caller_symbol", F.col("site.callee_name").alias("callee_name"),
-            F.col("site.callee_kind").alias("callee_kind"),
-        )
-    )

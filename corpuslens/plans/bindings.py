@@ -127,7 +127,10 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.when(status == "F", rust).when(status == "O", python).otherwise(go)
     ending = F.when(status == "F", "rs").when(status == "O", "py").otherwise("go")
     path = F.concat(F.lit("src/order_"), k, F.lit("."), ending)
-    return table(spark, sf_dir, "orders").select(
+    narrow = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    # Short rows are dealt out before text is made of them: a file of the table may be one row group, that is one task.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return narrow.repartition(tasks, "o_orderkey").select(
         F.substring("o_orderpriority", 3, 20).alias("root_path"), path.alias("file_path"),
         index_language(path).alias("language"), content.alias("content"),
         F.octet_length(content).cast("long").alias("size_bytes"),

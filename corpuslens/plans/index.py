@@ -23,16 +23,14 @@ EXTRACTED = ("symbols", "imports", "identifiers", "callsites")
 def extract_relations(files: DataFrame) -> dict[str, DataFrame]:
     """symbols, imports, identifiers and callsites of text files.
 
-    Block extents feed both symbols and callsites, so they are written once.
+    One pass over the lines gives all but the imports, and is written once.
     """
-    lines = X.code_lines(files)
-    blocks, _ = cut(X.blocks(lines), "blocks")
-    symbols, _ = cut(X.symbols(blocks), "symbols")
+    scanned, _ = cut(X.scan(files), "scanned")
     return {
-        "symbols": symbols,
+        "symbols": X.symbols_of(scanned),
         "imports": X.imports(files),
-        "identifiers": X.code_identifiers(lines),
-        "callsites": X.callsites(lines, blocks, symbols),
+        "identifiers": X.identifiers_of(scanned),
+        "callsites": X.callsites_of(scanned),
     }
 
 

@@ -19,7 +19,6 @@ from corpuslens.operators import resolve as RS
 from corpuslens.operators import search as S
 from corpuslens.operators import snapshot as SN
 from corpuslens.plans import bindings as B
-from corpuslens.plans.index import extract_relations
 from corpuslens.session import tune
 from corpuslens.skew import byte_budget as budgeted
 from corpuslens.sources import records as RC
@@ -139,7 +138,7 @@ def symbols_by_kind(spark, d):
 def file_outline(spark, d):
     """Symbols and imports of every generated source file as one row per file."""
     files = B.code_files(spark, d)
-    symbols = X.symbols(X.blocks(X.code_lines(files)))
+    symbols = X.symbols_of(X.scan(files, ("symbols",)))
     out = L.outline(files.select("root_path", "file_path", "language"), symbols, X.imports(files))
     return out.select(
         "root_path", "file_path", "language",
@@ -274,7 +273,7 @@ def hot_files_per_root(spark, d):
 @query
 def code_symbols(spark, d):
     """Symbols with extent and parent of the generated source files."""
-    out = X.symbols(X.blocks(X.code_lines(B.code_files(spark, d))))
+    out = X.symbols_of(X.scan(B.code_files(spark, d), ("symbols",)))
     return out.select("root_path", "file_path", "name", "kind", *big("line", "end_line"), "parent", "visibility", "signature")
 
 
@@ -285,7 +284,7 @@ def code_imports(spark, d):
 
 @query
 def code_callsites(spark, d):
-    out = extract_relations(B.code_files(spark, d))["callsites"]
+    out = X.callsites_of(X.scan(B.code_files(spark, d), ("callsites",)))
     return out.select("root_path", "caller_file", *big("caller_line"), "caller_symbol", "callee_name", "callee_kind")
 
 
