@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.functions.paths import in_scope, parent_dirs, tree_language
@@ -14,7 +15,8 @@ from corpuslens.functions.text import (
     split_lines,
 )
 from corpuslens.operators.extract import fallback_outline
-from corpuslens.skew import salted_join, top_n
+from corpuslens.session import cut
+from corpuslens.skew import DEFAULT_BUDGET, salt_of, salted_join, top_n
 
 HOT_LIMIT = 20
 FILE = ["root_path", "file_path"]
@@ -52,15 +54,18 @@ def callsites_of(callsites: DataFrame, root: str, name: str) -> DataFrame:
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """Every line of every file, 1-based."""
-    return files.select(*FILE, F.posexplode(split_lines(F.col("content"))).alias("_pos", "text")).select(
-        *FILE, (F.col("_pos") + 1).alias("line"), "text"
-    )
+    """Every line of every file, 1-based.
+
+    Exploded as outer rows and filtered after: an inner explode has Spark test for empty arrays first, by making them once more.
+    """
+    return files.select(*FILE, F.posexplode_outer(split_lines(F.col("content"))).alias("_pos", "text")).where(
+        "_pos is not null"
+    ).select(*FILE, (F.col("_pos") + 1).alias("line"), "text")
 
 
 def identifiers(line_rows: DataFrame, text: str = "text") -> DataFrame:
     """Inverted index rows (file, line, token), once per token and line."""
-    return line_rows.select(*FILE, F.explode(line_tokens(F.col(text))).alias("token"), "line")
+    return line_rows.select(*FILE, F.explode_outer(line_tokens(F.col(text))).alias("token"), "line").where("token is not null")
 
 
 def word_hits(index: DataFrame, token: str, ignore_case: bool = False) -> DataFrame:
@@ -114,7 +119,7 @@ def corpus_word_totals(files: DataFrame) -> DataFrame:
         lambda t: F.struct(t.alias("token"), F.lit(0).alias("h"), F.lit(1).alias("f")),
     )
     return (
-        found.select(F.inline(F.concat(hits, once)))
+        found.select(F.inline_outer(F.concat(hits, once)))
         .where(is_identifier(F.col("token")))
         .groupBy("token")
         .agg(F.sum("h").alias("hits"), F.sum("f").alias("files"))
@@ -152,11 +157,12 @@ def outline_or_fallback(files: DataFrame, indexed: DataFrame, symbols: DataFrame
     """Outline rows of the asked ``files``: from the index, or the generic outline of their text.
 
     ``indexed`` is the files relation. Indexed files are left out before any line is made, so
-    only the others are outlined.
+    only the others are outlined. Their names are written first: by their true size Spark can send them to where texts are.
     """
     asked = files.select(*FILE)
     known = outline_rows(symbols.join(asked, FILE, "left_semi"), imports.join(asked, FILE, "left_semi"))
-    rest = files.join(indexed.select(*FILE), FILE, "left_anti")
+    names, _ = cut(indexed.select(*FILE).join(asked, FILE, "left_semi"), "indexed")
+    rest = files.join(names, FILE, "left_anti")
     generic = fallback_outline(lines(rest))
     return known.unionByName(outline_rows(generic, imports.where(F.lit(False))))
 
@@ -189,25 +195,45 @@ def read_ranges(files: DataFrame, ranges: DataFrame) -> DataFrame:
     are asked for are kept, and each brings its hash and line total.
     """
     total = F.size("_lines")
-    first = F.greatest(F.coalesce("start", F.lit(1)), F.lit(1))
-    last = F.greatest(F.least(F.coalesce("end", total), total), first)
-    joined = ranges.join(files.select(*FILE, "content"), FILE, "inner")
-    sliced = (
-        joined.select(
-            *FILE, "start", "end",
-            F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"),
-            split_lines(F.col("content")).alias("_lines"),
-        )
-        .where(first <= total)
-        .select(
-            *FILE, "start", "end", "content_hash", total.alias("total_lines"), first.alias("_first"),
-            F.posexplode(F.slice("_lines", first, last - first + 1)).alias("_pos", "text"),
-        )
-    )
-    return sliced.select(
-        *FILE, "start", "end", "content_hash", "total_lines",
-        (F.col("_first") + F.col("_pos")).alias("line"), "text",
-    )
+    # One short row per file, written: by its true size Spark can send it to where the texts are.
+    asked, _ = cut(ranges.groupBy(*FILE).agg(F.collect_list(F.struct("start", "end")).alias("_asks")), "ranges")
+    whole = files.select(*FILE, "content").join(asked, FILE).select(
+        *FILE, "_asks", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"), split_lines(F.col("content")).alias("_lines"))
+
+    def answer(ask: Column) -> Column:
+        first = F.greatest(F.coalesce(ask["start"], F.lit(1)), F.lit(1))
+        last = F.greatest(F.least(F.coalesce(ask["end"], total), total), first)
+        texts = F.slice("_lines", first, last - first + 1)
+        line = F.transform(texts, lambda x, i: F.struct((first + i).alias("line"), x.alias("text")))
+        return F.struct(ask["start"].alias("start"), ask["end"].alias("end"), line.alias("got"))
+
+    return whole.select(*FILE, "content_hash", total.alias("total_lines"), F.explode_outer(F.transform("_asks", answer)).alias("_a")).select(
+        *FILE, "_a.start", "_a.end", "content_hash", "total_lines", F.inline("_a.got"))
+
+
+def lines_in_budget(files: DataFrame, budget: int = DEFAULT_BUDGET) -> DataFrame:
+    """Lines of each root, by file and line, while their bytes fit ``budget``: (file, line, used_bytes, truncated).
+
+    A line counts its bytes and one. Bytes are added up per file first, and running sums over files tell where a root is
+    cut; only the files up to there are cut into lines, and of each no more lines than the budget has bytes. What is
+    shuffled are sizes and numbers, never text.
+    """
+    sizes = F.transform(split_lines(F.col("content")), lambda x: F.octet_length(x).cast("long") + 1)
+    per_file = files.select(*FILE, sizes.alias("_sizes")).select(
+        *FILE, F.aggregate("_sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("_bytes"), F.slice("_sizes", 1, budget).alias("_sizes"))
+    totals, _ = cut(per_file.select(*FILE, "_bytes").where("_bytes > 0"), "bytes")
+    share = W.partitionBy("root_path", "_salt").orderBy("file_path").rowsBetween(W.unboundedPreceding, 0)
+    whole = W.partitionBy("root_path").orderBy("file_path").rowsBetween(W.unboundedPreceding, 0)
+    over = totals.groupBy("root_path").agg((F.sum("_bytes") > budget).alias("truncated"))
+    # A file that its own share's files rule out is ruled out; so the last sum sees few files of a root.
+    cuts = totals.withColumn("_salt", salt_of(["file_path"])).withColumn("_part", F.sum("_bytes").over(share)).where(
+        F.col("_part") - F.col("_bytes") < budget
+    ).withColumn("_before", F.sum("_bytes").over(whole) - F.col("_bytes")).where(F.col("_before") < budget)
+    cuts, _ = cut(cuts.join(over, "root_path").select(*FILE, "_before", "truncated"), "cuts")
+    rows = per_file.join(cuts, FILE).select(*FILE, "_before", "truncated", F.posexplode("_sizes").alias("_pos", "_size"))
+    within = W.partitionBy(*FILE).orderBy("_pos").rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn("used_bytes", F.col("_before") + F.sum("_size").over(within)).where(F.col("used_bytes") <= budget).select(
+        *FILE, (F.col("_pos") + 1).alias("line"), "used_bytes", "truncated")
 
 
 def symbol_counts(files: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -251,12 +277,10 @@ def directory_totals(files: DataFrame) -> DataFrame:
     Partial sums per task keep the hot root directory a single small group.
     """
     every = F.concat(F.array(F.lit("")), parent_dirs(F.col("file_path")))
+    counted = files.select("root_path", "file_path", F.col("size_bytes").cast("long").alias("_b"), line_count(F.col("content")).alias("_l"))
     return (
-        files.select(
-            "root_path", F.explode(every).alias("path"),
-            F.col("size_bytes").cast("long").alias("_b"),
-            line_count(F.col("content")).alias("_l"),
-        )
+        # Lines are counted once per file, before each of its directories gets a row.
+        counted.select("root_path", F.explode(every).alias("path"), "_b", "_l")
         .groupBy("root_path", "path")
         .agg(
             F.count(F.lit(1)).alias("files"),

@@ -20,7 +20,6 @@ from corpuslens.operators import search as S
 from corpuslens.operators import snapshot as SN
 from corpuslens.plans import bindings as B
 from corpuslens.session import tune
-from corpuslens.skew import byte_budget as budgeted
 from corpuslens.sources import records as RC
 from corpuslens.streaming import streams as ST
 
@@ -555,7 +554,7 @@ def registry_orphans(spark, d):
 
 @query
 def registry_insert(spark, d):
-    """Suppliers' packages added where their identifier is free; display names clash on purpose."""
+    """Packages of all customers once more, added where their identifier is free; display names clash on purpose."""
     pk = B.packages(spark, d)
     new = pk.withColumn("identifier", F.col("path")).withColumn("id", F.concat(F.lit("n"), "id"))
     merged, rejected = R.insert_packages(pk, new)
@@ -710,10 +709,7 @@ def prompt_batch(spark, d):
 @query
 def byte_budget(spark, d):
     """Lines of each source, in order, while they fit 16 KiB."""
-    rows = L.lines(B.files(spark, d))
-    out = budgeted(
-        rows, ["root_path"], [F.asc("file_path"), F.asc("line")], ["file_path", "line"], 16384, size=F.octet_length("text") + 1
-    )
+    out = L.lines_in_budget(B.files(spark, d), 16384)
     return out.select("root_path", "file_path", *big("line", "used_bytes"), "truncated")
 
 
