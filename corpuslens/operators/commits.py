@@ -54,7 +54,7 @@ def history_lines(commits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spark = commits.sparkSession
     order = F.col("place") if "place" in commits.columns else F.lit(0)
-    rows = commits.select("root_path", "sha", "parent", order.alias("place")).where("sha is not null")
+    rows, _ = cut(commits.select("root_path", "sha", "parent", order.alias("place")).where("sha is not null"), "commits")
     ends = rows.select("root_path", "sha", F.lit(True).alias("own")).unionByName(
         rows.where("parent is not null").select("root_path", F.col("parent").alias("sha"), F.lit(False).alias("own")))
     names, total = cut(ends.groupBy("root_path", "sha").agg(F.max("own").alias("own")).withColumn("node", F.monotonically_increasing_id()), "names")
