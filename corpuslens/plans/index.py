@@ -14,7 +14,7 @@ from corpuslens.operators.snapshot import diff_snapshots, evicted, moved, stale
 from corpuslens.session import cut
 from corpuslens.skew import salted_join
 from corpuslens.sources.corpus import decoded, indexable, read_content
-from corpuslens.sources.index_store import SCHEMAS, read_relation, replace_files
+from corpuslens.sources.index_store import SCHEMAS, bucket_count, read_relation, replace_files
 
 FILE = ["root_path", "file_path"]
 EXTRACTED = ("symbols", "imports", "identifiers", "callsites")
@@ -55,7 +55,8 @@ def build_index(
     ``content`` to the rows it is given, which are only the files whose time or size moved.
     ``only(root_path, file_path)`` limits the run to some files; ``removals=False`` keeps
     index rows of files that ``listing`` lacks. Imports that earlier runs could not resolve
-    are tried again, so a file that appears later repairs them.
+    are tried again, so a file that appears later repairs them. All relations change at once or, if the
+    run fails, not at all.
     """
     now = F.current_timestamp() if now is None else now
     known = indexable(listing)
@@ -73,10 +74,10 @@ def build_index(
         diff = diff.where("status <> 'removed'")
     moves = F.col("status").isin("missing", "changed", "removed")
     diff, changes = cut(diff, "diff", F.count_if(moves))
-    good = text.join(stale(diff), FILE, "left_semi")
+    good, _ = cut(text.join(stale(diff), FILE, "left_semi"), "good") if changes else (text.where(F.lit(False)), 0)
     none = lambda name: spark.createDataFrame([], SCHEMAS[name])
     fresh = extract_relations(good) if changes else {n: none(n) for n in EXTRACTED}
-    fresh = {name: cut(df, name)[0] for name, df in fresh.items()}
+    fresh["imports"] = cut(fresh["imports"], "imports")[0]  # the others are parts of one written table
     records = good.select(
         *FILE, "language", "mtime_ns", "size_bytes", "content_hash", F.lit("").alias("package_id"), now.alias("indexed_at")
     )
@@ -90,9 +91,10 @@ def build_index(
 
     gone, _ = cut(evicted(diff).unionByName(stale(diff)).distinct(), "gone")
     edges, retried = _edges(spark, listing, path, index, fresh, diff, good, reader)
-    replace_files(spark, path, {"deps": edges}, retried)
+    new = {"deps": (edges, retried)}
     if changes:
-        replace_files(spark, path, {n: fresh[n] for n in (*EXTRACTED, "files")}, gone)
+        new |= {n: (fresh[n], gone) for n in (*EXTRACTED, "files")}
+    replace_files(spark, path, new, bucket_count(spark, path, listing))
     return stats
 
 

@@ -394,3 +394,9 @@ ORACLES["sanitize_cap"] = rf"""WITH t AS (SELECT doc_id, replace(regexp_replace(
   p AS (SELECT *, CASE WHEN strlen(clean) <= 3000 THEN clean ELSE regexp_replace(substr(clean, 1, CAST((SELECT count(*) FROM (SELECT unnest(range(1, len(sizes) + 1)) AS i)
     WHERE i <= room AND strlen(substr(clean, 1, i)) <= room) AS INT)), '{WS}+$', '') || marker END AS capped FROM n)
 SELECT doc_id, sha256(clean) AS clean_hash, sha256(capped) AS capped_hash, CAST(strlen(capped) AS BIGINT) AS capped_bytes FROM p"""
+ORACLES["index_build"] = rf"""WITH {FILES}, state AS (
+    SELECT f.*, l.doc_id IS NOT NULL AS again, CASE WHEN l.doc_id IS NULL THEN content
+      ELSE regexp_replace(content, '(?m)^.*License.*$', '', 'g') END AS now
+    FROM files f LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) WHERE language IS NOT NULL)
+  SELECT root_path, file_path, language, mtime_ns + CAST(again AND now <> content AS BIGINT) AS mtime_ns, CAST(strlen(now) AS BIGINT) AS size_bytes,
+    sha256(now) AS content_hash, '2024-01-01 00:00:00.000000' AS indexed_at FROM state"""

@@ -19,8 +19,10 @@ from corpuslens.operators import resolve as RS
 from corpuslens.operators import search as S
 from corpuslens.operators import snapshot as SN
 from corpuslens.plans import bindings as B
-from corpuslens.session import tune
+from corpuslens.plans.index import build_index, table_reader
+from corpuslens.session import scratch_path, tune
 from corpuslens.sources import records as RC
+from corpuslens.sources.index_store import read_relation
 from corpuslens.streaming import streams as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -453,6 +455,20 @@ def index_upsert(spark, d):
     return SN.upsert(old, new, SN.evicted(diff)).select("root_path", "file_path", "name", "kind", *big("line"))
 
 
+@query
+def index_build(spark, d):
+    """The index of all documents after two runs: a full one, then one of the labelled documents only, license lines gone."""
+    path = scratch_path(spark, "index")
+    files = B.files(spark, d)
+    text = F.regexp_replace("content", r"(?m)^.*License.*$", "")
+    disk = files.withColumn("content", text).withColumn("size_bytes", F.octet_length("content").cast("long")).withColumn("mtime_ns", F.col("mtime_ns") + 1)
+    labelled = B.table(spark, d, "labels").select("doc_id").distinct()
+    only = files.withColumn("doc_id", F.regexp_extract("file_path", r"/(\d+)", 1).cast("long")).join(labelled, "doc_id", "left_semi")
+    for state, wanted in ((files, None), (disk, only)):
+        build_index(spark, state.drop("content"), path, table_reader(state), now=at("2024-01-01"), only=wanted)
+    return read_relation(spark, path, "files").select("root_path", "file_path", "language", "mtime_ns", "size_bytes", "content_hash", stamp("indexed_at"))
+
+
 # -- registry ---------------------------------------------------------------------
 
 

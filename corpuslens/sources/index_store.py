@@ -1,19 +1,17 @@
-"""Index relations as parquet, partitioned by root and by a bucket of the file path.
+"""Index relations as parquet, replaced all or nothing.
 
-The bucket splits a root that holds much of the corpus, so an update rewrites only the
-buckets that changed files fall into. Rows are sorted by the column lookups use, which
-lets row-group statistics prune exact-name reads.
+Each run writes the buckets it touches of all relations below folders of its own, ``relation/run=../root_path=../bucket=..``,
+and then appends one file to the small table ``runs`` that says which buckets it replaced. Readers take each bucket from the
+last run named there, so a run counts whole or not at all, nothing is rewritten in place and nothing deleted. A bucket
+holds the rows of a share of a root's files; rows are sorted by the column lookups use, which lets row-group statistics
+prune exact-name reads. One run at a time may write.
 """
 
 from __future__ import annotations
 
-import contextlib
-import os
-from collections.abc import Iterator
-from urllib.parse import unquote
+import uuid
+from functools import reduce
 
-import pandas as pd
-import pyarrow.fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,94 +29,100 @@ SORT = {
     "files": "file_path", "symbols": "name", "imports": "target", "identifiers": "token",
     "deps": "importer_file", "callsites": "callee_name",
 }
-BUCKETS = 16
+RUNS = "run string, relation string, root_path string, bucket int, buckets int"
+SLOT = ["root_path", "bucket"]
+BUCKET_BYTES = 1 << 30  # bytes of a root's text that a bucket stands for
 
 
-def bucket_of(owner: str, buckets: int = BUCKETS):
+def bucket_of(owner: str, buckets: int):
     return F.pmod(F.xxhash64(owner), F.lit(buckets)).cast("int")
 
 
-def read_relation(spark: SparkSession, path: str, name: str, root: str | None = None) -> DataFrame:
-    """One relation; an index that was never written reads as empty."""
+def _there(spark: SparkSession, schema: T.StructType | str, path: str) -> DataFrame:
+    """A table, empty if it was never written."""
     try:
-        df = _stored(spark, path, name).select(*SCHEMAS[name].names)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], SCHEMAS[name])
-    return df if root is None else df.where(F.col("root_path") == root)
+        return spark.createDataFrame([], schema)
+
+
+def read_relation(spark: SparkSession, path: str, name: str, root: str | None = None) -> DataFrame:
+    """One relation as of now; an index that was never written reads as empty.
+
+    The lists of files are taken here, those of ``runs`` first, so later runs do not change what the result reads."""
+    runs = _there(spark, RUNS, f"{path}/runs").where(F.col("relation") == name)
+    fields = [*SCHEMAS[name].fields, T.StructField("run", T.StringType()), T.StructField("bucket", T.IntegerType())]
+    stored = _there(spark, T.StructType(fields), f"{path}/{name}")
+    if root is not None:
+        runs, stored = (df.where(F.col("root_path") == root) for df in (runs, stored))
+    # Runs and buckets are folders, so the join also tells which of them to read.
+    last = runs.groupBy(*SLOT).agg(F.max("run").alias("run"))
+    return stored.join(last, [*SLOT, "run"], "left_semi").select(*SCHEMAS[name].names)
+
+
+def bucket_count(spark: SparkSession, path: str, listing: DataFrame) -> int:
+    """Buckets of a root: as stored with the index, and for a new one by the bytes of the largest root of ``listing``."""
+    stored = _there(spark, RUNS, f"{path}/runs").agg(F.max("buckets")).first()[0]
+    if stored is not None:
+        return stored
+    most = listing.groupBy("root_path").agg(F.sum("size_bytes").alias("n")).agg(F.max("n")).first()[0]
+    return 1 + int(most or 0) // BUCKET_BYTES
 
 
-def _stored(spark: SparkSession, path: str, name: str) -> DataFrame:
-    fields = [*SCHEMAS[name].fields, T.StructField("bucket", T.IntegerType())]
-    return spark.read.schema(T.StructType(fields)).parquet(f"{path}/{name}")
+def _next_run(spark: SparkSession, path: str) -> str:
+    """A name that sorts after those of all runs that count, and that no failed run has used."""
+    last = _there(spark, RUNS, f"{path}/runs").agg(F.max("run")).first()[0]
+    return f"{int(last.split('-')[0]) + 1 if last else 1:010d}-{uuid.uuid4().hex[:12]}"
 
 
-def write_relation(df: DataFrame, path: str, name: str, buckets: int = BUCKETS) -> None:
-    """Write whole partitions; partitions that ``df`` has no rows for stay as they are."""
-    owner = OWNER[name]
-    keyed = df.select(*SCHEMAS[name].names).withColumn("bucket", bucket_of(owner, buckets))
+def write_relation(df: DataFrame, path: str, name: str, run: str, buckets: int) -> None:
+    """Write rows of one relation below the folder of ``run``."""
+    keyed = df.select(*SCHEMAS[name].names).withColumn("bucket", bucket_of(OWNER[name], buckets))
     # Spread by file, not by partition value, so that one hot root is many tasks.
     (
-        keyed.repartition("root_path", "bucket").sortWithinPartitions("root_path", "bucket", SORT[name])
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("root_path", "bucket").parquet(f"{path}/{name}")
+        keyed.repartition(*SLOT).sortWithinPartitions(*SLOT, SORT[name])
+        .write.partitionBy(*SLOT).parquet(f"{path}/{name}/run={run}")
     )
 
 
 def replace_files(
-    spark: SparkSession, path: str, new: dict[str, DataFrame], gone: DataFrame, buckets: int = BUCKETS
+    spark: SparkSession, path: str, new: dict[str, tuple[DataFrame, DataFrame]], buckets: int
 ) -> None:
-    """Replace all rows of ``gone(root_path, file_path)`` files by ``new`` rows, all of such files.
+    """Replace, in each relation, all rows of the files ``gone(root_path, file_path)`` by ``rows``, all of such files.
 
-    Only partitions that hold such files are read and rewritten. The new state of each is
-    written to the scratch folder before the old one is touched. ``files`` comes last: a
-    run that fails before it leaves the old stamps, so the next run does the work again.
+    ``new`` is {relation: (rows, gone)}. Only buckets that hold such files are read and written again. All
+    relations change at once, when the one file of ``runs`` appears.
     """
-    slots, n = cut(gone.select("root_path", bucket_of("file_path", buckets).alias("bucket")).distinct(), "slots")
-    if not n:
-        return
-    for name in sorted(new, key=lambda n: n == "files"):
+    run, marks, touched = _next_run(spark, path), [], {}
+    for name, (rows, gone) in new.items():
         owner = OWNER[name]
-        rows = new[name].select(*SCHEMAS[name].names)
-        old = read_relation(spark, path, name)
-        keys = gone.select("root_path", F.col("file_path").alias(owner))
-        kept = (
-            old.withColumn("bucket", bucket_of(owner, buckets))
-            .join(slots, ["root_path", "bucket"], "left_semi").drop("bucket")
-            .join(keys, ["root_path", owner], "left_anti").select(*SCHEMAS[name].names)
-        )
-        state, _ = cut(kept.unionByName(rows), f"state-{name}")
-        write_relation(state, path, name, buckets)
-        # A slot that lost its last row has nothing to write; empty it.
-        left = state.select("root_path", bucket_of(owner, buckets).alias("bucket")).distinct()
-        _drop_empty(spark, path, name, slots.join(left, ["root_path", "bucket"], "left_anti"))
-
-
-def _delete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for uri in batch.file:
-            # A task that runs again finds some of its files gone; that is fine.
-            with contextlib.suppress(FileNotFoundError):
-                if uri.startswith("file:"):
-                    os.remove("/" + unquote(uri.removeprefix("file:")).lstrip("/"))
-                else:
-                    fs, where = pyarrow.fs.FileSystem.from_uri(uri)
-                    fs.delete_file(where)
-        yield batch
-
-
-def _drop_empty(spark: SparkSession, path: str, name: str, slots: DataFrame) -> None:
-    """Delete the old files of ``slots`` in tasks."""
-    slots, n = cut(slots, "emptied")
-    if not n:
-        return
-    try:
-        old = _stored(spark, path, name).select("root_path", "bucket", F.col("_metadata.file_path").alias("file"))
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+        if id(gone) not in touched:  # most relations lose the same files
+            touched[id(gone)] = cut(gone.select("root_path", bucket_of("file_path", buckets).alias("bucket")).distinct(), "slots")
+        slots, n = touched[id(gone)]
+        if not n:
+            continue
+        old = read_relation(spark, path, name).withColumn("bucket", bucket_of(owner, buckets)).join(slots, SLOT, "left_semi")
+        kept = old.join(gone.select("root_path", F.col("file_path").alias(owner)), ["root_path", owner], "left_anti")
+        write_relation(kept.select(*SCHEMAS[name].names).unionByName(rows.select(*SCHEMAS[name].names)), path, name, run, buckets)
+        marks.append(slots.select(F.lit(run).alias("run"), F.lit(name).alias("relation"), *SLOT, F.lit(buckets).alias("buckets")))
+    if marks:
+        _switch(reduce(DataFrame.unionByName, marks), path)
+
+
+def _switch(marks: DataFrame, path: str) -> None:
+    """From here on the run counts: a file is moved to its place whole, or not at all."""
+    marks.coalesce(1).write.mode("append").parquet(f"{path}/runs")
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Write the whole index as one run. Folders of earlier runs are not read any more and can be deleted once no reader has them."""
+    slots = _there(spark, RUNS, f"{path}/runs")
+    buckets = slots.agg(F.max("buckets")).first()[0]
+    if buckets is None:
         return
-    files, n = cut(old.join(slots, ["root_path", "bucket"], "left_semi").select("file").distinct(), "dropped")
-    if n:
-        files.mapInPandas(_delete, "file string").write.format("noop").mode("overwrite").save()
+    run = _next_run(spark, path)
+    for name in SCHEMAS:
+        write_relation(read_relation(spark, path, name), path, name, run, buckets)
+    _switch(slots.select(F.lit(run).alias("run"), "relation", *SLOT, "buckets").distinct(), path)

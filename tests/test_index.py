@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpuslens.operators import snapshot as S
 from corpuslens.plans.index import build_index, table_reader
 from corpuslens.sources import corpus as C
+from corpuslens.sources import index_store as IS
 from corpuslens.sources.index_store import read_relation
 from tests.conftest import rows
 
@@ -126,3 +127,80 @@ def test_many_files(spark, tmp_path):
     stats = run(touched, only=only)
     assert (stats.files_indexed, stats.files_removed) == (1, 0)
     assert read_relation(spark, index, "symbols").count() == 833
+
+
+def relations(spark, names, tag=""):
+    """Small relations of the files ``names`` of one root, as {relation: rows}."""
+    owner = {"deps": "importer_file", "callsites": "caller_file"}
+    out = {}
+    for name, schema in IS.SCHEMAS.items():
+        filled = {owner.get(name, "file_path"): None, "root_path": "r", IS.SORT[name]: f"x{tag}"}
+        made = [tuple(n if f == owner.get(name, "file_path") else filled.get(f) for f in schema.names) for n in names]
+        out[name] = spark.createDataFrame(made, schema)
+    return out
+
+
+def replace(spark, index, names, gone, tag="", buckets=2):
+    keys = spark.createDataFrame([("r", n) for n in gone], "root_path string, file_path string")
+    IS.replace_files(spark, index, {n: (df, keys) for n, df in relations(spark, names, tag).items()}, buckets)
+
+
+def state(spark, index):
+    return {name: rows(read_relation(spark, index, name)) for name in IS.SCHEMAS}
+
+
+def test_a_failed_run_changes_nothing(spark, tmp_path, monkeypatch):
+    """Killed before, between and after the relations, leaves the old index; the next one does its work."""
+    index, fresh = str(tmp_path / "index"), str(tmp_path / "fresh")
+    replace(spark, index, "abcd", "abcd")
+    before = state(spark, index)
+    assert all(len(v) == 4 for v in before.values())
+    real, switch = IS.write_relation, IS._switch
+    for step in (1, 4, 7):
+        calls = []
+
+        def dying(*args):
+            calls.append(args[-1])  # noqa: B023
+            if len(calls) == step:  # noqa: B023
+                raise RuntimeError("killed")
+            real(*args)
+
+        monkeypatch.setattr(IS, "write_relation", dying)
+        monkeypatch.setattr(IS, "_switch", (lambda *args, d=dying: d(None)) if step == 7 else switch)
+        with pytest.raises(RuntimeError, match="killed"):
+            replace(spark, index, "ae", "abe", "2")
+        assert len(calls) == step and state(spark, index) == before
+        monkeypatch.undo()
+    replace(spark, index, "ae", "abe", "2")
+    replace(spark, fresh, "cd", "cd")
+    replace(spark, fresh, "ae", "ae", "2")
+    assert state(spark, index) == state(spark, fresh) != before
+
+
+def test_readers_keep_their_state_and_compaction_keeps_rows(spark, tmp_path):
+    index = str(tmp_path / "index")
+    IS.compact(spark, index)
+    replace(spark, index, "abcd", "abcd", "1")
+    early = read_relation(spark, index, "files")
+    replace(spark, index, "ab", "abcd", "2")
+    assert rows(early, "file_path") == [(n,) for n in "abcd"]
+    assert rows(read_relation(spark, index, "symbols", "r"), "file_path", "name") == [("a", "x2"), ("b", "x2")]
+    assert rows(read_relation(spark, index, "symbols", "q")) == []
+    was = state(spark, index)
+    IS.compact(spark, index)
+    assert state(spark, index) == was
+    runs = spark.read.parquet(f"{index}/runs").groupBy("root_path", "bucket").agg(F.max("run").alias("run"))
+    assert {r.run[:10] for r in runs.collect()} == {"0000000003"}
+    # All files gone: the buckets are named again without rows.
+    replace(spark, index, "", "ab")
+    assert all(not v for v in state(spark, index).values())
+
+
+def test_bucket_count_is_stored(spark, tmp_path, monkeypatch):
+    index = str(tmp_path / "index")
+    listing = spark.createDataFrame([("r", "a", 50), ("r", "b", 50), ("q", "a", 9)], "root_path string, file_path string, size_bytes long")
+    monkeypatch.setattr(IS, "BUCKET_BYTES", 40)
+    assert IS.bucket_count(spark, index, listing) == 3
+    replace(spark, index, "abcd", "abcd", buckets=3)
+    monkeypatch.undo()
+    assert IS.bucket_count(spark, index, listing) == 3 and IS.bucket_count(spark, index + "2", listing) == 1
