@@ -24,6 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Short rows dealt out before text is made of them: a file of their table may be one row group, that is one task."""
+    spark = rows.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, key)
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.pmod("doc_id", F.lit(len(ENDINGS))) + 1).cast("int"))
@@ -128,15 +135,37 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ending = F.when(status == "F", "rs").when(status == "O", "py").otherwise("go")
     path = F.concat(F.lit("src/order_"), k, F.lit("."), ending)
     narrow = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
-    # Short rows are dealt out before text is made of them: a file of the table may be one row group, that is one task.
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return narrow.repartition(tasks, "o_orderkey").select(
+    return dealt(narrow, "o_orderkey").select(
         F.substring("o_orderpriority", 3, 20).alias("root_path"), path.alias("file_path"),
         index_language(path).alias("language"), content.alias("content"),
         F.octet_length(content).cast("long").alias("size_bytes"),
     )
 
 
+def nested_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source file per order, JavaScript or C by its number, with a function per line of the order.
+
+    Each function has a block within a block that calls its part; JavaScript puts them all into one class.
+    """
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    parts = dealt(li, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("parts"))
+    k = F.col("l_orderkey").cast("string")
+
+    def body(template: str) -> Column:
+        """The template for each line, with its place for @ and its part for #."""
+        return F.array_join(F.transform("parts", lambda p, i: F.replace(
+            F.replace(F.lit(template), F.lit("@"), (i + 1).cast("string")), F.lit("#"), p["l_partkey"].cast("string"))), "")
+
+    js = F.concat(F.lit("class Order"), k, F.lit(" {\n"), body("  item@(a) {\n    if (a) { // {{\n      pay#(a);\n    }\n  }\n"), F.lit("}\n"))
+    c = F.concat(F.lit("struct order"), k, F.lit(" {\n    int total;\n};\n"), body(
+        "static int item@(int a)\n{\n    while (a) { /* } */\n        a = pay#(a - 1);\n    }\n    return a;\n}\n"))
+    even = F.col("l_orderkey") % 2 == 0
+    path = F.concat(F.lit("src/nest_"), k, F.when(even, ".js").otherwise(".c"))
+    return parts.select(
+        F.lit("nest").alias("root_path"), path.alias("file_path"), index_language(path).alias("language"), F.when(even, js).otherwise(c).alias("content"),
+    ).withColumn("size_bytes", F.octet_length("content").cast("long"))
+
+
 def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as packages; those of one nation and segment share a clone."""
     c = table(spark, sf_dir, "customer").alias("c")

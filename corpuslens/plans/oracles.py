@@ -400,3 +400,13 @@ ORACLES["index_build"] = rf"""WITH {FILES}, state AS (
     FROM files f LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) WHERE language IS NOT NULL)
   SELECT root_path, file_path, language, mtime_ns + CAST(again AND now <> content AS BIGINT) AS mtime_ns, CAST(strlen(now) AS BIGINT) AS size_bytes,
     sha256(now) AS content_hash, '2024-01-01 00:00:00.000000' AS indexed_at FROM state"""
+NEST = """nest AS (SELECT l_orderkey AS k, l_partkey AS part, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS j,
+      count(*) OVER (PARTITION BY l_orderkey) AS m, l_orderkey % 2 = 0 AS js, 'src/nest_' || l_orderkey || CASE WHEN l_orderkey % 2 = 0 THEN '.js' ELSE '.c' END AS path FROM lineitem),
+  placed AS (SELECT *, CASE WHEN js THEN 2 + 5 * (j - 1) ELSE 4 + 7 * (j - 1) END AS top FROM nest)"""
+ORACLES["nested_symbols"] = f"""WITH {NEST}
+  SELECT 'nest' AS root_path, path AS file_path, 'item' || j AS name, CASE WHEN js THEN 'method' ELSE 'function' END AS kind, top AS line, top + CASE WHEN js THEN 4 ELSE 6 END AS end_line,
+    CASE WHEN js THEN 'Order' || k END AS parent, CASE WHEN js THEN 'item' || j || '(a) {{' ELSE 'static int item' || j || '(int a)' END AS signature FROM placed
+  UNION ALL SELECT DISTINCT 'nest', path, CASE WHEN js THEN 'Order' ELSE 'order' END || k, CASE WHEN js THEN 'class' ELSE 'struct' END, CAST(1 AS BIGINT),
+    CASE WHEN js THEN 2 + 5 * m ELSE 3 END, NULL, CASE WHEN js THEN 'class Order' ELSE 'struct order' END || k || ' {{' FROM nest"""
+ORACLES["nested_callsites"] = f"""WITH {NEST}
+  SELECT 'nest' AS root_path, path AS caller_file, top + CASE WHEN js THEN 2 ELSE 3 END AS caller_line, 'item' || j AS caller_symbol, 'pay' || part AS callee_name, 'call' AS callee_kind FROM placed"""

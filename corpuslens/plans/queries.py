@@ -296,6 +296,19 @@ def code_identifiers(spark, d):
     return out.groupBy("root_path", "token").agg(F.count(F.lit(1)).alias("hits")).select("root_path", "token", *big("hits"))
 
 
+@query
+def nested_symbols(spark, d):
+    """Symbols of generated JavaScript and C files with blocks in blocks, as many as an order has lines."""
+    out = X.symbols_of(X.scan(B.nested_files(spark, d), ("symbols",)))
+    return out.select("root_path", "file_path", "name", "kind", *big("line", "end_line"), "parent", "signature")
+
+
+@query
+def nested_callsites(spark, d):
+    out = X.callsites_of(X.scan(B.nested_files(spark, d), ("callsites",)))
+    return out.select("root_path", "caller_file", *big("caller_line"), "caller_symbol", "callee_name", "callee_kind")
+
+
 # -- resolution -----------------------------------------------------------------
 
 
