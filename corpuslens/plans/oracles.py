@@ -410,3 +410,5 @@ ORACLES["nested_symbols"] = f"""WITH {NEST}
     CASE WHEN js THEN 2 + 5 * m ELSE 3 END, NULL, CASE WHEN js THEN 'class Order' ELSE 'struct order' END || k || ' {{' FROM nest"""
 ORACLES["nested_callsites"] = f"""WITH {NEST}
   SELECT 'nest' AS root_path, path AS caller_file, top + CASE WHEN js THEN 2 ELSE 3 END AS caller_line, 'item' || j AS caller_symbol, 'pay' || part AS callee_name, 'call' AS callee_kind FROM placed"""
+ORACLES["search_indexed"] = ORACLES["search_lines"]
+ORACLES["word_lookup"] = ORACLES["word_hits_ignore_case"]

@@ -14,6 +14,7 @@ from corpuslens.operators import commits as C
 from corpuslens.operators import extract as X
 from corpuslens.operators import graph as G
 from corpuslens.operators import lookup as L
+from corpuslens.operators import postings as PO
 from corpuslens.operators import registry as R
 from corpuslens.operators import resolve as RS
 from corpuslens.operators import search as S
@@ -197,6 +198,23 @@ def search_narrowed(spark, d):
     return out.select("root_path", "file_path", *big("line", "column"), "text")
 
 
+@query
+def search_indexed(spark, d):
+    """The search for license lines again, over the files that stored letter triples leave."""
+    files, path = B.files(spark, d), scratch_path(spark, "grams")
+    PO.write_postings(PO.gram_postings(files), path)
+    out = PO.search_indexed(files, path, "license", 0, ignore_case=True)
+    return out.select("root_path", "file_path", *big("line", "column"), "text")
+
+
+@query
+def word_lookup(spark, d):
+    """Hits of one word through stored postings of all words."""
+    path = scratch_path(spark, "words")
+    PO.write_postings(PO.word_postings(L.identifiers(L.lines(B.files(spark, d)))), path)
+    return PO.word_hits(spark, path, "LA", ignore_case=True).select("root_path", "file_path", *big("line"), "token")
+
+
 # -- trees and recency ----------------------------------------------------------
 
 
