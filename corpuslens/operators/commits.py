@@ -100,7 +100,7 @@ def ahead_count(commits: DataFrame, pairs: DataFrame) -> DataFrame:
     lines, cross = history_lines(commits.join(ask.select("root_path").distinct(), "root_path", "left_semi"))
     end = lambda name, short: lines.where("own").select(
         "root_path", F.col("sha").alias(name), F.struct("node", "line", "place").alias(short))
-    ask, _ = cut(ask.join(end("base", "b"), ["root_path", "base"], "left").join(end("head", "h"), ["root_path", "head"], "left"), "pairs")
+    ask = ask.join(end("base", "b"), ["root_path", "base"], "left").join(end("head", "h"), ["root_path", "head"], "left")
     real = ask.where("b is not null and h is not null and b.node <> h.node").select(F.col("b.node").alias("base"), F.col("h.node").alias("head"), "b", "h")
     zero = F.lit(0).cast("long")
     state = real.select("base", "head", F.col("h.line").alias("line"), F.col("h.place").alias("h"), zero.alias("b")).unionByName(

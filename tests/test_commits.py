@@ -76,7 +76,7 @@ def closure_counts(history, pairs):
     return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_random_histories_equal_closures(make, seed):
     rng = random.Random(seed)
     history = []
