@@ -11,8 +11,15 @@ from corpuslens.session import cut, tune
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, learned from the labelled ones among them, does not reject."""
-    bad = quality.score(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select("doc_id").distinct()
+    """Documents that the quality classifier, learned from the labelled ones among them, does not reject.
+
+    Without a clear label for any of them there is no classifier, and none is rejected. Rows with a null doc_id are kept; of
+    repeated rows all go if one is rejected."""
+    labels = table(spark, sf_dir, "labels")
+    clear = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("lo"), F.max("quality").alias("hi")).where("lo = hi")
+    if clear.join(docs.select("doc_id"), "doc_id", "left_semi").isEmpty():
+        return docs
+    bad = quality.score(docs, labels).where("predicted = 0").select("doc_id").distinct()
     return docs.join(listed(bad, "rejected"), "doc_id", "left_anti").select(docs.columns)
 
 
