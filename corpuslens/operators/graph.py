@@ -130,6 +130,12 @@ def impact(callsites: DataFrame, starts: DataFrame, hops: int | None = None) ->
     )
 
 
+def impact_definitions(symbols: DataFrame, starts: DataFrame) -> DataFrame:
+    """The definition rows of each start's name, with all columns of ``symbols`` but ``name``, which is ``start``."""
+    asked = starts.select("root_path", "start").distinct()
+    return salted_join(symbols.withColumnRenamed("name", "start"), asked, ["root_path", "start"], "inner", ["file_path", "line"])
+
+
 def impact_in_scope(sites: DataFrame, scope: str) -> DataFrame:
     """Sites at or below ``scope``; applied after the walk, which may pass through other files."""
     return sites.where(in_scope(F.col("caller_file"), F.lit(scope)))
@@ -262,6 +268,9 @@ def cycles(edges: DataFrame) -> DataFrame:
     )
 
 
+CYCLE_ORDER = ["root_path", "size", "component", "member"]
+
+
 def cycles_ordered(cycle_rows: DataFrame) -> DataFrame:
     """By size, then names: parts are disjoint, so the least member decides between equals."""
-    return cycle_rows.orderBy("root_path", "size", "component", "member")
+    return cycle_rows.orderBy(*CYCLE_ORDER)

@@ -412,3 +412,7 @@ ORACLES["nested_callsites"] = f"""WITH {NEST}
   SELECT 'nest' AS root_path, path AS caller_file, top + CASE WHEN js THEN 2 ELSE 3 END AS caller_line, 'item' || j AS caller_symbol, 'pay' || part AS callee_name, 'call' AS callee_kind FROM placed"""
 ORACLES["search_indexed"] = ORACLES["search_lines"]
 ORACLES["word_lookup"] = ORACLES["word_hits_ignore_case"]
+ORACLES["impact_definitions"] = f"""WITH {LINKS}
+  SELECT DISTINCT d.root_path, d.importee AS start, d.importer AS file_path, d.ln AS line FROM deps d JOIN starts s ON d.root_path = s.root_path AND d.importee = s.start"""
+ORACLES["symbols_ranked"] = f"""WITH {SYMBOLS} SELECT root_path, file_path, name, kind, line, row_number() OVER (ORDER BY root_path, file_path, line, name, kind) AS rank FROM symbols"""
+ORACLES["cycles_ranked"] = f"""SELECT *, row_number() OVER (ORDER BY root_path, size, component, member) AS rank FROM ({ORACLES["cycles"]})"""

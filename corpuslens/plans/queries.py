@@ -22,6 +22,7 @@ from corpuslens.operators import snapshot as SN
 from corpuslens.plans import bindings as B
 from corpuslens.plans.index import build_index, table_reader
 from corpuslens.session import scratch_path, tune
+from corpuslens.skew import ranked
 from corpuslens.sources import records as RC
 from corpuslens.sources.index_store import read_relation
 from corpuslens.streaming import streams as ST
@@ -114,6 +115,13 @@ def outline_fallback(spark, d):
     return out.select("root_path", "file_path", "name", "kind", *big("line"), "signature")
 
 
+@query
+def symbols_ranked(spark, d):
+    """Every outline entry with its place in the listing of all."""
+    out = ranked(X.fallback_outline(L.lines(B.files(spark, d)), PROSE_RULES), L.LISTING_ORDER["symbols"])
+    return out.select("root_path", "file_path", "name", "kind", *big("line", "rank"))
+
+
 @query
 def symbol_exact(spark, d):
     out = L.symbols_named(X.fallback_outline(L.lines(B.files(spark, d)), PROSE_RULES), "the")
@@ -425,6 +433,22 @@ def impact_scoped(spark, d):
     return notes.select("root_path", "start", *big("definitions", "kept", "dropped"), "note")
 
 
+@query
+def impact_definitions(spark, d):
+    """What defines each part's name: the parts that import it, by line."""
+    symbols = B.part_deps(spark, d).where("importee_file is not null").select(
+        "root_path", F.col("importee_file").alias("name"), F.col("importer_file").alias("file_path"), "line"
+    ).distinct()
+    return G.impact_definitions(symbols, B.part_starts(spark, d)).select("root_path", "start", "file_path", *big("line"))
+
+
+@query
+def cycles_ranked(spark, d):
+    """Members of cycles with their place in the listing of all."""
+    found = G.cycles(G.resolved_edges(B.part_deps(spark, d)))
+    return ranked(found, G.CYCLE_ORDER).select("root_path", "component", "member", *big("size", "rank"))
+
+
 @query
 def cycles(spark, d):
     return G.cycles(G.resolved_edges(B.part_deps(spark, d))).select("root_path", "component", *big("size"), "member")

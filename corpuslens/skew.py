@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpuslens.session import cut
+
 SALTS = 16
 DEFAULT_BUDGET = 16384  # bytes of one answer
 _SALT = "_salt"
@@ -68,6 +70,24 @@ def top_n(
     )
 
 
+def ranked(df: DataFrame, order: Sequence[str | Column], rank: str = "rank") -> DataFrame:
+    """``df`` with its ``rank`` from 1 under a total ``order`` over all rows.
+
+    Rows are dealt by ranges of the order and sorted inside; a row's rank is its place in its range, after the sizes of the
+    ranges before it. No task sees all rows; what is added up in one place is one number per range. Rows are written
+    once, so that places and sizes agree also where a lost task runs again.
+    """
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows, _ = cut(spread, "ranked")
+    # The identifier holds the range in its upper bits and the place in the lower 33.
+    part = F.shiftright("_at", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    starts, _ = cut(sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before")), "starts")
+    place = F.col("_at") - F.shiftleft(part, 33)
+    return rows.withColumn("_part", part).join(starts, "_part").withColumn(rank, F.col("_before") + place + 1).drop("_part", "_at", "_before")
+
+
 def byte_budget(
     df: DataFrame,
     keys: Sequence[str],

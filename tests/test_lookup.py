@@ -1,10 +1,11 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.operators import lookup as L
 from corpuslens.operators import search as S
-from corpuslens.skew import byte_budget, salted_join, top_n
+from corpuslens.skew import byte_budget, ranked, salted_join, top_n
 from tests.conftest import rows
 
 
@@ -138,3 +139,29 @@ def test_search_sees_each_line_alone(tree):
 def test_large_files_count(tree):
     files = tree({"big.py": "x = 1\n" * (1 << 20), "a.py": "y = 2\n"})
     assert rows(L.directory_totals(files).where("path = ''"), "files", "lines") == [(2, (1 << 20) + 1)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 997])
+def test_rank_over_all_rows(spark, n):
+    df = spark.range(n).select((F.col("id") * 7919 % 1000).alias("v"), F.lit("x").alias("rank0")).repartition(7)
+    got = ranked(df, [F.desc("v")])
+    assert got.columns == ["v", "rank0", "rank"]
+    want = sorted((i * 7919 % 1000 for i in range(n)), reverse=True)
+    assert [(r.v, r.rank) for r in sorted(got.collect(), key=lambda r: r["rank"])] == [(v, i + 1) for i, v in enumerate(want)]
+    again = ranked(df.withColumn("w", F.lit("same")), ["w", "v"]).collect()
+    assert sorted(r["rank"] for r in again) == list(range(1, n + 1))
+
+
+def test_lines_in_budget_equal_running_sums(tree):
+    texts = {"a": "one\ntwo\r\nthree", "b": "", "c": "x" * 30 + "\n" + "y\n" * 50, "d": "late\n"}
+    files = tree(texts)
+    for budget in (1, 4, 13, 14, 45, 60, 1000):
+        want, used = [], 0
+        for path in sorted(texts):
+            for i, line in enumerate(texts[path].replace("\r\n", "\n").removesuffix("\n").split("\n") if texts[path] else []):
+                used += len(line) + 1
+                if used <= budget:
+                    want.append((path, i + 1, used))
+        got = L.lines_in_budget(files, budget)
+        assert sorted((r.file_path, r.line, r.used_bytes) for r in got.collect()) == want, budget
+        assert all(r.truncated == (used > budget) for r in got.collect())
