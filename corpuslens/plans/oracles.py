@@ -173,7 +173,8 @@ SELECT i.root_path, i.file_path AS importer_file, f.found AS importee_file,
 FROM i LEFT JOIN f ON i.root_path = f.root_path AND i.lang = f.lang AND i.other = f.other AND i.language <> 'go' AND
   CASE form WHEN 'rust' THEN ext = 'rs' WHEN 'js' THEN ext IN ('ts', 'tsx', 'js', 'jsx', 'mjs', 'cjs') WHEN 'python' THEN ext = 'py' ELSE ext = i.following_ending END"""
 ORACLES["link_resolution"] = f"""WITH {PAGES},
-  asks AS (SELECT DISTINCT root_path, page_id, unnest(regexp_extract_all(content, 'href="([^"#?]*)"', 1)) AS href FROM page_files),
+  asks0 AS (SELECT root_path, page_id, unnest(regexp_extract_all(content, 'href=["'']([^"'']*)["'']', 1)) AS href FROM page_files),
+  asks AS (SELECT DISTINCT root_path, page_id, regexp_replace(href, '[?#].*$', '') AS href FROM asks0),
   a AS (SELECT *, regexp_replace(href, '^/+|/+$', '', 'g') AS clean FROM asks)
 SELECT a.root_path, a.page_id, a.href, min(coalesce(e.file_path, b.file_path)) AS path FROM a
 LEFT JOIN page_files e ON starts_with(href, '/') AND a.root_path = e.root_path AND e.file_path = a.clean
@@ -242,7 +243,7 @@ SELECT root_path, recorded, "current", behind, CASE WHEN behind = 0 THEN {q(FRES
 
 SNAP = FILES + f""",
   idx AS (SELECT root_path, file_path, mtime_ns, size_bytes, content, sha256(content) AS h FROM files
-    WHERE doc_id IN (SELECT doc_id FROM labels) OR size_bytes < 500),
+    WHERE doc_id IN (SELECT doc_id FROM labels) OR size_bytes < 500 OR doc_id % {REMOVED[0]} = {REMOVED[1]}),
   disk0 AS (SELECT doc_id, root_path, file_path, mtime_ns, regexp_replace(content, '(?m)^.*License.*$', '', 'g') AS content FROM files),
   disk AS (SELECT root_path, file_path, mtime_ns + CASE WHEN strlen(content) % 2 = 0 THEN 1 ELSE 0 END AS mtime_ns, strlen(content) AS size_bytes, content, sha256(content) AS h
     FROM disk0 WHERE doc_id % {REMOVED[0]} <> {REMOVED[1]}),

@@ -364,9 +364,9 @@ def import_resolution(spark, d):
 
 @query
 def link_resolution(spark, d):
-    """Links of pages: ``/x`` means the least page of the host at or below ``x``."""
+    """Links of pages, without query and fragment: ``/x`` means the least page of the host at or below ``x``."""
     pages = B.page_files(spark, d)
-    hrefs = F.regexp_extract_all("content", F.lit('href="([^"#?]*)"'), F.lit(1))
+    hrefs = F.transform(F.regexp_extract_all("content", F.lit("""href=["']([^"']*)["']"""), F.lit(1)), lambda h: F.regexp_replace(h, "[?#].*$", ""))
     asks = pages.select("root_path", "page_id", F.explode(F.array_distinct(hrefs)).alias("href"))
     clean = P.normalize(F.regexp_replace("href", "^/+|/+$", ""))
     tries = F.when(F.startswith(F.col("href"), F.lit("/")), F.array(clean, F.concat(clean, F.lit("/"))))
@@ -480,14 +480,15 @@ REMOVED = (12, 5)  # documents with this remainder are gone from the disk
 
 
 def _index_and_disk(spark, d):
-    """Index: documents that are labelled or short. Disk: all but one remainder of their numbers, license lines gone."""
+    """Index: documents that are labelled, short, or gone from the disk. Disk: all but one remainder of their numbers, license lines gone."""
     hashed = lambda df: df.withColumn("content_hash", F.sha2(F.col("content").cast("binary"), 256))
     docs = B.files(spark, d).withColumn("doc_id", F.regexp_extract("file_path", r"/(\d+)", 1).cast("long"))
     labelled = B.table(spark, d, "labels").select("doc_id").distinct().withColumn("seen", F.lit(True))
-    index = docs.join(labelled, "doc_id", "left").where("seen or size_bytes < 500").drop("seen", "doc_id")
+    removed = F.col("doc_id") % REMOVED[0] == REMOVED[1]
+    index = docs.join(labelled, "doc_id", "left").where(F.col("seen") | (F.col("size_bytes") < 500) | removed).drop("seen", "doc_id")
     text = F.regexp_replace("content", r"(?m)^.*License.*$", "")
     disk = docs.withColumn("content", text).withColumn("size_bytes", F.octet_length("content").cast("long")).where(
-        F.col("doc_id") % REMOVED[0] != REMOVED[1]
+        ~removed
     ).drop("doc_id").withColumn("mtime_ns", F.col("mtime_ns") + F.when(F.col("size_bytes") % 2 == 0, 1).otherwise(0))
     return hashed(index), hashed(disk)
 
