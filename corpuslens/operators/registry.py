@@ -8,12 +8,14 @@ that combine in the map task, or top-n in two stages; request lists join salted.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions.outcome import FRESH, SLIGHTLY_STALE, UNKNOWN, freshness
 from corpuslens.functions.paths import ancestors, in_scope
+from corpuslens.session import cut
 from corpuslens.skew import salted_join, top_n
 
 # Columns an update may change, and the settable properties.
@@ -31,11 +33,17 @@ def _first(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     ).select("_r.*")
 
 
-def _last(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
-    row = F.struct(*df.columns)
-    return df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(
-        F.max_by(row, order).alias("_r")
-    ).select("_r.*")
+def _latest(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The rows with the greatest ``order`` of each key, null keys among them.
+
+    Only keys and order are aggregated, so wide columns are not sorted or shuffled for it; they are written, so that by their
+    true size Spark can send them to where the rows are. An order that ends with the id leaves one row of a key.
+    """
+    best = df.groupBy(*keys).agg(F.max(F.struct(*order)).alias("_o")).select(
+        *(F.col(k).alias(f"_k_{k}") for k in keys), *(F.col(f"_o.{o}").alias(f"_o_{o}") for o in order))
+    best, _ = cut(best, "latest")
+    same = [F.col(c).eqNullSafe(F.col(f"_{side}_{c}")) for side, names in (("k", keys), ("o", order)) for c in names]
+    return df.join(best, reduce(lambda a, b: a & b, same), "left_semi")
 
 
 # -- packages ---------------------------------------------------------------
@@ -211,19 +219,17 @@ def last_activity(conversations: DataFrame) -> DataFrame:
 def replace_prepared(prepared: DataFrame, new: DataFrame) -> DataFrame:
     """New maps replace the one of their (package, branch); a null branch is a key of its own."""
     both = prepared.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    return _last(both, ["package_id", "git_branch"], F.struct("_new", "created_at", "id")).drop("_new")
+    return _latest(both, ["package_id", "git_branch"], ["_new", "created_at", "id"]).drop("_new")
 
 
 def latest_global(prepared: DataFrame) -> DataFrame:
     """Latest map without a branch per package."""
-    return _last(prepared.where(F.col("git_branch").isNull()), ["package_id"], F.struct("created_at", "id"))
+    return _latest(prepared.where(F.col("git_branch").isNull()), ["package_id"], ["created_at", "id"])
 
 
 def latest_per_branch(prepared: DataFrame) -> DataFrame:
     """Latest map per (package, branch)."""
-    return _last(
-        prepared.where(F.col("git_branch").isNotNull()), ["package_id", "git_branch"], F.struct("created_at", "id")
-    )
+    return _latest(prepared.where(F.col("git_branch").isNotNull()), ["package_id", "git_branch"], ["created_at", "id"])
 
 
 def latest_by_scope(prepared: DataFrame, wants: DataFrame) -> DataFrame:
@@ -232,7 +238,7 @@ def latest_by_scope(prepared: DataFrame, wants: DataFrame) -> DataFrame:
     Branch scope with a known branch takes that branch's map and nothing else;
     otherwise the global one is taken. Wants without a map keep nulls.
     """
-    latest = _last(prepared, ["package_id", "git_branch"], F.struct("created_at", "id"))
+    latest = _latest(prepared, ["package_id", "git_branch"], ["created_at", "id"])
     maps = latest.select(
         F.col("package_id").alias("_p"), F.col("git_branch").alias("_b"), F.struct(*latest.columns).alias("map")
     )

@@ -167,3 +167,19 @@ def test_prompts(packages, conversations, prepared, make):
     assert x.index("- q4\n- q3\n- q2\n\n") < x.index("[tools]") < x.index("\nQuestion: Why?\n\nTreat the prepared")
     assert "q1" not in x and "few commits behind" in x
     assert out["y"].endswith("\nQuestion: How?\n\nExplore the codebase and answer precisely. Reference file paths.\n") and "MAP" not in out["y"]
+
+
+def test_latest_maps_do_not_aggregate_their_text(prepared):
+    maps = prepared(*(dict(id=f"{i:02}", package_id=f"p{i % 3}", git_branch="main" if i % 2 else None, content="text " * i, created_at=day(i % 4)) for i in range(20)))
+    for out in (R.latest_global(maps), R.latest_per_branch(maps), R.latest_by_scope(maps, maps.selectExpr("package_id", "'global' AS prepare_scope", "'x' AS branch").distinct())):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert not any("content" in line for line in plan.splitlines() if "Aggregate" in line)
+    every = [tuple(r) for r in maps.collect()]
+    at = {c: i for i, c in enumerate(maps.columns)}
+    for out, null in ((R.latest_global(maps), True), (R.latest_per_branch(maps), False)):
+        best = {}
+        for r in every:
+            if (r[at["git_branch"]] is None) == null:
+                key = r[at["package_id"]], r[at["git_branch"]]
+                best[key] = max(best.get(key, r), r, key=lambda x: (x[at["created_at"]], x[at["id"]]))
+        assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, best.values()))
