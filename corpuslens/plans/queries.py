@@ -250,7 +250,7 @@ def relative_paths(spark, d):
     return files.select("full", below.alias("below"), P.relative_to(F.concat("root_path", F.lit("0")), F.col("full")).alias("other"))
 
 
-def _busiest(spark, d):
+def _least_part(spark, d):
     """(brand, part) with the least number of all parts that some order goes on from."""
     row = B.part_deps(spark, d).agg(F.min(F.struct(F.col("importer_file").cast("long").alias("n"), "root_path"))["root_path"].alias("r"), F.min(F.col("importer_file").cast("long")).alias("n")).first()
     return row["r"], str(row["n"])
@@ -259,7 +259,7 @@ def _busiest(spark, d):
 @query
 def edges_of_part(spark, d):
     """Imports of one part in their order."""
-    root, part = _busiest(spark, d)
+    root, part = _least_part(spark, d)
     rows = L.forward_edges(B.part_deps(spark, d), root, part)
     place = F.row_number().over(Window.partitionBy("root_path", "importer_file").orderBy("line", "raw_target", "importee_file"))
     return rows.select("root_path", "importer_file", "raw_target", "importee_file", *big("line"), place.cast("long").alias("place"))
@@ -268,7 +268,7 @@ def edges_of_part(spark, d):
 @query
 def calls_of_part(spark, d):
     """Callsites of one part."""
-    root, part = _busiest(spark, d)
+    root, part = _least_part(spark, d)
     return L.callsites_of(B.part_calls(spark, d), root, part).select("root_path", "caller_file", *big("caller_line"), "callee_kind", "caller_symbol")
 
 
