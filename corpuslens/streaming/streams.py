@@ -15,9 +15,10 @@ FILE = ["root_path", "file_path"]
 
 
 def parquet_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table as a file stream; new files in the folder would be picked up."""
+    """A test table, one file or a folder of files, as a file stream; new files would be picked up."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
+    # A pattern names files and folders alike; a stream takes no plain path of a single file.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}*.parquet")
 
 
 def last_activity(conversations: DataFrame) -> DataFrame:

@@ -33,3 +33,12 @@ def test_last_activity_updates(spark, make, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     out = ST.drain(ST.last_activity(stream), "update", ["package_id"])
     assert rows(out.selectExpr("package_id", "date_format(last_activity, 'dd') d")) == [("p", "03"), ("q", "05")]
+
+
+def test_tables_that_are_folders_stream_too(spark, tmp_path):
+    spark.range(10).repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    part = next(p for p in (tmp_path / "many.parquet").glob("part-*.parquet"))
+    (tmp_path / "one.parquet").write_bytes(part.read_bytes())
+    n = spark.read.parquet(str(tmp_path / "one.parquet")).count()
+    for name, want in (("many", 10), ("one", n)):
+        assert ST.drain(ST.parquet_stream(spark, str(tmp_path), name), "append").count() == want
