@@ -133,7 +133,8 @@ def impact(callsites: DataFrame, starts: DataFrame, hops: int | None = None) ->
 def impact_definitions(symbols: DataFrame, starts: DataFrame) -> DataFrame:
     """The definition rows of each start's name, with all columns of ``symbols`` but ``name``, which is ``start``."""
     asked = starts.select("root_path", "start").distinct()
-    return salted_join(symbols.withColumnRenamed("name", "start"), asked, ["root_path", "start"], "inner", ["file_path", "line"])
+    # Any number of starts: one row per key, so adaptive execution may split a name that many files define.
+    return symbols.withColumnRenamed("name", "start").join(asked, ["root_path", "start"])
 
 
 def impact_in_scope(sites: DataFrame, scope: str) -> DataFrame:

@@ -33,13 +33,14 @@ def salted_join(
     ``big`` is spread over ``salts`` sub-keys by the columns ``spread`` and every row
     of ``small`` is repeated once per sub-key, so a hot key becomes ``salts`` tasks.
     ``how`` keeps ``big`` whole or filters it: inner, left, left_semi, left_anti.
-    Nothing is hinted: when ``small`` really is small Spark broadcasts it by its
-    measured size and the salt costs nothing but a hash.
+    Nothing is hinted: when ``small`` with its copies really is small Spark broadcasts it by its
+    size and the salt costs nothing but a hash. The copies come from a cross join, whose size Spark
+    multiplies; an exploded column counts as one row, and sixteen times the list would be sent.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot salt a {how} join")
     left = big.withColumn(_SALT, salt_of(list(spread), salts))
-    right = small.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = small.crossJoin(small.sparkSession.range(salts).select(F.col("id").cast("int").alias(_SALT)))
     return left.join(right, [*on, _SALT], how).drop(_SALT)
 
 

@@ -130,6 +130,19 @@ def test_salted_join_equals_join(spark):
         assert rows(salted_join(df, small, ["k"], how, ["id"])) == rows(df.join(small, ["k"], how)), how
 
 
+def test_copies_of_the_short_side_are_not_broadcast(spark, tmp_path, capsys):
+    spark.range(5_000).write.parquet(str(tmp_path / "small"))
+    small = spark.read.parquet(str(tmp_path / "small"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
+    try:
+        for list_, how in ((small, "SortMergeJoin"), (small.limit(9), "BroadcastHashJoin")):
+            salted_join(spark.range(10**9).selectExpr("id", "id v"), list_, ["id"], "inner", ["v"]).explain()
+            assert how in capsys.readouterr().out
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_search_sees_each_line_alone(tree):
     files = tree({"a": "foo\nbar\n", "b": "foobar\n"})
     for pattern in (r"foo\z", r"foo(?!\s)", "^foo$"):
