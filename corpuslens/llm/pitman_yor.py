@@ -16,8 +16,10 @@ from corpuslens.session import cut, scratch_path
 DOCUMENTS = 4_096  # documents of a chunk, whose pairs are asked for together; a power of two
 BATCH = 1 << 16  # rows of a batch of pairs
 STRENGTH = 1.0  # concentration of every restaurant
+BURN = 3  # sweeps before those that are averaged
 SAMPLES = 3  # sweeps that are averaged
 EXACT = 1024  # customers of a dish up to which seatings are counted one by one
+_ROOTS, _BACKS = ([f"{c}_{k}" for k in range(SAMPLES)] for c in ("root", "back"))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _END = span_hashes(np.frombuffer(b"\n", np.uint8), np.array([0]), np.array([1]))[0]  # no word has a line end
 
@@ -63,24 +65,39 @@ def rise(many: np.ndarray, tables: np.ndarray, discount: float) -> np.ndarray:
     return got
 
 
-def tables_of(many: np.ndarray, base: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Sampled numbers of tables of dishes, a row per dish and a column per sweep, given all other dishes.
+def tables_of(many: np.ndarray, base: np.ndarray, discount: float, rng: np.random.Generator, grow: np.ndarray | float = 0.0) -> np.ndarray:
+    """A sampled number of tables of each dish, given all other dishes.
 
-    ``many`` are a dish's customers, ``base`` what a new table weighs: (concentration + discount * the restaurant's tables) * the parent's chance.
-    A sweep seats all customers of a dish anew: the number of tables is drawn from its chance over all seatings, which moves of
-    single customers by the Chinese restaurant rule tend to. So a sweep is whole for any number of customers.
+    ``many`` are a dish's customers. A table beyond the t that the dish has weighs ``base + grow * t``: (concentration + discount * the
+    restaurant's tables) * the parent's chance. All customers of a dish are seated anew: the number of tables is drawn from its chance over
+    all seatings, which moves of single customers by the Chinese restaurant rule tend to, for any number of customers.
     """
-    out = np.repeat((many > 0).astype(np.float32)[:, None], SAMPLES, axis=1)
+    out = (many > 0).astype(np.float64)
     more = np.flatnonzero(many > 1)
-    n, a = many[more].astype(np.float64), np.log(base[more].astype(np.float64))
+    n, start = many[more].astype(np.float64), base[more].astype(np.float64)
+    rising = np.broadcast_to(np.asarray(grow, np.float64), many.shape)[more]
+
+    def step(of: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """log of how much likelier one more table than ``t`` is; falls in ``t``."""
+        wide = (slice(None), *[None] * (t.ndim - 1))
+        return np.log(start[of][wide] + rising[of][wide] * t) + rise(np.broadcast_to(n[of][wide], t.shape), t, discount)
+
     # The likeliest number: the last that is more likely than one less.
     lo, hi = np.ones(len(more)), n.copy()
     while (open_ := np.flatnonzero(lo < hi)).size:
         mid = np.floor((lo[open_] + hi[open_]) / 2)
-        up = a[open_] + rise(n[open_], mid, discount) > 0
+        up = step(open_, mid) > 0
         lo[open_], hi[open_] = np.where(up, mid + 1, lo[open_]), np.where(up, hi[open_], mid)
-    # Chances fall around it at least as fast as a Poisson law's.
+    # Steps fall away from it, so half the way lies behind a point by half the way's steps at least: on to a chance of e ** -30.
     reach = np.ceil(8 * np.sqrt(lo) + 12)
+    open_ = np.arange(len(more))
+    while open_.size:
+        half = np.floor(reach[open_] / 2)
+        up, down = lo[open_] + half, lo[open_] - half
+        fine = (up >= n[open_]) | (half * step(open_, np.minimum(up, n[open_])) < -30)
+        fine &= (down <= 1) | (half * step(open_, np.maximum(down, 1)) > 30)
+        open_ = open_[~fine]
+        reach[open_] *= 2
     first, last = np.maximum(lo - reach, 1), np.minimum(lo + reach, n)
     order, s = np.argsort(last - first, kind="stable")[::-1], 0
     while s < len(order):
@@ -88,11 +105,10 @@ def tables_of(many: np.ndarray, base: np.ndarray, discount: float, rng: np.rando
         at = order[s: s + max(1, (1 << 20) // wide)]
         s += len(at)
         t = first[at][:, None] + np.arange(wide - 1)
-        log = a[at][:, None] + rise(np.broadcast_to(n[at][:, None], t.shape), t, discount)
-        log = np.cumsum(np.concatenate([np.zeros((len(at), 1)), np.where(t < last[at][:, None], log, -np.inf)], axis=1), axis=1)
+        log = np.where(t < last[at][:, None], step(at, np.minimum(t, n[at][:, None])), -np.inf)
+        log = np.cumsum(np.concatenate([np.zeros((len(at), 1)), log], axis=1), axis=1)
         chance = np.cumsum(np.exp(log - log.max(axis=1)[:, None]), axis=1)
-        for k in range(SAMPLES):
-            out[more[at], k] = first[at] + (chance <= (rng.random(len(at)) * chance[:, -1])[:, None]).sum(axis=1)
+        out[more[at]] = first[at] + (chance <= (rng.random(len(at)) * chance[:, -1])[:, None]).sum(axis=1)
     return out
 
 
@@ -178,37 +194,67 @@ def _asked(batches: Iterator[pa.RecordBatch], pairs: bool) -> Iterator[pa.Record
         yield from _rows({"chunk": pa.array(np.full(len(k := np.unique(np.concatenate(parts))), now), pa.int64()), "key": pa.array(longs(k))})
 
 
-def _seated(batches: Iterator[pa.RecordBatch], pairs: int, types: int, discounts: tuple[float, float]) -> Iterator[pa.RecordBatch]:
-    """Adds to learned (word, context, learned, rooms) rows, all of a word together, the pair's key and mean tables, and the word's mean customers and tables at the root.
+def _drawn(batches: Iterator[pa.RecordBatch], many: str, discount: float, sweep: int) -> Iterator[pa.RecordBatch]:
+    """Rows of dishes with sampled ``tables`` in place of their columns base and grow. The first column identifies a dish in part."""
+    for batch in batches:
+        if batch.num_rows:
+            rng = np.random.default_rng([int(batch.column(0)[0].as_py()) & 0x7FFFFFFF, batch.num_rows, sweep])
+            n, base, grow = (batch.column(c).to_numpy() for c in (many, "base", "grow"))
+            kept = [c for c in batch.schema.names if c not in ("base", "grow")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(tables_of(n, base, discount, rng, grow))], [*kept, "tables"])
 
-    ``rooms`` are the context's tables, ``pairs`` all contexts' and ``types`` the root's, when every dish has one."""
-    rows = [b for b in batches if b.num_rows]
-    if not rows:
-        return
-    t = pa.Table.from_batches(rows).sort_by([("word", "ascending"), ("context", "ascending")])
-    words, contexts, many, rooms = (t.column(c).to_numpy() for c in ("word", "context", "learned", "rooms"))
-    _, of = np.unique(words, return_inverse=True)
-    rng = np.random.default_rng(int(words[0]) & 0x7FFFFFFF)
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words, contexts = (batch.column(c).to_numpy().view(np.uint64) for c in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(longs(_keys(words, contexts))), batch.column(2)], ["key", "mine"])
+
+
+def _sweeps(pairs: DataFrame, many: int, types: int, discounts: tuple[float, float]) -> tuple[DataFrame, DataFrame, DataFrame, list[tuple[int, int]]]:
+    """The chain: (word, context, learned, total) of pairs learned more than once, (word, count, mass) and (context, held, rooms), and the root's customers and tables.
+
+    ``total`` are a pair's tables over the last ``SAMPLES`` sweeps. ``mass`` (the root's customers less their discount), ``rooms`` and the list have a
+    value for each of them. At first every dish has one table. A sweep seats every pair anew, given the context's tables and the word's
+    chance at the root without the pair's own; the tables that it takes are the root's customers, who are seated anew in turn. All
+    of a sweep's pairs are drawn at once, given the sweep before. A pair learned once has one table in every sweep and is only counted.
+    """
     low, high = discounts
     outcomes = types + 1.0
-    # First every pair has one table: the root's customers are the contexts that a word was learned in.
-    served = np.bincount(of)
-    weight = STRENGTH + low * types
-    root = (np.maximum(served - low, 0) + weight / outcomes) / (STRENGTH + pairs)
-    own = tables_of(many, (STRENGTH + high * rooms) * root[of], high, rng)
-    sums = np.zeros((2, len(served)))
-    for k in range(SAMPLES):
-        customers = np.bincount(of, own[:, k]).round()
-        sums += customers, tables_of(customers, np.full(len(customers), weight / outcomes), low, rng).mean(axis=1)
-    customers, seats = (s / SAMPLES for s in sums)
-    count = np.bincount(of, many)
-    yield from _rows({
-        "word": t.column("word"), "context": t.column("context"), "learned": t.column("learned"), "key": pa.array(longs(_keys(words.view(np.uint64), contexts.view(np.uint64)))),
-        "tables": pa.array(own.mean(axis=1), pa.float32()), "root_many": pa.array(customers[of].astype(np.float32)), "root_tables": pa.array(seats[of].astype(np.float32)), "count": pa.array(count[of].astype(np.int64))})
+    customers, seats = many, types
+    none = F.array().cast("array<double>")
+    once = F.count_if(F.col("learned") == 1).cast("double")
+    n = F.count(F.lit(1)).cast("double")
+    words = listed(pairs.groupBy("word").agg(once.alias("fixed"), F.sum("learned").alias("count"), n.alias("many")).withColumns(
+        {"mass": none, "tables": F.lit(1.0)}), "words")
+    contexts = listed(pairs.groupBy("context").agg(once.alias("fixed"), F.sum("learned").alias("held"), n.alias("now")).withColumn("rooms", none), "contexts")
+    one = F.lit(1.0)
+    seated, _ = cut(pairs.where("learned > 1").select("word", "context", "learned", F.lit(0.0).alias("total"), one.alias("tables")), "seated")
+    totals: list[tuple[int, int]] = []
+    for sweep in range(BURN + SAMPLES):
+        kept = sweep >= BURN
+        own, at_root = F.col("tables"), F.col("_many")
+        chance = ((at_root - low * F.col("_seats")) * (at_root - own) / at_root + (STRENGTH + low * seats) / outcomes) / (STRENGTH + customers - own)
+        asked = seated.join(contexts.select("context", "now"), "context").join(
+            words.select("word", F.col("many").alias("_many"), F.col("tables").alias("_seats")), "word").withColumn("_chance", chance)
+        asked = asked.select("word", "context", "learned", "total", ((STRENGTH + high * (F.col("now") - own)) * F.col("_chance")).alias("base"), (high * F.col("_chance")).alias("grow"))
+        drawn = asked.mapInArrow(partial(_drawn, many="learned", discount=high, sweep=sweep), "word long, context long, learned long, total double, tables double")
+        seated, _ = cut(drawn.withColumn("total", F.col("total") + F.col("tables")) if kept else drawn, "seated")
+        taken = lambda c: seated.groupBy(c).agg(F.sum("tables").alias("_taken"))
+        now = F.col("fixed") + F.coalesce("_taken", F.lit(0.0))
+        contexts = contexts.join(taken("context"), "context", "left").select("context", "fixed", "held", now.alias("now"), "rooms")
+        contexts = listed(contexts.withColumn("rooms", F.array_append("rooms", F.col("now"))) if kept else contexts, "contexts")
+        asked = words.join(taken("word"), "word", "left").select(
+            "word", "fixed", "count", now.alias("many"), "mass", ((STRENGTH + low * (seats - F.col("tables"))) / outcomes).alias("base"), F.lit(low / outcomes).alias("grow"))
+        words = asked.mapInArrow(partial(_drawn, many="many", discount=low, sweep=sweep), "word long, fixed double, count long, many double, mass array<double>, tables double")
+        words = listed(words.withColumn("mass", F.array_append("mass", F.col("many") - low * F.col("tables"))) if kept else words, "words")
+        customers, seats = (int(v) for v in words.agg(F.coalesce(F.sum("many"), F.lit(0)), F.coalesce(F.sum("tables"), F.lit(0))).first())
+        if kept:
+            totals.append((customers, seats))
+    return seated.select("word", "context", "learned", "total"), words.select("word", "count", "mass"), contexts.select("context", "held", "rooms"), totals
 
 
 def _score(docs: pa.Table, known: pa.Table) -> pa.Table:
-    """Scores of a chunk's texts. ``known`` has a row (key, mine) per learned pair, and one (key, count, plain, root, back, whole) per word, also as a context."""
+    """Scores of a chunk's texts. ``known`` has a row (key, mine) per learned pair, and one (key, count, plain, roots, backs, whole) per word, also as a context."""
     import pyarrow.compute as pc
 
     def sorted_by_key(t: pa.Table, *names: str) -> tuple[np.ndarray, ...]:
@@ -218,7 +264,8 @@ def _score(docs: pa.Table, known: pa.Table) -> pa.Table:
 
     of_word = pc.is_valid(known.column("plain"))
     k, mine = sorted_by_key(known.filter(pc.invert(of_word)), "mine")
-    h, count, plain, root, back, whole = sorted_by_key(known.filter(of_word), "count", "plain", "root", "back", "whole")
+    h, count, plain, whole, *parts = sorted_by_key(known.filter(of_word), "count", "plain", "whole", *_ROOTS, *_BACKS)
+    roots, backs = parts[:SAMPLES], parts[SAMPLES:]
     out = {c: [np.zeros(0)] for c in ("tokens", "known", "plain", "value")}
 
     def place(asked: np.ndarray) -> np.ndarray:
@@ -237,7 +284,8 @@ def _score(docs: pa.Table, known: pa.Table) -> pa.Table:
                 asked = _keys(w, c)
                 pair = np.minimum(np.searchsorted(k, asked), len(k) - 1)
                 own = np.where(k[pair] == asked, mine[pair], 0.0)
-            value = np.log10(own / whole[before] + back[before] * root[at])
+            # The mean over the samples of a token's chance; its own customers are the only part that no product is in.
+            value = np.log10(own / whole[before] + sum(b[before] * r[at] for b, r in zip(backs, roots, strict=True)) / SAMPLES)
             for name, v in (("tokens", None), ("known", count[at] > 0), ("plain", plain[at]), ("value", value)):
                 out[name].append(np.bincount(of, v, n).astype(np.float64))
     got = {c: np.concatenate(v) for c, v in out.items()}
@@ -257,9 +305,10 @@ def scores(docs: DataFrame, learn: Column, settled: bool = False) -> DataFrame:
     log10((c + 1) / (N + V + 1)): V learned words and one outcome for all others. ``score`` is log10 of the text's chance over the same outcomes under a
     hierarchy of Pitman-Yor restaurants. A token's context is the word before it in its text, or the text's start; each context has a
     restaurant, as many as the learned words ask for, and all share the root as parent, whose base is even. Seatings are sampled
-    by Gibbs sweeps that seat every customer anew; chances are averages over sweeps. All counts cover all learned documents.
+    by a chain of Gibbs sweeps that seat every customer anew (see :func:`_sweeps`); chances are averages over the ``SAMPLES`` sweeps after
+    ``BURN``. All counts cover all learned documents.
 
-    A word's dishes in all restaurants are seated in one task. Learned (context, word) pairs are rows with exact counts. Documents meet the
+    Learned (context, word) pairs are rows with exact counts, seated wherever they are. Documents meet the
     model by chunk: a chunk asks for its distinct pairs and words, and what is known of them comes back, so neither vocabulary nor model is
     held whole anywhere (a broadcast is behind a checked count). ``settled`` says that ``docs`` are files
     read as they are, which come in the same parts each time they are read; other input is written once, so that its chunks are fixed.
@@ -276,34 +325,29 @@ def scores(docs: DataFrame, learn: Column, settled: bool = False) -> DataFrame:
         docs.write.option("compression", "zstd").parquet(path)
         docs = spark.read.parquet(path)
     pairs = docs.where("learn").select("text").mapInArrow(_learned, "word long, context long, learned long")
-    pairs, n_pairs = cut(pairs.repartition("word").groupBy("word", "context").agg(F.sum("learned").alias("learned")), "pairs")
+    pairs, n_pairs = cut(pairs.groupBy("word", "context").agg(F.sum("learned").alias("learned")), "pairs")
     count = lambda c, v: F.count(F.when(F.col(c) == v, 1))
-    contexts = pairs.groupBy("context").agg(F.count(F.lit(1)).alias("rooms"))
-    contexts = listed(contexts, "contexts")
     whole, once, twice = pairs.agg(F.coalesce(F.sum("learned"), F.lit(0)), count("learned", 1), count("learned", 2)).first()
     of_word = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     types, ones, twos = of_word.agg(F.count(F.lit(1)), count("n", 1), count("n", 2)).first()
     low, high = _discount(ones, twos), _discount(once, twice)
-    seated = pairs.join(contexts, "context").select("word", "context", "learned", "rooms").repartition("word").mapInArrow(
-        partial(_seated, pairs=n_pairs, types=types, discounts=(low, high)),
-        "word long, context long, learned long, key long, tables float, root_many float, root_tables float, count long")
-    seated, _ = cut(seated, "seated")
-    ends = seated.groupBy(F.col("word").alias("h")).agg(F.first("count").alias("count"), F.first("root_many").alias("root_many"), F.first("root_tables").alias("root_tables"))
-    before = seated.groupBy(F.col("context").alias("h")).agg(F.sum("learned").alias("held"), F.sum("tables").alias("sat"))
-    vocabulary, _ = cut(ends.join(before, "h", "full"), "vocabulary")
-    sat, top = vocabulary.agg(F.coalesce(F.sum("sat"), F.lit(0.0)), F.coalesce(F.sum("root_tables"), F.lit(0.0))).first()
+    seated, words, contexts, totals = _sweeps(pairs, n_pairs, types, (low, high))
+    mine = lambda rows, tables: rows.select("word", "context", (F.col("learned") - high * tables).cast("float").alias("mine"))
+    owned = mine(pairs.where("learned = 1"), F.lit(1.0)).unionByName(mine(seated, F.col("total") / SAMPLES)).mapInArrow(_keyed, "key long, mine float")
+    vocabulary, _ = cut(words.withColumnRenamed("word", "h").join(contexts.withColumnRenamed("context", "h"), "h", "full"), "vocabulary")
     told = docs.select("chunk", "text").mapInArrow(partial(_asked, pairs=True), "chunk long, key long")
-    told = told.join(seated.select("key", (F.col("learned") - high * F.col("tables")).alias("mine")), "key")
+    told = told.join(owned, "key")
     none = F.lit(None).cast("double")
-    told = told.select("chunk", "key", F.col("mine").cast("float").alias("mine"), F.lit(None).cast("long").alias("count"), *(none.alias(c) for c in ("plain", "root", "back", "whole")))
+    told = told.select("chunk", "key", "mine", F.lit(None).cast("long").alias("count"), *(none.alias(c) for c in ("plain", *_ROOTS, *_BACKS, "whole")))
     words = docs.select("chunk", "text").mapInArrow(partial(_asked, pairs=False), "chunk long, key long")
     words = words.join(vocabulary, F.col("key") == F.col("h"), "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    root = zero(F.col("root_many") - low * F.col("root_tables")) + F.lit((STRENGTH + low * top) / (types + 1.0))
     norm = STRENGTH + zero("held")
+    roots = [((zero(F.get("mass", F.lit(k))) + F.lit((STRENGTH + low * t) / (types + 1.0))) / F.lit(STRENGTH + c)).alias(_ROOTS[k]) for k, (c, t) in enumerate(totals)]
+    backs = [((STRENGTH + high * zero(F.get("rooms", F.lit(k)))) / norm).alias(_BACKS[k]) for k in range(SAMPLES)]
     words = words.select(
         "chunk", "key", F.lit(None).cast("float").alias("mine"), zero("count").alias("count"), F.log10((zero("count") + 1) / F.lit(float(whole + types + 1))).alias("plain"),
-        (root / F.lit(STRENGTH + float(sat))).alias("root"), ((STRENGTH + high * zero("sat")) / norm).alias("back"), norm.cast("double").alias("whole"))
+        *roots, *backs, norm.cast("double").alias("whole"))
     schema = "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double"
     scored = docs.groupBy("chunk").cogroup(told.union(words).groupBy("chunk")).applyInArrow(_score, schema)
     return scored.select("doc_id", F.col("learn").alias("learned"), "n_tokens", "n_known", F.lit(int(whole)).cast("long").alias("train_tokens"), "base_score", "score")

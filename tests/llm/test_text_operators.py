@@ -269,6 +269,83 @@ def test_seating_reaches_its_chance_for_any_number_of_customers(n, base, discoun
     assert abs(got.mean() - mean) < 0.01 * mean + 0.03 and abs(got.std() - spread) < 0.05 * spread + 0.02
 
 
+def plain_sampler(sentences, sweeps, burn):
+    """Chances of a (context, word) under the model, customers moved one at a time by the Chinese restaurant rule."""
+    rng, d = random.Random(5), pitman_yor.STRENGTH
+    pairs = [(c, w) for s in sentences for c, w in zip(["", *s], [*s, ""], strict=True)]
+    many = Counter(pairs)
+    served = Counter(w for _, w in many)
+    share = lambda values: pitman_yor._discount(sum(v == 1 for v in values), sum(v == 2 for v in values))
+    low, high, types = share(list(served.values())), share(list(many.values())), len(served)
+    contexts, root, seats, held = {p: [n] for p, n in many.items()}, {w: [n] for w, n in served.items()}, Counter(c for c, _ in many), Counter(c for c, _ in pairs)
+    size = lambda: (sum(map(sum, root.values())), sum(map(len, root.values())))
+
+    def parent(w, customers, tables):
+        return (sum(root[w]) - low * len(root[w]) + (d + low * tables) / (types + 1)) / (d + customers)
+
+    def root_take(w, customers, tables):
+        weights = [n - low for n in root[w]] + [(d + low * tables) / (types + 1)]
+        k = rng.choices(range(len(weights)), weights)[0]
+        if k == len(root[w]):
+            root[w].append(0)
+        root[w][k] += 1
+
+    total, times = Counter(), 0
+    for sweep in range(sweeps):
+        for c, w in pairs:
+            at = contexts[c, w]
+            k = rng.choices(range(len(at)), at)[0]
+            at[k] -= 1
+            if not at[k]:
+                del at[k]
+                seats[c] -= 1
+                j = rng.choices(range(len(root[w])), root[w])[0]
+                root[w][j] -= 1
+                root[w] = [n for n in root[w] if n]
+            customers, tables = size()
+            k = rng.choices(range(len(at) + 1), [n - high for n in at] + [(d + high * seats[c]) * parent(w, customers, tables)])[0]
+            if k == len(at):
+                at.append(0)
+                seats[c] += 1
+                root_take(w, customers, tables)
+            at[k] += 1
+        if sweep >= burn:
+            times += 1
+            customers, tables = size()
+            for c, w in many:
+                total[c, w] += (many[c, w] - high * len(contexts[c, w]) + (d + high * seats[c]) * parent(w, customers, tables)) / (d + held[c])
+    return {p: v / times for p, v in total.items()}
+
+
+def test_language_model_agrees_with_a_plain_sampler(docs):
+    rng = random.Random(21)
+    # Words of very different counts, nearly every pair seen again: tables of the contexts make much of the root.
+    sentences = [[rng.choice("abcdef") + str(int(rng.paretovariate(0.7)) % 9) for _ in range(8)] for _ in range(60)]
+    want = plain_sampler(sentences, 100, 30)
+    got = pitman_yor.scores(docs([(i, " ".join(s)) for i, s in enumerate(sentences)]), F.lit(True)).collect()
+    plain = {i: sum(math.log10(want[p]) for p in zip(["", *s], [*s, ""], strict=True)) for i, s in enumerate(sentences)}
+    off = [r["score"] - plain[r["doc_id"]] for r in got]
+    assert abs(sum(off)) < 0.01 * abs(sum(plain.values())) and max(map(abs, off)) < 0.6
+
+
+def test_a_sweep_hands_its_tables_on(make):
+    pairs = make("word long, context long, learned long", [(w, c, 1 + (w * c) % 40) for w in range(1, 30) for c in range(1, 12)])
+    seated, words, contexts, totals = pitman_yor._sweeps(pairs, 29 * 11, 29, (0.5, 0.6))
+    tables = seated.agg(F.sum("total")).first()[0] + pitman_yor.SAMPLES * pairs.where("learned = 1").count()
+    assert len(totals) == pitman_yor.SAMPLES and tables == sum(c for c, _ in totals) > pitman_yor.SAMPLES * 29 * 11
+    assert contexts.agg(F.sum(F.aggregate("rooms", F.lit(0.0), lambda x, y: x + y))).first()[0] == tables
+    mass = [words.agg(F.sum(F.get("mass", F.lit(k)))).first()[0] for k in range(pitman_yor.SAMPLES)]
+    assert all(math.isclose(m, c - 0.5 * t) for m, (c, t) in zip(mass, totals, strict=True))
+
+
+def test_seating_a_lone_dish_counts_its_own_tables():
+    import numpy as np
+
+    # Two customers; the second opens a table with weight base + grow against 1 - discount.
+    got = pitman_yor.tables_of(np.full(20_000, 2), np.full(20_000, 0.1), 0.5, np.random.default_rng(2), np.full(20_000, 0.4))
+    assert abs((got == 2).mean() - 0.5) < 0.015
+
+
 def brute_runs(early, late, words, least):
     out = set()
     for i in range(len(early)):
