@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslens.operators import graph as G
 from tests.conftest import rows
@@ -114,3 +115,15 @@ def test_impact(make, starts):
     note = G.impact_notes(symbols, starts("x"), out, "a/b").first()
     assert (note.definitions, note.kept, note.dropped) == (2, 2, 2)
     assert note.note.startswith("2 definitions") and note.note.endswith("; 2 references dropped by `--file` scope")
+
+
+def test_parts_are_never_broadcast(spark, capsys):
+    """A small or well packed file of parts says nothing of their number; before, tables this small were broadcast."""
+    from corpuslens.plans import bindings as B
+
+    d = "/root/testdata/sf0.001"
+    starts, deps = B.part_starts(spark, d), B.part_deps(spark, d)
+    symbols = deps.select("root_path", F.col("importee_file").alias("name"), "line")
+    for plan in (deps, B.part_calls(spark, d), G.unresolved(deps, starts), G.impact_definitions(symbols, starts)):
+        plan.explain()
+        assert "Broadcast" not in capsys.readouterr().out
