@@ -1,8 +1,8 @@
 """Posting tables on disk: words and letter triples to the files that hold them, and search by them.
 
 A posting table is cut into slots by the hash of its key, each a folder, so a lookup opens the folder of its key and no
-other; inside, rows are in order of the key, which lets row-group statistics prune the rest. Rows are dealt by ranges
-of (slot, key, file), so a key with very many files is many tasks and files.
+other; inside, rows are in order of the key, which lets row-group statistics prune the rest. Rows are dealt by slot and
+adaptive execution splits what is too big by its measured size, so a key with very many files is many tasks and files.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ def _slot(key: Column, slots: Column) -> Column:
 def write_postings(rows: DataFrame, path: str, slots: int = SLOTS) -> None:
     """Write ``rows(key, root_path, file_path, ..)``; the number of slots is a folder's name, so readers need not know it."""
     keyed = rows.withColumn("slots", F.lit(slots)).withColumn("slot", _slot(F.col("key"), F.lit(slots)))
-    order = ["slot", "key", *FILE]
-    keyed.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("slots", "slot").parquet(path)
+    # Rebalanced, not dealt by ranges: ranges are found by a sample, for which the texts would be worked through once more.
+    keyed.hint("rebalance", "slot").sortWithinPartitions("slots", "slot", "key", *FILE).write.partitionBy("slots", "slot").parquet(path)
 
 
 def read_postings(spark: SparkSession, path: str, keys: Iterable[str]) -> DataFrame:
@@ -56,7 +56,9 @@ def word_hits(spark: SparkSession, path: str, word: str, ignore_case: bool = Fal
 
 def gram_postings(files: DataFrame) -> DataFrame:
     """(key, file) for every three neighbouring signs of each text, A-Z folded, once per file."""
-    grams = F.regexp_extract_all(fold_ascii(F.col("content")), F.lit("(?s)(?=(...))"), F.lit(1))
+    text = fold_ascii(F.col("content"))
+    # Each start in turn, which needs no look-ahead at every sign.
+    grams = F.concat(*(F.regexp_extract_all(F.substr(text, F.lit(start)), F.lit("(?s)..."), F.lit(0)) for start in (1, 2, 3)))
     return files.select(F.explode_outer(F.array_distinct(grams)).alias("key"), *FILE).where("key is not null")
 
 

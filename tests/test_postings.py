@@ -64,3 +64,19 @@ def test_indexed_search_equals_the_scan(stored):
     for p in patterns:
         for fold in (False, True):
             assert rows(P.search_indexed(files, grams, p, 0, fold)) == rows(S.search(files, p, 0, fold)), p
+
+
+def test_texts_are_worked_through_once(spark, stored, tmp_path):
+    """Dealing rows by ranges took a sample of them first, so each text was worked through twice."""
+    files, words, _ = stored
+    seen = spark.sparkContext.accumulator(0)
+    index = L.identifiers(L.lines(files))
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    P.write_postings(P.word_postings(index.mapInPandas(count, index.schema)), str(tmp_path / "once"), 8)
+    assert seen.value == index.count()
+    assert rows(P.read_postings(spark, str(tmp_path / "once"), ["alpha", "foo"])) == rows(P.read_postings(spark, words, ["alpha", "foo"]))
