@@ -1,7 +1,11 @@
+import random
+import re
+
 import pytest
 
 from corpuslens.operators import extract as X
 from corpuslens.operators import lookup as L
+from corpuslens.operators import rules as R
 from corpuslens.plans.index import extract_relations
 from tests.conftest import rows
 
@@ -288,3 +292,20 @@ def test_long_lines_are_safe(tree, name, text):
     files = tree({name: text})
     made = extract_relations(files)
     assert all(df.count() >= 0 for df in (made.values() if isinstance(made, dict) else made))
+
+
+def test_every_match_holds_what_its_rule_needs():
+    """Lines without it are not matched, so the texts in ``needs`` must be parts of the pattern that no match can lack."""
+    code = {
+        "rust": "pub struct A; enum B; trait C; mod d; type E = F; const G: static mut H: pub async fn i() impl<T> J for K { m!(x) L{",
+        "javascript": "export default async function a class B interface C type D = const e let f var g static h(",
+        "python": "def a(x) class B   class C   async def d A_B = 1", "go": "func a( func (r *R) B( type C struct const d var e F{", "cpp": "int a(int b) { struct C enum class D class E inline namespace f",
+    }
+    words = {w for text in code.values() for w in re.findall(r"\w+|[^\w\s]", text)}
+    rng = random.Random(3)
+    for rule in (*R.SYMBOLS, *R.CALLS):
+        pattern = re.compile(rule.pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9"))
+        for _ in range(300):
+            line = rng.choice(("", "  ")) + rng.choice((" ", "")).join(rng.choices(sorted(words), k=rng.randrange(1, 8)))
+            if rule.needs and pattern.search(line):
+                assert any(n in line for n in rule.needs), (rule, line)
