@@ -17,8 +17,10 @@ from corpuslens.session import cut
 
 SIMILAR = 0.93
 SAMPLE = 16_384  # vectors that codebooks are fitted on, at most
-ROWS = 32  # vectors per cell that the size of the codebooks aims at
+ROWS = 8192  # vectors of a label per cell that the size of the codebooks aims at, and rows of a side that a task compares
 WORDS = 256  # words of a codebook, at most
+FEWEST = 4  # and at least
+PRODUCTS = 1 << 21  # products that are held at a time
 
 Books = dict[int, tuple[np.ndarray, np.ndarray]]
 
@@ -105,13 +107,19 @@ def _pairs(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         ids, x = t.column("rep").to_numpy(), matrix(t.column("v"))
         x /= np.linalg.norm(x, axis=1)[:, None]
         held, asked = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        near = x[asked] @ x[held].T >= least - 1e-9
-        a, b = np.nonzero(near)
-        a, b = asked[a], held[b]
-        # Borderline products are decided by one sum per pair.
-        keep = ((x[a] * x[b]).sum(axis=1) >= least) & ((own[a] != cell) | (ids[a] < ids[b]))
-        a, b = ids[a[keep]], ids[b[keep]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+        some = max(1, PRODUCTS // max(1, len(held)))
+        for at in range(0, len(asked), some):
+            part = asked[at: at + some]
+            a, b = np.nonzero(x[part] @ x[held].T >= least - 1e-9)
+            a, b = part[a], held[b]
+            first = (own[a] != cell) | (ids[a] < ids[b])
+            a, b = a[first], b[first]
+            for k in range(0, len(a), some):
+                # Borderline products are decided by one sum per pair.
+                c, d = a[k: k + some], b[k: k + some]
+                keep = (x[c] * x[d]).sum(axis=1) >= least
+                c, d = ids[c[keep]], ids[d[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(c, d), pa.int64()), pa.array(np.maximum(c, d), pa.int64())], ["a", "b"])
 
 
 def near_duplicates(vectors: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -121,7 +129,9 @@ def near_duplicates(vectors: DataFrame, least: float = SIMILAR) -> DataFrame:
     are one class, counted but not compared. Each half of the unit vectors has its own codebook, fitted on a
     bounded sample; the grid of both is the index. From each class the cells are visited in order of the least
     distance that a point in them can have, as far as a linked vector can be (``radius``), so no link is missed; each pair met is then
-    verified. Cells are compared in blocks, so a large one is many tasks.
+    verified. Cells are compared in blocks, so a large one is many tasks. A visit carries its vector, and where vectors have
+    little contrast most cells are visited; so cells are as large as a task compares at once, and visits of a vector one for ``ROWS``
+    vectors of its label, ``FEWEST ** 2`` at least.
 
     Vectors that are null, zero, or hold null or non-finite components, and those with a null label, are linked with nothing
     and are their own component. Vectors of different length are never linked. Rows with equal vec_id are linked as any two rows and
@@ -133,10 +143,11 @@ def near_duplicates(vectors: DataFrame, least: float = SIMILAR) -> DataFrame:
     rows, _ = cut(rows.withColumn("print", F.xxhash64("v")), "vectors")
     key = ["label", "print", "v"]
     classes, total = cut(rows.where("fit").groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("many")), "classes")
+    most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    words = int(np.clip(np.sqrt(most / ROWS), FEWEST, WORDS))
     books: Books = {}
     for n, x in sample(classes, "v", SAMPLE, total).items():
         x = x / np.linalg.norm(x, axis=1)[:, None]
-        words = int(np.clip(np.sqrt(total / ROWS), 1, WORDS))
         books[n] = (codebook(x[:, : n // 2], words), codebook(x[:, n // 2:], words)) if n > 1 else (np.zeros((1, 0)), np.zeros((1, 1)))
     kind = classes.schema["v"].dataType.simpleString()
     placed = classes.select("rep", "label", "v", F.size("v").alias("size")).mapInArrow(
@@ -144,7 +155,7 @@ def near_duplicates(vectors: DataFrame, least: float = SIMILAR) -> DataFrame:
     placed, _ = cut(placed, "placed")
     held = placed.select("label", "size", F.col("own").alias("cell"), "rep", "own", "v")
     asked = placed.select("label", "size", F.explode("visits").alias("cell"), "rep", "own", "v")
-    pairs = blocked(held, asked, ["label", "size", "cell"], "rep").mapInArrow(partial(_pairs, least=least), "a long, b long")
+    pairs = blocked(held, asked, ["label", "size", "cell"], "rep", ROWS).mapInArrow(partial(_pairs, least=least), "a long, b long")
     pairs, _ = cut(pairs, "links")
     many = classes.select("rep", "many")
     ends = pairs.union(pairs.select("b", "a")).toDF("rep", "other")

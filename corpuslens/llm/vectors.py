@@ -32,15 +32,15 @@ def sample(rows: DataFrame, vector: str, most: int, total: int) -> dict[int, np.
     return {n: np.array(sorted(vs), np.float64) for n, vs in by.items()}
 
 
-def blocked(held: DataFrame, asked: DataFrame, keys: list[str], spread: str) -> DataFrame:
+def blocked(held: DataFrame, asked: DataFrame, keys: list[str], spread: str, block: int = BLOCK) -> DataFrame:
     """Both sides of each group of ``keys`` in blocks, as rows of (keys, i, j, side, other columns), grouped and sorted.
 
-    Rows of ``held`` (side 0) and of ``asked`` (side 1) with equal keys meet in one (keys, i, j) each. Blocks have about ``BLOCK``
+    Rows of ``held`` (side 0) and of ``asked`` (side 1) with equal keys meet in one (keys, i, j) each. Blocks have about ``block``
     rows of either side, so a group that holds a large share of all rows is many groups; ``spread`` is a column that deals rows.
     """
     parts = []
     for side, df in enumerate((held, asked)):
-        sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(f"parts{side}"))
+        sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(f"parts{side}"))
         parts.append(sizes)
     sizes = parts[0].join(parts[1], keys)
     out = []
