@@ -18,13 +18,17 @@ SIMILAR = 75  # least 100 * intersection / union
 SIDE = 16  # sub-tables of each of the two collections
 DEPTH = 3  # minhashes of a sub-table's key
 TRIES = 4  # most alike classes of larger components that a class of a bucket is compared with in a round
-MORE = 8  # by what the tries of the last rounds grow when a round links nothing
+MORE = 64  # by what the tries of the last rounds grow when a round links nothing
+FIRST = 8  # of so many buckets one is used in the round that tries most alike classes of any component
 LEAST = 48  # minhashes, of the 96, that agree: at the least similarity 72 do on average, with a deviation of about 4
+BITS = 1024  # parities of a sketch: each of the number of shingles whose hashes fall there
 BLOCK = 512  # classes of a bucket that a task compares at a time, with as many others
+HELD = 1 << 18  # pairs to try that a task holds before it tells each of them once
 
 _rng = np.random.default_rng(77)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SHORT = np.uint64(0xC2B2AE3D27D4EB4F)
+_ODD = np.uint64(0xA0761D6478BD642F)
 _MULT = _rng.integers(1, 1 << 63, 2 * SIDE * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -63,6 +67,21 @@ def sub_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return keys, marks
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of ``BITS`` bits for each set: whether an odd number of its shingles falls on a bit.
+
+    Shingles of both sets cancel out, so bits in which two rows differ are never more than the shingles that only one set has."""
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = (mix(np.concatenate(sets) * _ODD) & np.uint64(BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(of * BITS + at, minlength=len(sets) * BITS) & 1).astype(bool).reshape(-1, BITS), axis=1)
+
+
+def unlike(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether parities ``x`` and ``y`` alone show that sets of ``sizes`` shingles together are less than ``SIMILAR``."""
+    differ = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)).sum(axis=-1, dtype=np.int64)
+    return (100 + SIMILAR) * differ > (100 - SIMILAR) * sizes
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
@@ -72,8 +91,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = [s for s in sets if len(s)]
             keys, bytes_of = sub_keys(full) if full else (np.zeros((0, 2 * SIDE), np.uint64), np.zeros((0, len(_MULT)), np.uint8))
             marks: list[bytes | None] = [None] * len(sets)
-            for i, row in zip(np.flatnonzero(n), bytes_of, strict=True):
-                marks[i] = row.tobytes()
+            for i, row, bits in zip(np.flatnonzero(n), bytes_of, parities(full) if full else bytes_of, strict=True):
+                marks[i] = row.tobytes() + bits.tobytes()
             every = np.concatenate([*full, np.zeros(0, np.uint64)])
             starts = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
             prints = [np.zeros(len(sets), np.uint64) for _ in range(2)]
@@ -108,9 +127,15 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
 
+def _parted(marks: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of minhashes, and parities."""
+    both = np.frombuffer(b"".join(marks.to_pylist()), np.uint8).reshape(-1, len(_MULT) + BITS // 8)
+    return both[:, : len(_MULT)], np.ascontiguousarray(both[:, len(_MULT):])
+
+
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, len(_MULT)) for c in (2, 3))
+        x, y = (_parted(batch.column(c))[0] for c in (2, 3))
         yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= LEAST))
 
 
@@ -123,6 +148,8 @@ def plausible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
 def confirmed(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, int, DataFrame, int]:
     """The pairs (a, b) whose full sets are similar enough, and their number; all pairs, and theirs. Only texts of documents in a pair move."""
     near, many = cut(pairs, "plausible")
+    if not many:
+        return near, 0, near, 0
     near = F.broadcast(near) if many <= LISTED else near
     ids = listed(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -135,39 +162,52 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> tuple[DataFrame, int, DataFr
 def _within(batches: Iterator[pa.RecordBatch], tries: int, every: bool) -> Iterator[pa.RecordBatch]:
     """In each run of rows of one (key, i, j), that is two blocks of a bucket or one: the pairs to try, of different components.
 
-    Each class tries its most alike ones of larger components: the best ``tries``, or with ``every`` as many of each component."""
+    Each class tries its most alike ones of larger components: the best ``tries``, or with ``every`` as many of each component.
+    Those that their parities show to be less than ``SIMILAR`` are none to try. A pair that many buckets hold is told once for many of them."""
 
-    def pairs(t: pa.Table) -> pa.RecordBatch:
+    def pairs(t: pa.Table) -> np.ndarray:
+        """Rows of both ids and 1 if their class has more to try than it may."""
         block, doc, size, top = (t.column(c).to_numpy() for c in ("block", "doc_id", "n", "component"))
-        mark = np.frombuffer(b"".join(t.column("mark").to_pylist()), np.uint8).reshape(-1, len(_MULT))
+        mark, bits = _parted(t.column("mark"))
         alone = t.column("i")[0].as_py() == t.column("j")[0].as_py()
         _, of, count = np.unique(top, return_inverse=True, return_counts=True)
         weight = count[of] * len(count) + of  # orders components by their size here
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[np.ndarray] = []
         for k in range(len(doc)):
             o = np.flatnonzero((weight > weight[k]) & (alone | (block != block[k])))
             o = o[100 * np.minimum(size[o], size[k]) >= SIMILAR * np.maximum(size[o], size[k])]
+            o = o[~unlike(bits[o], bits[k], size[o] + size[k])]
             if len(o):
                 agree = (mark[o] == mark[k]).sum(axis=1)
                 o, agree = o[agree >= LEAST], agree[agree >= LEAST]
                 o = o[np.lexsort((-agree, weight[o]) if every else (-agree,))]
                 # With ``every``, places in the run of a component.
-                o = o[np.arange(len(o)) - np.searchsorted(weight[o], weight[o]) < tries] if every else o[:tries]
-                found.append((np.minimum(doc[o], doc[k]), np.maximum(doc[o], doc[k])))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 2, ["a", "b"])
+                p = o[np.arange(len(o)) - np.searchsorted(weight[o], weight[o]) < tries] if every else o[:tries]
+                found.append(np.stack([np.minimum(doc[p], doc[k]), np.maximum(doc[p], doc[k]), np.full(len(p), len(p) < len(o))], axis=1))
+        return np.concatenate([np.zeros((0, 3), np.int64), *found])
+
+    def told(held: list[np.ndarray]) -> pa.RecordBatch:
+        once = np.unique(np.concatenate(held), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in once.T], ["a", "b", "more"])
 
+    held, many = [np.zeros((0, 3), np.int64)], 0
     for t in runs(batches, ["key", "i", "j"]):
-        yield pairs(t)
+        held.append(pairs(t))
+        many += len(held[-1])
+        if many > HELD:
+            yield told(held)
+            held, many = held[:1], 0
+    yield told(held)
 
 
-def _labelled(rows: DataFrame, member: DataFrame) -> tuple[DataFrame, int]:
-    """``rows`` of buckets that more than one component reaches, with the component of each, one bucket of those with the same members; and the most members."""
+def _labelled(rows: DataFrame, member: DataFrame) -> DataFrame:
+    """``rows`` of buckets that more than one component reaches, with the component of each, one bucket of those with the same members."""
     rows = rows.join(member.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     whole = rows.groupBy("key").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"),
         F.sum(F.shiftright(F.xxhash64("doc_id"), 24)).alias("print")).where("lo < hi")
     once = whole.groupBy("members", "print").agg(F.min("key").alias("key"))
-    return cut(rows.join(once.select("key", "members"), "key").select("key", "doc_id", "n", "component", "members"), "mixed", F.max("members"))
+    return cut(rows.join(once.select("key", "members"), "key").select("key", "doc_id", "n", "component", "members"), "mixed")[0]
 
 
 def _ties(rows: DataFrame) -> DataFrame:
@@ -181,12 +221,12 @@ def _ties(rows: DataFrame) -> DataFrame:
 
 
 def _closest(rows: DataFrame, marks: DataFrame, tries: int, every: bool) -> DataFrame:
-    """Within buckets, in blocks of bounded size: pairs of classes of different components to try next."""
+    """Within buckets, in blocks of bounded size: pairs of classes of different components to try next; more: 1 if not all were told."""
     rows = rows.join(marks, "doc_id").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc_id", "n", "component", "mark")
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(partial(_within, tries=tries, every=every), "a long, b long").distinct()
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(partial(_within, tries=tries, every=every), "a long, b long, more long").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -199,10 +239,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Equal sets are one class from the start. Keys that no other class has are dropped before
     pairs of keys are formed. Each class is first tied to one pivot of its buckets. Then, round by round, each class
-    tries in every bucket its most alike classes of larger components it is still apart from; then
+    tries in some buckets its most alike classes of larger components it is still apart from; then, in every bucket,
     the most alike class of each such component. Tried pairs are remembered. When that links nothing, ``MORE`` times as many
     are tried of each component, until the buckets of classes still apart have no plausible pair left that was not tried. So a large
-    group of copies costs a few tries each; only pairs of classes that stay apart are all tried.
+    group of copies costs a few tries each; only pairs of classes that stay apart are all tried, and of these only such as
+    neither minhashes nor parities (odd sketches, which never rule out a link) tell apart.
     Buckets are compared in blocks of bounded size.
 
     Null or empty text has no shingles, is linked with nothing and is its own component. Rows with
@@ -232,15 +273,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried, total = linked, 0
     turn, tries = 0, TRIES
     while True:
-        rows, most = _labelled(rows.select("key", "doc_id", "n"), member)
+        rows = _labelled(rows.select("key", "doc_id", "n"), member)
         every = turn > 1
-        pairs = _closest(rows, marks, tries, every) if turn else plausible(_ties(rows), marks)
-        pairs = pairs.join(F.broadcast(tried) if total <= LISTED else tried, ["a", "b"], "left_anti")
+        # Like classes share many buckets, and would be told in each of them; the rounds after this one use all.
+        used = rows.where(F.pmod(F.xxhash64("key"), F.lit(FIRST)) == 0) if turn == 1 else rows
+        pairs, more = cut(_closest(used, marks, tries, every), "closest", F.max("more")) if turn else (plausible(_ties(rows), marks), 1)
+        pairs = pairs.select("a", "b").join(F.broadcast(tried) if total <= LISTED else tried, ["a", "b"], "left_anti")
         new, found, near, many = confirmed(docs, pairs)
         linked, tried, total = linked.union(new), tried.union(near), total + many
         member = listed(components(linked), "member") if found else member
         if every and not found:
-            if tries >= most:
+            if not more:
                 break
             tries *= MORE
         turn += 1

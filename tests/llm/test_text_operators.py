@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -386,3 +387,35 @@ def test_minhash_tries_on_until_a_class_links(docs):
         rows += [(100 * g + k, " ".join(c)) for k, c in enumerate([words, *copies])]
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(rows)).collect()}
     assert got == {i: i - i % 100 for i, _ in rows}
+
+
+def test_minhash_parities_rule_out_no_link():
+    rng = np.random.default_rng(4)
+    x, sums, under = [], [], []
+    for n in (1, 7, 140, 700, 3000):
+        for share in (0.0, 0.05, 0.125, 0.14, 0.143, 0.15, 0.2, 0.5):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[int(n * share):], rng.integers(0, 1 << 63, int(n * share), dtype=np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            x += [a, b]
+            sums.append(len(a) + len(b))
+            under.append(100 * both < 75 * (sums[-1] - both))
+    bits = minhash.parities(x)
+    got = minhash.unlike(bits[::2], bits[1::2], np.array(sums))
+    assert not (got & ~np.array(under)).any() and got[np.array(under) & (np.array(sums) == 280)].sum() >= 2
+
+
+def test_minhash_group_of_near_copies_costs_no_square(docs, monkeypatch):
+    """Copies that are all about as like to each other, but not enough, stay apart; before, all pairs of them were moved and confirmed on full sets."""
+    rng, rows = random.Random(5), []
+    words = prose(rng, 150).split()
+    for k in range(120):
+        copy = list(words)
+        for at in rng.sample(range(150), 5 if k % 2 else 7):
+            copy[at] = f"new{rng.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    tried, old = [], minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda *a: tried.append(old(*a)) or tried[-1])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs(rows)).collect()}
+    assert got == brute_minhash(rows)
+    assert sum(t[3] for t in tried) < 1500
