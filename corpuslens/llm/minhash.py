@@ -22,7 +22,7 @@ MORE = 64  # by what the tries of the last rounds grow when a round links nothin
 FIRST = 8  # of so many buckets one is used in the round that tries most alike classes of any component
 LEAST = 48  # minhashes, of the 96, that agree: at the least similarity 72 do on average, with a deviation of about 4
 BITS = 1024  # parities of a sketch: each of the number of shingles whose hashes fall there
-BLOCK = 512  # classes of a bucket that a task compares at a time, with as many others
+BLOCK = 4_096  # classes of a bucket that a task compares at a time, with as many others; each class is sent once for every block of its bucket
 HELD = 1 << 18  # pairs to try that a task holds before it tells each of them once
 
 _rng = np.random.default_rng(77)
@@ -165,14 +165,13 @@ def _within(batches: Iterator[pa.RecordBatch], tries: int, every: bool) -> Itera
     Each class tries its most alike ones of larger components: the best ``tries``, or with ``every`` as many of each component.
     Those that their parities show to be less than ``SIMILAR`` are none to try. A pair that many buckets hold is told once for many of them."""
 
-    def pairs(t: pa.Table) -> np.ndarray:
-        """Rows of both ids and 1 if their class has more to try than it may."""
+    def pairs(t: pa.Table) -> Iterator[np.ndarray]:
+        """For each class rows of both ids and 1 if it has more to try than it may."""
         block, doc, size, top = (t.column(c).to_numpy() for c in ("block", "doc_id", "n", "component"))
         mark, bits = _parted(t.column("mark"))
         alone = t.column("i")[0].as_py() == t.column("j")[0].as_py()
         _, of, count = np.unique(top, return_inverse=True, return_counts=True)
         weight = count[of] * len(count) + of  # orders components by their size here
-        found: list[np.ndarray] = []
         for k in range(len(doc)):
             o = np.flatnonzero((weight > weight[k]) & (alone | (block != block[k])))
             o = o[100 * np.minimum(size[o], size[k]) >= SIMILAR * np.maximum(size[o], size[k])]
@@ -183,8 +182,7 @@ def _within(batches: Iterator[pa.RecordBatch], tries: int, every: bool) -> Itera
                 o = o[np.lexsort((-agree, weight[o]) if every else (-agree,))]
                 # With ``every``, places in the run of a component.
                 p = o[np.arange(len(o)) - np.searchsorted(weight[o], weight[o]) < tries] if every else o[:tries]
-                found.append(np.stack([np.minimum(doc[p], doc[k]), np.maximum(doc[p], doc[k]), np.full(len(p), len(p) < len(o))], axis=1))
-        return np.concatenate([np.zeros((0, 3), np.int64), *found])
+                yield np.stack([np.minimum(doc[p], doc[k]), np.maximum(doc[p], doc[k]), np.full(len(p), len(p) < len(o))], axis=1)
 
     def told(held: list[np.ndarray]) -> pa.RecordBatch:
         once = np.unique(np.concatenate(held), axis=0)
@@ -192,22 +190,29 @@ def _within(batches: Iterator[pa.RecordBatch], tries: int, every: bool) -> Itera
 
     held, many = [np.zeros((0, 3), np.int64)], 0
     for t in runs(batches, ["key", "i", "j"]):
-        held.append(pairs(t))
-        many += len(held[-1])
-        if many > HELD:
-            yield told(held)
-            held, many = held[:1], 0
+        for found in pairs(t):
+            held.append(found)
+            many += len(found)
+            if many > HELD:
+                yield told(held)
+                held, many = held[:1], 0
     yield told(held)
 
 
-def _labelled(rows: DataFrame, member: DataFrame) -> DataFrame:
-    """``rows`` of buckets that more than one component reaches, with the component of each, one bucket of those with the same members."""
+def _labelled(rows: DataFrame, member: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` of buckets that more than one component reaches, with the component of each, one bucket of those with the same members; most members."""
     rows = rows.join(member.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     whole = rows.groupBy("key").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members"),
         F.sum(F.shiftright(F.xxhash64("doc_id"), 24)).alias("print")).where("lo < hi")
     once = whole.groupBy("members", "print").agg(F.min("key").alias("key"))
-    return cut(rows.join(once.select("key", "members"), "key").select("key", "doc_id", "n", "component", "members"), "mixed")[0]
+    return cut(rows.join(once.select("key", "members"), "key").select("key", "doc_id", "n", "component", "members"), "mixed", F.max("members"))
+
+
+def _unfinished(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``rows`` of buckets with a class that had more to try than was told in ``pairs`` (a, b, more). All plausible pairs of the others have been told."""
+    left = listed(pairs.where("more = 1").select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "unfinished")
+    return rows.join(rows.join(left, "doc_id", "left_semi").select("key").distinct(), "key", "left_semi")
 
 
 def _ties(rows: DataFrame) -> DataFrame:
@@ -215,16 +220,16 @@ def _ties(rows: DataFrame) -> DataFrame:
     order = F.xxhash64("doc_id")
     pivots = rows.groupBy("key").agg(F.min_by("doc_id", order).alias("x"), F.max_by("doc_id", order).alias("y"))
     pivots = pivots.select("key", F.explode(F.array("x", "y")).alias("pivot"))
-    ties = rows.join(pivots, "key").where("doc_id != pivot").groupBy("doc_id", "pivot").count()
+    ties = rows.select("key", "doc_id").join(pivots, "key").where("doc_id != pivot").groupBy("doc_id", "pivot").count()
     ties = ties.groupBy("doc_id").agg(F.max(F.struct("count", "pivot")).alias("best"))
     return ties.select(F.least("doc_id", "best.pivot").alias("a"), F.greatest("doc_id", "best.pivot").alias("b")).distinct()
 
 
-def _closest(rows: DataFrame, marks: DataFrame, tries: int, every: bool) -> DataFrame:
-    """Within buckets, in blocks of bounded size: pairs of classes of different components to try next; more: 1 if not all were told."""
+def _closest(rows: DataFrame, marks: DataFrame, tries: int, every: bool, most: int) -> DataFrame:
+    """Within buckets of up to ``most`` classes, in blocks of bounded size: pairs of classes of different components to try next; more: 1 if not all were told."""
     rows = rows.join(marks, "doc_id").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if most > BLOCK else F.lit(0))
     rows = rows.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc_id", "n", "component", "mark")
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(partial(_within, tries=tries, every=every), "a long, b long, more long").groupBy("a", "b").agg(F.max("more").alias("more"))
 
@@ -238,13 +243,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of 2 * (1 - 0.75 ** DEPTH) ** SIDE, about 0.0003; at 0.8 it is below 0.00003.
 
     Equal sets are one class from the start. Keys that no other class has are dropped before
-    pairs of keys are formed. Each class is first tied to one pivot of its buckets. Then, round by round, each class
+    pairs of keys are formed. Each class is first tied to one pivot of the buckets of its single keys. Then, round by round, each class
     tries in some buckets its most alike classes of larger components it is still apart from; then, in every bucket,
     the most alike class of each such component. Tried pairs are remembered. When that links nothing, ``MORE`` times as many
     are tried of each component, until the buckets of classes still apart have no plausible pair left that was not tried. So a large
     group of copies costs a few tries each; only pairs of classes that stay apart are all tried, and of these only such as
     neither minhashes nor parities (odd sketches, which never rule out a link) tell apart.
-    Buckets are compared in blocks of bounded size.
+    A bucket of which all plausible pairs have been tried is left out of later rounds. Buckets are compared in blocks of bounded size.
 
     Null or empty text has no shingles, is linked with nothing and is its own component. Rows with
     equal doc_id are one document (their texts must agree) and all get a row; a null doc_id is not linked and has null
@@ -259,11 +264,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = keyed.select("doc_id", "n_shingles", F.posexplode("keys").alias("j", "h"))
     met = keys.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
     keys = keys.join(met, "h", "left_semi")
+    keys, _ = cut(keys.select("doc_id", F.col("n_shingles").alias("n"), F.col("h").alias("key"), "j"), "keys")
     # One array of keys per collection: at most SIDE each.
-    sides = keys.groupBy("doc_id", "n_shingles").agg(
-        F.collect_list(F.when(F.col("j") < SIDE, F.col("h"))).alias("one"), F.collect_list(F.when(F.col("j") >= SIDE, F.col("h"))).alias("two"))
+    sides = keys.groupBy("doc_id", "n").agg(
+        F.collect_list(F.when(F.col("j") < SIDE, F.col("key"))).alias("one"), F.collect_list(F.when(F.col("j") >= SIDE, F.col("key"))).alias("two"))
     rows, _ = cut(
-        sides.select("doc_id", F.col("n_shingles").alias("n"), F.explode("one").alias("x"), "two")
+        sides.select("doc_id", "n", F.explode("one").alias("x"), "two")
         .select("doc_id", "n", F.explode("two").alias("y"), "x").select("doc_id", "n", F.xxhash64("x", "y").alias("key")), "tables")
     buckets = rows.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
     rows = rows.join(buckets, "key", "left_semi")
@@ -273,11 +279,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried, total = linked, 0
     turn, tries = 0, TRIES
     while True:
-        rows = _labelled(rows.select("key", "doc_id", "n"), member)
+        # Ties need no pairs of keys: the buckets of single ones are an eighth as many rows, and their pivots meet more classes.
+        named = ["key", "doc_id", "n"]
+        mixed, most = _labelled((rows if turn else keys).select(*named), member)
         every = turn > 1
         # Like classes share many buckets, and would be told in each of them; the rounds after this one use all.
-        used = rows.where(F.pmod(F.xxhash64("key"), F.lit(FIRST)) == 0) if turn == 1 else rows
-        pairs, more = cut(_closest(used, marks, tries, every), "closest", F.max("more")) if turn else (plausible(_ties(rows), marks), 1)
+        used = mixed.where(F.pmod(F.xxhash64("key"), F.lit(FIRST)) == 0) if turn == 1 else mixed
+        pairs, more = cut(_closest(used, marks, tries, every, most), "closest", F.max("more")) if turn else (plausible(_ties(mixed), marks), 1)
+        rows = _unfinished(mixed, pairs) if every else mixed if turn else rows
         pairs = pairs.select("a", "b").join(F.broadcast(tried) if total <= LISTED else tried, ["a", "b"], "left_anti")
         new, found, near, many = confirmed(docs, pairs)
         linked, tried, total = linked.union(new), tried.union(near), total + many

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -419,3 +420,39 @@ def test_minhash_group_of_near_copies_costs_no_square(docs, monkeypatch):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs(rows)).collect()}
     assert got == brute_minhash(rows)
     assert sum(t[3] for t in tried) < 1500
+
+
+def test_minhash_large_bucket_is_sent_once(shipped, monkeypatch):
+    def counted(batches, tries, every):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(list(range(batch.num_rows))), pa.array([1] * batch.num_rows)], ["a", "b", "more"])
+
+    monkeypatch.setattr(minhash, "_within", counted)
+    spark = shipped
+    rows = spark.range(1_500).select(F.lit(7).cast("long").alias("key"), F.col("id").alias("doc_id"), F.lit(9).cast("long").alias("n"),
+                                     F.col("id").alias("component"), F.lit(1_500).cast("long").alias("members"))
+    marks = spark.range(1_500).select(F.col("id").alias("doc_id"), F.lit(b"m").alias("mark"))
+    # As many rows as classes: none is sent for a second block.
+    sent = minhash._closest(rows, marks, 1, False, 1_500).agg(F.count("a"), F.sum("more")).first()
+    assert tuple(sent) == (1_500, 1_500)
+
+
+def test_minhash_blocks_and_finished_buckets_lose_no_link(docs, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(w if rng.random() > 0.02 else f"x{rng.random()}" for w in base)) for k in range(80)]
+    want = brute_minhash(rows)
+    assert len({top for _, top, _ in want.values()}) > 1
+    for block in (8, 1_000):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        got = minhash.near_duplicates(docs(rows)).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == want
+
+
+def test_minhash_tells_pairs_of_a_bucket_as_they_are_found():
+    n = 800
+    same = bytes(len(minhash._MULT) + minhash.BITS // 8)
+    one = pa.table({"key": [1] * n, "i": [0] * n, "j": [0] * n, "block": [0] * n, "doc_id": list(range(n)), "n": [10] * n, "component": list(range(n)), "mark": [same] * n})
+    told = list(minhash._within(iter(one.to_batches()), n, True))
+    assert sum(b.num_rows for b in told) == n * (n - 1) // 2
+    assert max(b.num_rows for b in told) <= minhash.HELD + n
