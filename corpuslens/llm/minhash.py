@@ -18,7 +18,7 @@ SIMILAR = 75  # least 100 * intersection / union
 SIDE = 16  # sub-tables of each of the two collections
 DEPTH = 3  # minhashes of a sub-table's key
 TRIES = 4  # most alike classes of larger components that a class of a bucket is compared with in a round
-MORE = 64  # by what the tries of the last rounds grow when a round links nothing
+MORE = 64  # tries of the first round over all buckets, and by what they grow from round to round
 FIRST = 8  # of so many buckets one is used in the round that tries most alike classes of any component
 LEAST = 48  # minhashes, of the 96, that agree: at the least similarity 72 do on average, with a deviation of about 4
 BITS = 1024  # parities of a sketch: each of the number of shingles whose hashes fall there
@@ -166,12 +166,13 @@ def _within(batches: Iterator[pa.RecordBatch], tries: int, every: bool) -> Itera
     Those that their parities show to be less than ``SIMILAR`` are none to try. A pair that many buckets hold is told once for many of them."""
 
     def pairs(t: pa.Table) -> Iterator[np.ndarray]:
-        """For each class rows of both ids and 1 if it has more to try than it may."""
+        """For each class rows of both ids and 0; then of each class that is in a pair not told, twice its id and 1."""
         block, doc, size, top = (t.column(c).to_numpy() for c in ("block", "doc_id", "n", "component"))
         mark, bits = _parted(t.column("mark"))
         alone = t.column("i")[0].as_py() == t.column("j")[0].as_py()
         _, of, count = np.unique(top, return_inverse=True, return_counts=True)
         weight = count[of] * len(count) + of  # orders components by their size here
+        left = np.zeros(len(doc), bool)
         for k in range(len(doc)):
             o = np.flatnonzero((weight > weight[k]) & (alone | (block != block[k])))
             o = o[100 * np.minimum(size[o], size[k]) >= SIMILAR * np.maximum(size[o], size[k])]
@@ -181,8 +182,12 @@ def _within(batches: Iterator[pa.RecordBatch], tries: int, every: bool) -> Itera
                 o, agree = o[agree >= LEAST], agree[agree >= LEAST]
                 o = o[np.lexsort((-agree, weight[o]) if every else (-agree,))]
                 # With ``every``, places in the run of a component.
-                p = o[np.arange(len(o)) - np.searchsorted(weight[o], weight[o]) < tries] if every else o[:tries]
-                yield np.stack([np.minimum(doc[p], doc[k]), np.maximum(doc[p], doc[k]), np.full(len(p), len(p) < len(o))], axis=1)
+                now = (np.arange(len(o)) - np.searchsorted(weight[o], weight[o]) if every else np.arange(len(o))) < tries
+                p = o[now]
+                left[o[~now]] = True
+                left[k] |= len(p) < len(o)
+                yield np.stack([np.minimum(doc[p], doc[k]), np.maximum(doc[p], doc[k]), np.zeros(len(p), np.int64)], axis=1)
+        yield np.stack([doc[left], doc[left], np.ones(left.sum(), np.int64)], axis=1)
 
     def told(held: list[np.ndarray]) -> pa.RecordBatch:
         once = np.unique(np.concatenate(held), axis=0)
@@ -210,9 +215,9 @@ def _labelled(rows: DataFrame, member: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _unfinished(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``rows`` of buckets with a class that had more to try than was told in ``pairs`` (a, b, more). All plausible pairs of the others have been told."""
-    left = listed(pairs.where("more = 1").select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "unfinished")
-    return rows.join(rows.join(left, "doc_id", "left_semi").select("key").distinct(), "key", "left_semi")
+    """``rows`` of the classes that are in a plausible pair which ``pairs`` (a, b, more) does not tell; those with more = 1 name them."""
+    left = listed(pairs.where("more = 1").select(F.col("a").alias("doc_id")).distinct(), "unfinished")
+    return rows.join(left, "doc_id", "left_semi")
 
 
 def _ties(rows: DataFrame) -> DataFrame:
@@ -226,7 +231,7 @@ def _ties(rows: DataFrame) -> DataFrame:
 
 
 def _closest(rows: DataFrame, marks: DataFrame, tries: int, every: bool, most: int) -> DataFrame:
-    """Within buckets of up to ``most`` classes, in blocks of bounded size: pairs of classes of different components to try next; more: 1 if not all were told."""
+    """Within buckets of up to ``most`` classes, in blocks of bounded size: pairs of classes of different components to try next; with more = 1, twice a class that is in a pair not told."""
     rows = rows.join(marks, "doc_id").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)) if most > BLOCK else F.lit(0))
@@ -244,12 +249,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Equal sets are one class from the start. Keys that no other class has are dropped before
     pairs of keys are formed. Each class is first tied to one pivot of the buckets of its single keys. Then, round by round, each class
-    tries in some buckets its most alike classes of larger components it is still apart from; then, in every bucket,
-    the most alike class of each such component. Tried pairs are remembered. When that links nothing, ``MORE`` times as many
-    are tried of each component, until the buckets of classes still apart have no plausible pair left that was not tried. So a large
+    tries in some buckets its most alike classes of larger components it is still apart from, then the most alike class of each such component; then, in every bucket,
+    the ``MORE`` most alike classes of each. Tried pairs are remembered. ``MORE`` times as many
+    are tried in each round from there, by classes that have a plausible pair left that was not tried, until none has. So a large
     group of copies costs a few tries each; only pairs of classes that stay apart are all tried, and of these only such as
     neither minhashes nor parities (odd sketches, which never rule out a link) tell apart.
-    A bucket of which all plausible pairs have been tried is left out of later rounds. Buckets are compared in blocks of bounded size.
+    A class is left out of later rounds once all its plausible pairs have been tried. Buckets are compared in blocks of bounded size.
 
     Null or empty text has no shingles, is linked with nothing and is its own component. Rows with
     equal doc_id are one document (their texts must agree) and all get a row; a null doc_id is not linked and has null
@@ -283,20 +288,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         named = ["key", "doc_id", "n"]
         mixed, most = _labelled((rows if turn else keys).select(*named), member)
         every = turn > 1
-        # Like classes share many buckets, and would be told in each of them; the rounds after this one use all.
-        used = mixed.where(F.pmod(F.xxhash64("key"), F.lit(FIRST)) == 0) if turn == 1 else mixed
+        # Like classes share many buckets, and would be told in each of them; the rounds after these two use all.
+        used = mixed.where(F.pmod(F.xxhash64("key"), F.lit(FIRST)) == 0) if turn in (1, 2) else mixed
         pairs, more = cut(_closest(used, marks, tries, every, most), "closest", F.max("more")) if turn else (plausible(_ties(mixed), marks), 1)
-        rows = _unfinished(mixed, pairs) if every else mixed if turn else rows
-        pairs = pairs.select("a", "b").join(F.broadcast(tried) if total <= LISTED else tried, ["a", "b"], "left_anti")
+        rows = _unfinished(mixed, pairs) if turn > 2 else mixed if turn else rows
+        pairs = pairs.where("a != b").select("a", "b").join(F.broadcast(tried) if total <= LISTED else tried, ["a", "b"], "left_anti")
         new, found, near, many = confirmed(docs, pairs)
         linked, tried, total = linked.union(new), tried.union(near), total + many
         member = listed(components(linked), "member") if found else member
-        if every and not found:
-            if not more:
-                break
-            tries *= MORE
+        if turn > 2 and not more:
+            break
         turn += 1
-        tries = 1 if turn == 2 else tries
+        # Large components are linked by the most alike class of each, before more are told at once.
+        tries = 1 if turn == 2 else MORE ** (turn - 2) if turn > 2 else tries
     of = classes.join(member, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("top"))
     out = signed.drop("keys", "mark").join(of, same, "left")
     top = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("top")).otherwise(F.col("doc_id")))
