@@ -93,6 +93,38 @@ def unresolved(dep_rows: DataFrame, starts: DataFrame) -> DataFrame:
     return open_targets.join(starts.select("root_path", "start").distinct(), ["root_path", "start"], "left_semi")
 
 
+def closure(links: DataFrame) -> DataFrame:
+    """(src, dst, hop) of all nodes that each node of ``links(src, dst)`` leads to, at their least hop; none leads to itself.
+
+    What lies more than n hops away lies behind a node exactly n hops away, so each round doubles the hops that are known: as
+    many rounds as the logarithm of the longest walk. Bounded by nothing but the result; for a few starts use :func:`reach`.
+    """
+    hop = 1
+    layer, n = cut(links.where("src <> dst").select("src", "dst", F.lit(hop).alias("hop")).distinct(), "closure")
+    known = layer
+    while n:
+        # Only what the last round found can be ``hop`` hops away.
+        ends = layer.where(F.col("hop") == hop).select("src", F.col("dst").alias("mid"))
+        on = known.select(F.col("src").alias("mid"), "dst", (F.col("hop") + hop).alias("hop"))
+        found = ends.join(on, "mid").where("src <> dst").groupBy("src", "dst").agg(F.min("hop").alias("hop"))
+        hop *= 2
+        layer, n = cut(found.join(known.select("src", "dst"), ["src", "dst"], "left_anti"), "closure", F.count_if(F.col("hop") == hop))
+        known = known.unionByName(layer)
+    return known
+
+
+def whole_walk_sizes(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(root_path, start, direction, hop, n): nodes per start, direction and hop of the walks both ways, on to their ends."""
+    named, _ = cut(edges.select("root_path", "src", "dst").dropna().where("src <> dst").distinct(), "edges")
+    names, links = _numbered(named)
+    walk = closure(links)
+    side = lambda end, direction: walk.select(F.col(end).alias("node"), F.lit(direction).alias("direction"), "hop")
+    # What leads to a node is the same closure, seen from its other end.
+    sizes = side("src", "forward").unionByName(side("dst", "reverse")).groupBy("node", "direction", "hop").agg(F.count(F.lit(1)).alias("n"))
+    asked = names.withColumnRenamed("name", "start").join(starts.select("root_path", "start").distinct(), ["root_path", "start"], "left_semi")
+    return sizes.join(asked, "node").select("root_path", "start", "direction", "hop", "n")
+
+
 def hop_sizes(walk: DataFrame) -> DataFrame:
     """Nodes per start and hop."""
     return walk.groupBy("root_path", "start", "hop").agg(F.count(F.lit(1)).alias("n"))

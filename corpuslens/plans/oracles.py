@@ -198,9 +198,13 @@ def walk(name: str, edges: str, hops: int, starts: str = "starts") -> str:
 REV = "rev AS (SELECT root_path, dst AS src, src AS dst FROM edges)"
 ORACLES["deps_forward"] = f"WITH RECURSIVE {LINKS}, {walk('w', 'edges', 3)} SELECT root_path, start, node, hop FROM w"
 ORACLES["deps_reverse"] = f"WITH RECURSIVE {LINKS}, {REV}, {walk('w', 'rev', 2)} SELECT root_path, start, node, hop FROM w"
-ORACLES["deps_both"] = f"""WITH {LINKS}, u AS (SELECT root_path, src AS start, 'forward' AS direction, dst FROM edges WHERE src <> dst
-  UNION ALL SELECT root_path, dst, 'reverse', src FROM edges WHERE src <> dst)
-SELECT root_path, start, direction, CAST(1 AS BIGINT) AS hop, count(*) AS n FROM u GROUP BY root_path, start, direction"""
+ORACLES["deps_both"] = f"""WITH RECURSIVE {LINKS}, ends AS (SELECT root_path, 'forward' AS direction, src, dst FROM edges UNION ALL SELECT root_path, 'reverse', dst, src FROM edges),
+  w(root_path, direction, start, node, hop) USING KEY (root_path, direction, start, node) AS (
+    SELECT root_path, direction, start, start, CAST(0 AS BIGINT) FROM starts CROSS JOIN (VALUES ('forward'), ('reverse')) AS s(direction)
+    UNION SELECT DISTINCT w.root_path, w.direction, w.start, e.dst, w.hop + 1 FROM w
+      JOIN ends e ON w.root_path = e.root_path AND w.direction = e.direction AND w.node = e.src
+      LEFT JOIN recurring.w k ON k.root_path = w.root_path AND k.direction = w.direction AND k.start = w.start AND k.node = e.dst WHERE k.node IS NULL)
+SELECT root_path, start, direction, hop, count(*) AS n FROM w WHERE hop > 0 GROUP BY root_path, start, direction, hop"""
 ORACLES["deps_unresolved"] = f"WITH {LINKS} SELECT DISTINCT root_path, importer AS start, raw AS target FROM deps WHERE importee IS NULL"
 ORACLES["reverse_importers"] = f"WITH {LINKS} SELECT root_path, dst AS file, src AS importer FROM edges"
 FIRST = "one AS (SELECT root_path, importer FROM deps ORDER BY CAST(importer AS BIGINT), root_path LIMIT 1)"

@@ -395,12 +395,9 @@ def deps_reverse(spark, d):
 
 @query
 def deps_both(spark, d):
-    """Nodes per hop in both directions."""
+    """Nodes per hop in both directions, as far as the walks go."""
     edges = G.resolved_edges(B.part_deps(spark, d))
-    walk = G.deps(edges, B.part_starts(spark, d), "both")
-    return walk.groupBy("root_path", "start", "direction", "hop").agg(F.count(F.lit(1)).alias("n")).select(
-        "root_path", "start", "direction", *big("hop", "n")
-    )
+    return G.whole_walk_sizes(edges, B.part_starts(spark, d)).select("root_path", "start", "direction", *big("hop", "n"))
 
 
 @query

@@ -34,6 +34,23 @@ def test_hops_are_kept_and_ignore_self_imports(edges, starts):
     assert len(rows(G.reach(chain, starts("n0")))) == 14
 
 
+def test_whole_walks_go_both_ways_to_their_ends(edges, starts):
+    rng = random.Random(4)
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(21)]
+    pairs = [*chain, ("n1", "n0"), ("n5", "n5"), ("x", "n3"), *((f"m{rng.randrange(30)}", f"m{rng.randrange(30)}") for _ in range(40))]
+    want = []
+    for direction, out in (("forward", pairs), ("reverse", [(b, a) for a, b in pairs])):
+        for start in {n for p in pairs for n in p} - {"x"}:
+            seen, layer, hop = {start}, {start}, 0
+            while layer := {b for a, b in out if a in layer} - seen:
+                seen, hop = seen | layer, hop + 1
+                want.append(("r", start, direction, hop, len(layer)))
+    names = sorted({n for p in pairs for n in p} - {"x"})
+    got = rows(G.whole_walk_sizes(edges(pairs).union(edges([("n21", "n22")], "other")), starts(*names, "nowhere")))
+    assert sorted(got) == sorted(want) and max(w[3] for w in want) == 21
+    assert rows(G.whole_walk_sizes(edges([("a", "a"), (None, "b")]), starts("a"))) == []
+
+
 def test_roots_do_not_mix(edges, starts):
     both = edges([("a", "b")], "r1").union(edges([("b", "c")], "r2"))
     assert rows(G.reach(both, starts("a", root="r1"))) == [("r1", "a", "b", 1)]

@@ -42,5 +42,11 @@ def test_query_equals_sql(spark, con, name):
     assert normal(got) == normal(want)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_dependencies_both_ways_are_followed_to_their_ends(spark):
+    hops = {r["direction"]: r["hop"] for r in QUERIES["deps_both"](spark, SF).groupBy("direction").agg({"hop": "max"}).withColumnRenamed("max(hop)", "hop").collect()}
+    assert set(hops) == {"forward", "reverse"} and min(hops.values()) > 3
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["token", "hits", "files"]
