@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpuslens.llm.common import listed, longs, mix, span_hashes, texts, word_spans
-from corpuslens.session import cut, scratch_path
+from corpuslens.session import cut, freeing, scratch_path
+from corpuslens.skew import SALTS
 
 DOCUMENTS = 4_096  # documents of a chunk, whose pairs are asked for together; a power of two
 BATCH = 1 << 16  # rows of a batch of pairs
@@ -20,6 +23,8 @@ BURN = 3  # sweeps before those that are averaged
 SAMPLES = 3  # sweeps that are averaged
 EXACT = 1024  # customers of a dish up to which seatings are counted one by one
 _ROOTS, _BACKS = ([f"{c}_{k}" for k in range(SAMPLES)] for c in ("root", "back"))
+_STATS = ("count", "held", *_ROOTS, *_BACKS)
+_LOW = np.uint64((1 << 32) - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _END = span_hashes(np.frombuffer(b"\n", np.uint8), np.array([0]), np.array([1]))[0]  # no word has a line end
 
@@ -140,74 +145,98 @@ def _keys(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     return mix(words + contexts * _STEP)
 
 
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of ``keys`` and where in it each of them begins."""
+    order = np.argsort(keys)
+    k = keys[order]
+    return order, np.flatnonzero(np.concatenate([np.ones(min(len(k), 1), bool), k[1:] != k[:-1]]))
+
+
+class _Places:
+    """Where hashes stand among sorted ones. Their first bits tell nearly, as hashes are spread evenly."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(len(keys).bit_length(), 1)
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        self.begin = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+
+    def of(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it is there) of each."""
+        at = np.minimum(self.begin[(asked >> self.shift).astype(np.int64)], max(len(self.keys) - 1, 0))
+        if not len(self.keys):
+            return at, np.zeros(len(asked), bool)
+        open_ = np.flatnonzero(self.keys[at] < asked)
+        while open_.size:
+            open_ = open_[at[open_] < len(self.keys) - 1]
+            at[open_] += 1
+            open_ = open_[self.keys[at[open_]] < asked[open_]]
+        return at, self.keys[at] == asked
+
+
 def _rows(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
     yield from pa.table(columns).to_batches(max_chunksize=BATCH)
 
 
-def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, context, learned): each pair of a run of learned texts once, with its number there."""
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    held = 0
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, context, chunk, seen, asked, head): each pair of a chunk once or a few times, with its number in learned texts and whether others hold it.
 
-    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        w, c, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        _, one, back = np.unique(_keys(w, c), return_index=True, return_inverse=True)
-        return w[one], c[one], np.bincount(back, n, len(one))
+    ``head`` marks one row, or a few, of each word of a chunk."""
+    parts: list[tuple[np.ndarray, ...]] = []
+    now, held = None, 0
 
-    def rows() -> Iterator[pa.RecordBatch]:
-        w, c, n = parts[0]
-        yield from _rows({"word": pa.array(longs(w)), "context": pa.array(longs(c)), "learned": pa.array(n.astype(np.int64))})
-
-    for batch in batches:
-        for _, data, offsets in texts(batch):
-            _, w, c = _tokens(data, offsets)
-            parts.append((w, c, np.ones(len(w))))
-            held += len(w)
-            if held > 1 << 20:  # tokens since pairs were last merged
-                parts, held = [merged()], 0
-                if len(parts[0][0]) > 1 << 21:
-                    yield from rows()
-                    parts = []
-    if parts:
-        parts = [merged()]
-        yield from rows()
+    def merged() -> tuple[np.ndarray, ...]:
+        w, c, seen, asked = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, first = _sorted(_keys(w, c))
+        one = order[first]
+        return w[one], c[one], np.add.reduceat(seen[order], first), np.logical_or.reduceat(asked[order], first)
 
+    def rows() -> Iterator[pa.RecordBatch]:
+        w, c, seen, asked = merged()
+        at = np.argsort(w & ~_LOW | c & _LOW)  # equal words side by side pack better
+        head = np.concatenate([[True], w[at][1:] != w[at][:-1]])
+        chunk = pa.array(np.full(len(w), now), pa.int64())
+        yield from _rows({"word": pa.array(longs(w[at])), "context": pa.array(longs(c[at])), "chunk": chunk, "seen": pa.array(seen[at]), "asked": pa.array(asked[at]), "head": pa.array(head)})
 
-def _asked(batches: Iterator[pa.RecordBatch], pairs: bool) -> Iterator[pa.RecordBatch]:
-    """(chunk, key): each pair's key, or each word, of a chunk once or a few times."""
-    now, parts, held = None, [], 0
     for batch in batches:
-        chunks = batch.column(0).to_numpy()
+        chunks, learn = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
         for at, data, offsets in texts(batch):
             of, w, c = _tokens(data, offsets)
-            mine, keys = chunks[at + of], _keys(w, c) if pairs else w
+            mine, learned = chunks[at + of], learn[at + of]
             for chunk in np.unique(mine):
                 if parts and chunk != now:
-                    yield from _rows({"chunk": pa.array(np.full(len(k := np.unique(np.concatenate(parts))), now), pa.int64()), "key": pa.array(longs(k))})
+                    yield from rows()
                     parts, held = [], 0
-                elif held > 1 << 20:  # tokens since keys were last merged
-                    parts, held = [np.unique(np.concatenate(parts))], 0
+                elif held > 1 << 21:  # tokens since pairs were last merged
+                    parts, held = [merged()], 0
+                    if len(parts[0][0]) > 1 << 21:
+                        yield from rows()
+                        parts = []
                 m = mine == chunk
                 now, held = int(chunk), held + int(m.sum())
-                parts.append(keys[m])
+                parts.append((w[m], c[m], learned[m].astype(np.int64), ~learned[m]))
     if parts:
-        yield from _rows({"chunk": pa.array(np.full(len(k := np.unique(np.concatenate(parts))), now), pa.int64()), "key": pa.array(longs(k))})
+        yield from rows()
 
 
-def _drawn(batches: Iterator[pa.RecordBatch], many: str, discount: float, sweep: int) -> Iterator[pa.RecordBatch]:
-    """Rows of dishes with sampled ``tables`` in place of their columns base and grow. The first column identifies a dish in part."""
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``BATCH`` rows from smaller ones, as a few numbers to a row cost less at once."""
+    some: list[pa.RecordBatch] = []
     for batch in batches:
-        if batch.num_rows:
-            rng = np.random.default_rng([int(batch.column(0)[0].as_py()) & 0x7FFFFFFF, batch.num_rows, sweep])
-            n, base, grow = (batch.column(c).to_numpy() for c in (many, "base", "grow"))
-            kept = [c for c in batch.schema.names if c not in ("base", "grow")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(tables_of(n, base, discount, rng, grow))], [*kept, "tables"])
+        some.append(batch)
+        if sum(b.num_rows for b in some) >= BATCH:
+            yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+            some = []
+    if sum(b.num_rows for b in some):
+        yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words, contexts = (batch.column(c).to_numpy().view(np.uint64) for c in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(longs(_keys(words, contexts))), batch.column(2)], ["key", "mine"])
+def _drawn(batches: Iterator[pa.RecordBatch], many: str, discount: float, sweep: int) -> Iterator[pa.RecordBatch]:
+    """Rows of dishes with sampled ``tables`` in place of their columns base and grow. The first column identifies a dish in part."""
+    for batch in _together(batches):
+        rng = np.random.default_rng([int(batch.column(0)[0].as_py()) & 0x7FFFFFFF, batch.num_rows, sweep])
+        n, base, grow = (batch.column(c).to_numpy() for c in (many, "base", "grow"))
+        kept = [c for c in batch.schema.names if c not in ("base", "grow")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(tables_of(n, base, discount, rng, grow))], [*kept, "tables"])
 
 
 def _sweeps(pairs: DataFrame, many: int, types: int, discounts: tuple[float, float]) -> tuple[DataFrame, DataFrame, DataFrame, list[tuple[int, int]]]:
@@ -216,7 +245,8 @@ def _sweeps(pairs: DataFrame, many: int, types: int, discounts: tuple[float, flo
     ``total`` are a pair's tables over the last ``SAMPLES`` sweeps. ``mass`` (the root's customers less their discount), ``rooms`` and the list have a
     value for each of them. At first every dish has one table. A sweep seats every pair anew, given the context's tables and the word's
     chance at the root without the pair's own; the tables that it takes are the root's customers, who are seated anew in turn. All
-    of a sweep's pairs are drawn at once, given the sweep before. A pair learned once has one table in every sweep and is only counted.
+    of a sweep's pairs are drawn at once, given the sweep before. A pair learned once has one table in every sweep and is only counted;
+    contexts that have no others, and words in one such pair alone, stay as they are and take no part in the sweeps.
     """
     low, high = discounts
     outcomes = types + 1.0
@@ -224,11 +254,15 @@ def _sweeps(pairs: DataFrame, many: int, types: int, discounts: tuple[float, flo
     none = F.array().cast("array<double>")
     once = F.count_if(F.col("learned") == 1).cast("double")
     n = F.count(F.lit(1)).cast("double")
-    words = listed(pairs.groupBy("word").agg(once.alias("fixed"), F.sum("learned").alias("count"), n.alias("many")).withColumns(
-        {"mass": none, "tables": F.lit(1.0)}), "words")
-    contexts = listed(pairs.groupBy("context").agg(once.alias("fixed"), F.sum("learned").alias("held"), n.alias("now")).withColumn("rooms", none), "contexts")
+    most = F.max("learned").alias("most")
+    of_word, _ = cut(pairs.groupBy("word").agg(once.alias("fixed"), F.sum("learned").alias("count"), n.alias("many"), most), "words")
+    of_context, _ = cut(pairs.groupBy("context").agg(once.alias("fixed"), F.sum("learned").alias("held"), n.alias("now"), most), "contexts")
     one = F.lit(1.0)
-    seated, _ = cut(pairs.where("learned > 1").select("word", "context", "learned", F.lit(0.0).alias("total"), one.alias("tables")), "seated")
+    lone = (F.col("many") == 1) & (F.col("most") == 1)
+    alone = of_word.where(lone).count()
+    words = listed(of_word.where(~lone).select("word", "fixed", "count", "many", none.alias("mass"), one.alias("tables")), "words")
+    contexts = listed(of_context.where("most > 1").select("context", "fixed", "held", "now", none.alias("rooms")), "contexts")
+    seated = pairs.where("learned > 1").select("word", "context", "learned", F.lit(0.0).alias("total"), one.alias("tables"))
     totals: list[tuple[int, int]] = []
     for sweep in range(BURN + SAMPLES):
         kept = sweep >= BURN
@@ -247,45 +281,68 @@ def _sweeps(pairs: DataFrame, many: int, types: int, discounts: tuple[float, flo
             "word", "fixed", "count", now.alias("many"), "mass", ((STRENGTH + low * (seats - F.col("tables"))) / outcomes).alias("base"), F.lit(low / outcomes).alias("grow"))
         words = asked.mapInArrow(partial(_drawn, many="many", discount=low, sweep=sweep), "word long, fixed double, count long, many double, mass array<double>, tables double")
         words = listed(words.withColumn("mass", F.array_append("mass", F.col("many") - low * F.col("tables"))) if kept else words, "words")
-        customers, seats = (int(v) for v in words.agg(F.coalesce(F.sum("many"), F.lit(0)), F.coalesce(F.sum("tables"), F.lit(0))).first())
+        customers, seats = (alone + int(v) for v in words.agg(F.coalesce(F.sum("many"), F.lit(0)), F.coalesce(F.sum("tables"), F.lit(0))).first())
         if kept:
             totals.append((customers, seats))
-    return seated.select("word", "context", "learned", "total"), words.select("word", "count", "mass"), contexts.select("context", "held", "rooms"), totals
+    still = lambda rows, *columns: rows.select(*columns[:2], F.array_repeat(columns[2], SAMPLES))
+    words = words.select("word", "count", "mass").union(still(of_word.where(lone), "word", "count", one - low))
+    contexts = contexts.select("context", "held", "rooms").union(still(of_context.where("most = 1"), "context", "held", F.col("fixed")))
+    return seated.select("word", "context", "learned", "total"), words, contexts, totals
 
 
-def _score(docs: pa.Table, known: pa.Table) -> pa.Table:
-    """Scores of a chunk's texts. ``known`` has a row (key, mine) per learned pair, and one (key, count, plain, roots, backs, whole) per word, also as a context."""
-    import pyarrow.compute as pc
+class Model(NamedTuple):
+    """Numbers of the whole model: the share of a pair learned once, contexts' discount, outcomes of the base; per sample what the root's tables give a word, and the root's size."""
 
-    def sorted_by_key(t: pa.Table, *names: str) -> tuple[np.ndarray, ...]:
-        k = t.column("key").to_numpy().view(np.uint64)
-        k, one = np.unique(k, return_index=True)
-        return k, *(t.column(c).to_numpy()[one] for c in names)
+    once: float
+    high: float
+    outcomes: float
+    even: list[float]
+    size: list[float]
+
+
+def _score(docs: pa.Table, known: pa.Table, model: Model) -> pa.Table:
+    """Scores of a chunk's texts. ``known`` has a row (word, context, mine) per learned pair that is told, and one (word, stats) per word, also as
+    a context. A learned text's pair that is not told was learned once, in that text; in others it is not known."""
+    import pyarrow.compute as pc
 
-    of_word = pc.is_valid(known.column("plain"))
-    k, mine = sorted_by_key(known.filter(pc.invert(of_word)), "mine")
-    h, count, plain, whole, *parts = sorted_by_key(known.filter(of_word), "count", "plain", "whole", *_ROOTS, *_BACKS)
-    roots, backs = parts[:SAMPLES], parts[SAMPLES:]
+    def sorted_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+        order, first = _sorted(keys)
+        one = order[first]
+        return keys[one], *(v[one] for v in values)
+
+    of_word = pc.is_valid(known.column("stats"))
+    pairs, words = known.filter(pc.invert(of_word)), known.filter(of_word)
+    hashes = lambda t, c: t.column(c).to_numpy().view(np.uint64)
+    k, mine = sorted_by(_keys(hashes(pairs, "word"), hashes(pairs, "context")), pairs.column("mine").to_numpy())
+    stats = dict(zip(_STATS, (c.to_numpy() for c in words.column("stats").combine_chunks().flatten()), strict=True))
+    side = lambda names: np.stack([stats[c] for c in names], axis=1)
+    whole = STRENGTH + stats["held"]
+    plain = np.log10((stats["count"] + 1) / model.outcomes)
+    roots = (side(_ROOTS) + np.array(model.even)) / np.array(model.size)
+    backs = (STRENGTH + model.high * side(_BACKS)) / whole[:, None]
+    h, count, plain, whole, roots, backs = sorted_by(hashes(words, "word"), stats["count"], plain, whole, roots, backs)
+    told, vocabulary = _Places(k), _Places(h)
     out = {c: [np.zeros(0)] for c in ("tokens", "known", "plain", "value")}
 
     def place(asked: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(h, asked), max(len(h) - 1, 0))
-        if len(asked) and not (len(h) and (h[at] == asked).all()):
+        at, there = vocabulary.of(asked)
+        if not there.all():
             raise ValueError("a chunk of documents has changed between two readings")
         return at
 
     for batch in docs.to_batches():
-        for _, data, offsets in texts(batch):
+        learn = batch.column(batch.schema.get_field_index("learn")).to_numpy(zero_copy_only=False)
+        for first, data, offsets in texts(batch):
             n = len(offsets) - 1
             of, w, c = _tokens(data, offsets)
-            at, before = place(w), place(c)
-            own = np.zeros(len(w))
+            at = place(w)
+            before = np.concatenate([place(c[:1]), at[:-1]])  # a context is the word before
+            own = np.where(learn[first + of], model.once, 0.0)
             if len(k):
-                asked = _keys(w, c)
-                pair = np.minimum(np.searchsorted(k, asked), len(k) - 1)
-                own = np.where(k[pair] == asked, mine[pair], 0.0)
+                pair, there = told.of(_keys(w, c))
+                own = np.where(there, mine[pair], own)
             # The mean over the samples of a token's chance; its own customers are the only part that no product is in.
-            value = np.log10(own / whole[before] + sum(b[before] * r[at] for b, r in zip(backs, roots, strict=True)) / SAMPLES)
+            value = np.log10(own / whole[before] + np.einsum("ij,ij->i", backs[before], roots[at]) / SAMPLES)
             for name, v in (("tokens", None), ("known", count[at] > 0), ("plain", plain[at]), ("value", value)):
                 out[name].append(np.bincount(of, v, n).astype(np.float64))
     got = {c: np.concatenate(v) for c, v in out.items()}
@@ -309,8 +366,8 @@ def scores(docs: DataFrame, learn: Column, settled: bool = False) -> DataFrame:
     ``BURN``. All counts cover all learned documents.
 
     Learned (context, word) pairs are rows with exact counts, seated wherever they are. Documents meet the
-    model by chunk: a chunk asks for its distinct pairs and words, and what is known of them comes back, so neither vocabulary nor model is
-    held whole anywhere (a broadcast is behind a checked count). ``settled`` says that ``docs`` are files
+    model by chunk: a chunk's distinct pairs and words are written once, with what is learned of them; what the sweeps make of its words and of pairs
+    learned more than once comes back, so neither vocabulary nor model is held whole anywhere (a broadcast is behind a checked count). ``settled`` says that ``docs`` are files
     read as they are, which come in the same parts each time they are read; other input is written once, so that its chunks are fixed.
 
     Null text counts as empty: one token, the end. Rows with null or repeated doc_id are scored each; a null doc_id is learned from as ``learn`` says,
@@ -324,32 +381,38 @@ def scores(docs: DataFrame, learn: Column, settled: bool = False) -> DataFrame:
         path = scratch_path(spark, "chunks")
         docs.write.option("compression", "zstd").parquet(path)
         docs = spark.read.parquet(path)
-    pairs = docs.where("learn").select("text").mapInArrow(_learned, "word long, context long, learned long")
-    pairs, n_pairs = cut(pairs.groupBy("word", "context").agg(F.sum("learned").alias("learned")), "pairs")
-    count = lambda c, v: F.count(F.when(F.col(c) == v, 1))
-    whole, once, twice = pairs.agg(F.coalesce(F.sum("learned"), F.lit(0)), count("learned", 1), count("learned", 2)).first()
-    of_word = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    types, ones, twos = of_word.agg(F.count(F.lit(1)), count("n", 1), count("n", 2)).first()
-    low, high = _discount(ones, twos), _discount(once, twice)
-    seated, words, contexts, totals = _sweeps(pairs, n_pairs, types, (low, high))
-    mine = lambda rows, tables: rows.select("word", "context", (F.col("learned") - high * tables).cast("float").alias("mine"))
-    owned = mine(pairs.where("learned = 1"), F.lit(1.0)).unionByName(mine(seated, F.col("total") / SAMPLES)).mapInArrow(_keyed, "key long, mine float")
-    vocabulary, _ = cut(words.withColumnRenamed("word", "h").join(contexts.withColumnRenamed("context", "h"), "h", "full"), "vocabulary")
-    told = docs.select("chunk", "text").mapInArrow(partial(_asked, pairs=True), "chunk long, key long")
-    told = told.join(owned, "key")
-    none = F.lit(None).cast("double")
-    told = told.select("chunk", "key", "mine", F.lit(None).cast("long").alias("count"), *(none.alias(c) for c in ("plain", *_ROOTS, *_BACKS, "whole")))
-    words = docs.select("chunk", "text").mapInArrow(partial(_asked, pairs=False), "chunk long, key long")
-    words = words.join(vocabulary, F.col("key") == F.col("h"), "left")
+    # A pair's rows meet once, by its word and a part of its contexts: what is learned of it, and which chunks ask for it.
+    met = docs.select("chunk", "learn", "text").mapInArrow(_pairs, "word long, context long, chunk long, seen long, asked boolean, head boolean")
+    met = met.withColumn("part", F.pmod("context", F.lit(SALTS))).repartition("word", "part")
+    # One number that hardly two pairs share, in the order that they come in: sorting by it seldom looks at the rows.
+    met = met.withColumn("near", F.col("word").bitwiseAND(~int(_LOW)).bitwiseOR(F.col("context").bitwiseAND(int(_LOW))))
+    row = W.partitionBy("near", "word", "part", "context").orderBy("chunk")
+    learned = F.sum("seen").over(row.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    with freeing(spark):
+        met, _ = cut(met.select("word", "context", "chunk", "asked", "head", learned.alias("learned"), (F.row_number().over(row) == 1).alias("first")), "pairs")
+        pairs = met.where("first and learned > 0").select("word", "context", "learned")
+        count = lambda c, v: F.count(F.when(F.col(c) == v, 1))
+        n_pairs, whole, once, twice = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum("learned"), F.lit(0)), count("learned", 1), count("learned", 2)).first()
+        of_word = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        types, ones, twos = of_word.agg(F.count(F.lit(1)), count("n", 1), count("n", 2)).first()
+        low, high = _discount(ones, twos), _discount(once, twice)
+        seated, words, contexts, totals = _sweeps(pairs, n_pairs, types, (low, high))
+        owned = seated.select("word", "context", (F.col("learned") - high * F.col("total") / SAMPLES).cast("float").alias("mine"))
+        vocabulary, _ = cut(words.withColumnRenamed("word", "h").join(contexts.withColumnRenamed("context", "h"), "h", "full"), "vocabulary")
+    # Learned texts know themselves what was learned once; only others have to be told.
+    own = float(np.float32(1 - high))
+    asking = lambda which: met.where(which).select("chunk", "word", "context")
+    told = asking("learned > 1").join(owned, ["word", "context"]).select("chunk", "word", "context", "mine").union(
+        asking("learned = 1 and asked").withColumn("mine", F.lit(own).cast("float")))
+    words = asking("head").drop("context").join(vocabulary, F.col("word") == F.col("h"), "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    norm = STRENGTH + zero("held")
-    roots = [((zero(F.get("mass", F.lit(k))) + F.lit((STRENGTH + low * t) / (types + 1.0))) / F.lit(STRENGTH + c)).alias(_ROOTS[k]) for k, (c, t) in enumerate(totals)]
-    backs = [((STRENGTH + high * zero(F.get("rooms", F.lit(k)))) / norm).alias(_BACKS[k]) for k in range(SAMPLES)]
-    words = words.select(
-        "chunk", "key", F.lit(None).cast("float").alias("mine"), zero("count").alias("count"), F.log10((zero("count") + 1) / F.lit(float(whole + types + 1))).alias("plain"),
-        *roots, *backs, norm.cast("double").alias("whole"))
+    roots, backs = ([zero(F.get(c, F.lit(k))).alias(of[k]) for k in range(SAMPLES)] for c, of in (("mass", _ROOTS), ("rooms", _BACKS)))
+    stats = F.struct(zero("count").alias("count"), zero("held").alias("held"), *roots, *backs)
+    model = Model(own, high, float(whole + types + 1), [(STRENGTH + low * t) / (types + 1.0) for _, t in totals], [STRENGTH + float(c) for c, _ in totals])
+    words = words.select("chunk", "word", F.lit(None).cast("long").alias("context"), F.lit(None).cast("float").alias("mine"), stats.alias("stats"))
+    told = told.withColumn("stats", F.lit(None).cast(words.schema["stats"].dataType))
     schema = "doc_id long, learn boolean, n_tokens long, n_known long, base_score double, score double"
-    scored = docs.groupBy("chunk").cogroup(told.union(words).groupBy("chunk")).applyInArrow(_score, schema)
+    scored = docs.groupBy("chunk").cogroup(told.union(words).groupBy("chunk")).applyInArrow(lambda rows, known: _score(rows, known, model), schema)
     return scored.select("doc_id", F.col("learn").alias("learned"), "n_tokens", "n_known", F.lit(int(whole)).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -340,6 +340,38 @@ def test_a_sweep_hands_its_tables_on(make):
     assert all(math.isclose(m, c - 0.5 * t) for m, (c, t) in zip(mass, totals, strict=True))
 
 
+def test_small_batches_are_drawn_together():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"word": [k] * 10, "many": [5] * 10, "base": [1.0] * 10, "grow": [0.1] * 10}) for k in range(100)]
+    out = list(pitman_yor._drawn(iter([batches[0].slice(0, 0), *batches]), "many", 0.5, 0))
+    assert [b.num_rows for b in out] == [1000] and out[0].schema.names == ["word", "many", "tables"]
+    assert not list(pitman_yor._drawn(iter([]), "many", 0.5, 0))
+
+
+def test_a_chunk_tells_what_it_learns_and_asks_in_one_pass():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(31)
+    rows = [(i // 40, i % 3 > 0, None if i == 7 else " ".join(f"w{int(rng.paretovariate(0.6)) % 50}" for _ in range(rng.randrange(30)))) for i in range(120)]
+    batches = [pa.RecordBatch.from_pydict(dict(zip(("chunk", "learn", "text"), map(list, zip(*rows[at: at + 25], strict=True)), strict=True))) for at in range(0, 120, 25)]
+    got = pa.Table.from_batches(list(pitman_yor._pairs(iter(batches)))).to_pylist()
+    seen, asked = Counter(), set()
+    for chunk, learn, text in rows:
+        words = [*(text or "").split(), "\n"]
+        for pair in zip(["\n", *words[:-1]], words, strict=True):
+            seen[chunk, pair] += learn
+            asked |= set() if learn else {(chunk, pair)}
+    assert sorted((r["chunk"], r["seen"], r["asked"]) for r in got) == sorted((c, n, (c, p) in asked) for (c, p), n in seen.items())
+    heads = {(r["chunk"], r["word"]) for r in got if r["head"]}
+    assert heads == {(r["chunk"], r["word"]) for r in got} and len(heads) == len({(c, p[1]) for c, p in seen})
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 1000, np.uint64) * np.uint64(2))
+    for some in (keys, keys[:1], keys[:0]):
+        at, there = pitman_yor._Places(some).of(np.concatenate([keys, keys + np.uint64(1)]))
+        assert there.tolist() == [k in set(some.tolist()) for k in keys.tolist()] + [False] * len(keys) and (some[at[there]] == keys[:len(some)]).all()
+
+
 def test_seating_a_lone_dish_counts_its_own_tables():
     import numpy as np
 
