@@ -309,3 +309,13 @@ def test_every_match_holds_what_its_rule_needs():
             line = rng.choice(("", "  ")) + rng.choice((" ", "")).join(rng.choices(sorted(words), k=rng.randrange(1, 8)))
             if rule.needs and pattern.search(line):
                 assert any(n in line for n in rule.needs), (rule, line)
+
+
+def test_callsites_alone_bring_no_symbols_along(tree):
+    files = tree({
+        "a.js": "class A {\n  go(x) {\n    if (x) { // {{\n      pay(x);\n    }\n  }\n}\nconst f = g('}');\n", "b.c": "struct s {\n  int n;\n};\nstatic int item(int a)\n{\n  return pay(a);\n}\n",
+        "c.py": "class B:\n    def m(self):\n        return n(1)\n\n\ndef k():\n    m()\n", "d.rs": "impl C {\n    fn a(&self) { b(); }\n}\n", "e.go": "var (\n\tx = y()\n)\n", "f.js": "",
+    })
+    alone = X.scan(files, ("callsites",))
+    assert [r["what"] for r in alone.select("what").distinct().collect()] == ["call"]
+    assert rows(X.callsites_of(alone)) == rows(X.callsites_of(X.scan(files))) != []
